@@ -38,7 +38,7 @@ def telemetry_columns(s: Segments, columns: Sequence[str]) -> dict[str, Column]:
 
 
 def tyre_columns(s: Segments) -> dict[str, Column]:
-    progress = s.position_within() / s.size_within()
+    progress = F.try_divide(s.position_within(), s.size_within())
     return {
         "tyre_ratio": s.keyed(F.try_divide(F.col("TyreLife"), F.max("TyreLife").over(s.whole()))),
         "stint_progress": s.keyed(F.when(F.col("Stint").isNotNull(), progress)),

@@ -1,8 +1,10 @@
-"""Exact quantiles per group without holding a group in one task.
+"""Exact quantiles per group, also for a group too large for one task.
 
-Rows collapse to (group, value, count) with map-side combine. Each group is cut into equal-width bins, only the
-bin that holds a wanted rank is ordered, and linear interpolation follows between the two neighbouring ranks.
-Quantiles of a value range (after an outlier filter, say) come from the same counts without another pass.
+Rows collapse to (group, value, count) with map-side combine. Groups of up to ``SMALL_GROUP`` rows then use the
+built-in exact percentile over those counts. Larger groups, found by a narrow count first, are spread: their values
+fall into bins of about 0.02 % relative width, bin sizes say which bin holds a wanted rank, only the values of those
+bins are ordered, and linear interpolation follows. Quantiles of a value range (after an outlier filter, say) come
+from the same counts without another pass over the rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+from lapforge.session import listed
+
+SMALL_GROUP = 4_000_000
+BINS_PER_E_FOLD = 4096
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -25,30 +30,27 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float], *, bins: int = BINS
-) -> DataFrame:
-    """One row per group: ``name -> quantile`` for every entry of ``probs``, plus ``_size``."""
+def _bin(value: Column) -> Column:
+    """A coarse number that never decreases with the value."""
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * BINS_PER_E_FOLD)).cast("int")
+
+
+def _spread_quantiles(counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     keys = list(keys)
-    span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_count").alias("_size")
-    )
-    spread = F.col("_hi") - F.col("_lo")
-    slot = F.when(spread > 0, F.floor((F.col("_v") - F.col("_lo")) / F.nullif(spread, F.lit(0.0)) * bins))
-    joined = counts.join(span, keys) if keys else counts.crossJoin(span)
-    binned = joined.withColumn("_bin", F.coalesce(slot, F.lit(0)).cast("int"))
 
     def ranks(prob: float) -> tuple[Column, Column]:
         exact = F.lit(float(prob)) * (F.col("_size") - 1)
         return F.floor(exact), F.ceil(exact)
 
+    binned = counts.withColumn("_bin", _bin(F.col("_v")))
+    group = Window.partitionBy(*keys)
+    before = F.sum("_in").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     wanted = [r for p in probs.values() for r in ranks(p)]
-    before = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     held = (
-        binned.groupBy(*keys, "_bin").agg(F.sum("_count").alias("_in"), F.max("_size").alias("_size"))
-        .withColumn("_start", F.coalesce(before, F.lit(0)))
+        binned.groupBy(*keys, "_bin").agg(F.sum("_count").alias("_in"))
+        .select(*keys, "_bin", "_in", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_in").over(group).alias("_size"))
         .where(reduce(Column.__or__, [(F.col("_start") <= r) & (r < F.col("_start") + F.col("_in")) for r in wanted]))
-        .select(*keys, "_bin", "_start")
+        .select(*keys, "_bin", "_start", "_size")
     )
     upto = F.col("_start") + F.sum("_count").over(
         Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -67,14 +69,36 @@ def quantiles_of_counts(
         low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
         return (low + (high - low) * (exact - F.floor(exact))).alias(name)
 
-    return picked.select(*keys, *[between(n, p) for n, p in probs.items()], "_size")
+    return picked.select(*keys, *[between(n, p) for n, p in probs.items()])
+
+
+def _builtin_quantiles(counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    every = F.percentile("_v", list(probs.values()), F.col("_count"))
+    names = [F.col("_all")[i].alias(n) for i, n in enumerate(probs)]
+    return counts.groupBy(*keys).agg(every.alias("_all")).select(*keys, *names)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float], large: DataFrame | None = None
+) -> DataFrame:
+    """One row per group: ``name -> quantile`` for every entry of ``probs``. ``large`` names the groups to spread."""
+    if large is None:
+        return _builtin_quantiles(counts, keys, probs)
+    small = _builtin_quantiles(counts.join(large, list(keys), "left_anti"), keys, probs)
+    return small.unionByName(_spread_quantiles(counts.join(large, list(keys), "left_semi"), keys, probs))
+
+
+def large_groups(df: DataFrame, keys: Sequence[str], value: str, rows: int = SMALL_GROUP) -> DataFrame | None:
+    """Keys of the groups with more than ``rows`` values, or None. There are at most ``all rows / rows`` of them."""
+    counted = df.groupBy(*keys).agg(F.count(value).alias("_n")).where(F.col("_n") > rows).select(*keys)
+    return listed(counted)
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, rows: int = SMALL_GROUP
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles of ``value`` per group."""
-    return quantiles_of_counts(value_counts(df, keys, value), keys, probs).drop("_size")
+    """Exact, linearly interpolated quantiles of ``value`` per group; groups without values are left out."""
+    return quantiles_of_counts(value_counts(df, keys, value), keys, probs, large_groups(df, keys, value, rows))
 
 
 def approximate_quantiles(

@@ -9,7 +9,7 @@ to know about the rows before (or after) it arrives as a few extra rows that rid
 
 Groups within the bound stay whole in segment 0 and add no extra rows. Which groups are hot is found out first,
 by one narrow aggregate over the keys and the order column. When there are none, the plan is the plain window over
-one shuffle. A short list of them (at most ``HOT_LIMIT``) becomes a literal table; a longer one is written to the
+one shuffle. A short list of them (see :func:`lapforge.session.listed`) becomes a literal table; a longer one is written to the
 shared folder and joined like any other table.
 """
 
@@ -21,10 +21,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lapforge.session import written_table
+from lapforge.session import listed
 
 SEGMENT_ROWS = 4_000_000
-HOT_LIMIT = 10_000
 
 SEG, EXTRA, BEFORE = "_seg", "_extra", "_before"
 _WITHIN_BEFORE, _WITHIN_TOTAL = "_within_before", "_within_total"
@@ -76,10 +75,7 @@ class Segments:
 
     def keyed(self, value: Column) -> Column:
         """NULL where a group key is missing: such rows belong to no group."""
-        present = F.lit(True)
-        for key in self.keys:
-            present = present & F.col(key).isNotNull()
-        return F.when(present, value)
+        return F.when(F.expr(" and ".join(f"`{k}` is not null" for k in self.keys)), value)
 
     def close(self, df: DataFrame) -> DataFrame:
         return df.where(~F.col(EXTRA)).drop(*self.helper)
@@ -94,12 +90,7 @@ def _hot_groups(df: DataFrame, keys: list[str], axis: Column, rows: int) -> Data
         .select(*keys, "_from", ((F.col("_to") - F.col("_from")) / F.ceil(F.col("_rows") / rows)).alias("_width"))
         .where(F.col("_width") > 0)
     )
-    found = groups.limit(HOT_LIMIT + 1).collect()
-    if not found:
-        return None
-    if len(found) <= HOT_LIMIT:
-        return df.sparkSession.createDataFrame(found, groups.schema)
-    return written_table(groups, "hot-groups")
+    return listed(groups)
 
 
 def open_segments(
@@ -115,6 +106,7 @@ def open_segments(
     nexts: Mapping[str, Column] | None = None,
     maxima: Sequence[str] = (),
     within: str | None = None,
+    census: DataFrame | None = None,
 ) -> Segments:
     """Cut hot groups of ``df`` into segments of about ``rows`` rows along ``order[0]`` (a numeric column).
 
@@ -122,14 +114,15 @@ def open_segments(
     ``sums``   name -> value: sum over the earlier rows;
     ``lasts``  / ``nexts`` name -> value: nearest non-null value before / after the segment;
     ``maxima`` columns whose window maximum must be that of the whole group;
-    ``within`` a sub-group column for :meth:`Segments.position_within` / :meth:`Segments.size_within`.
+    ``within`` a sub-group column for :meth:`Segments.position_within` / :meth:`Segments.size_within`;
+    ``census`` where to count group sizes instead of ``df``: a cheaper table that holds at least its rows.
     """
     marks, sums, lasts, nexts = dict(marks or {}), dict(sums or {}), dict(lasts or {}), dict(nexts or {})
     keys, order = list(keys), list(order)
     axis = F.col(order[0]).cast("double")
     columns = df.columns
 
-    hot = _hot_groups(df, keys, axis, rows)
+    hot = _hot_groups(df if census is None else census, keys, axis, rows)
     if hot is None:
         frame = df.withColumns({SEG: F.lit(0).cast("bigint"), EXTRA: F.lit(False)})
         return Segments(frame, tuple(keys), tuple(order), within, (SEG, EXTRA))

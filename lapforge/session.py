@@ -55,3 +55,16 @@ def written_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+LIST_LIMIT = 10_000
+
+
+def listed(df: DataFrame) -> DataFrame | None:
+    """A short list of groups as a literal table, None if it is empty; a long one as a written table."""
+    found = df.limit(LIST_LIMIT + 1).collect()
+    if not found:
+        return None
+    if len(found) <= LIST_LIMIT:
+        return df.sparkSession.createDataFrame(found, df.schema)
+    return written_table(df, "groups")
