@@ -1,0 +1,4 @@
+"""The registered queries. Importing the modules fills the registry."""
+
+from lapforge.catalog import aggregates, filters, joins, scalars, sources, windows  # noqa: F401
+from lapforge.catalog.registry import ORACLES, QUERIES  # noqa: F401

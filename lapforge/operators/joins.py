@@ -101,9 +101,8 @@ def lap_flags(
     )
     if not carry_forward:
         return per_lap.drop("_after")
-    w = Window.partitionBy(*keys).orderBy(lap)
-    gap = F.sequence(F.col(lap), F.greatest(F.coalesce(F.lead(lap).over(w) - 1, F.col(lap)), F.col(lap)))
-    spread = per_lap.withColumn("_lap", F.explode(gap))
+    upto = F.coalesce(F.lead(lap).over(Window.partitionBy(*keys).orderBy(lap)) - 1, F.col(lap))
+    spread = per_lap.withColumn("_upto", upto).withColumn("_lap", F.explode(F.sequence(F.col(lap), F.col("_upto"))))
     same = F.col("_lap") == F.col(lap)
     return spread.select(
         *keys, F.col("_lap").cast(dict(messages.dtypes)[lap]).alias(lap),
