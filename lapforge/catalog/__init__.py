@@ -1,4 +1,6 @@
 """The registered queries. Importing the modules fills the registry."""
 
-from lapforge.catalog import aggregates, filters, joins, scalars, sources, windows  # noqa: F401
+from lapforge.catalog import (  # noqa: F401
+    aggregates, features, filters, joins, models, quality, scalars, sources, streams, validation, windows,
+)
 from lapforge.catalog.registry import ORACLES, QUERIES  # noqa: F401

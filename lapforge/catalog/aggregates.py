@@ -72,7 +72,7 @@ def agg_target_encoding(spark, sf_dir):
 
 
 # --- predictions: the driver's mean of the session stands in for a model ------------------------------------------------
-_SCORED = """,
+_SCORED = """
 scored AS (
   SELECT *, LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS y,
     TyreLife / 8 - brake_ratio AS pred, LapNumber / max(LapNumber) OVER (PARTITION BY year, gp, session_code) AS LapNumber_pct FROM kept)"""
@@ -213,7 +213,7 @@ def agg_race_totals(spark, sf_dir):
 # --- importance: the spread a column explains, as a stand-in for a model's numbers ------------------------------------------
 IMPORTANT = ["TyreLife", "Position", "speed_mean", "speed_max", "throttle_mean", "throttle_std", "brake_ratio", "rpm_mean",
              "gear_mean", "drs_ratio", "AirTemp", "TrackTemp", "Humidity"]
-_IMPORTANCE = """,
+_IMPORTANCE = """
 importance AS (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(stddev_pop({c}), 6) AS importance FROM base" for c in IMPORTANT) + ")"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.catalog.registry import (
-    KEY, TRACKS, base_sql, laps_sql, messages_sql, quali_sql, register, samples_sql, weather_sql,
+    KEY, RACE_CONTROL, SAMPLES, TRACKS, base_sql, laps_sql, messages_sql, quali_sql, register, samples_sql, weather_sql,
 )
 from lapforge.catalog.windows import _STATE
 from lapforge.catalog.filters import base_laps
@@ -49,7 +49,7 @@ def join_lap_flags(spark, sf_dir):
     return joins.attach_flags(laps, flags, ["session", "Lap"]).select("session", "event_id", "Lap", "is_sc", "is_vsc", "is_yellow")
 
 
-_RESULTS = """,
+_RESULTS = """
 timed AS (SELECT *, coalesce(nullif(Q3, 0), nullif(Q2, 0), nullif(Q1, 0)) * 1000 AS best FROM quali),
 results AS (SELECT year, round, Driver, CAST(coalesce(position, -1) AS INTEGER) AS quali_position,
   CAST(coalesce(position, -1) AS INTEGER) AS grid_position, best - min(best) OVER (PARTITION BY year, round) AS gap_to_pole_ms FROM timed)"""
@@ -60,10 +60,9 @@ def agg_pole_gap(spark, sf_dir):
     return joins.quali_results(data.quali(spark, sf_dir))
 
 
-@register("join_quali", quali_sql(f"""
-SELECT {KEY}, quali_position, grid_position, gap_to_pole_ms FROM laps LEFT JOIN results
-  ON laps.year = results.year AND laps.round = results.round AND laps.Driver = results.Driver AND session_code = 'R'""".replace(
-    "SELECT year,", "SELECT laps.year,"), _RESULTS))
+@register("join_quali", quali_sql("""
+SELECT laps.year, gp, session_code, DriverNumber, LapNumber, quali_position, grid_position, gap_to_pole_ms FROM laps LEFT JOIN results
+  ON laps.year = results.year AND laps.round = results.round AND laps.Driver = results.Driver AND session_code = 'R'""", _RESULTS))
 def join_quali(spark, sf_dir):
     results = joins.quali_results(data.quali(spark, sf_dir))
     laps = data.laps(spark, sf_dir).select(*KEYS, "Driver", "round")
@@ -112,22 +111,14 @@ def join_fastest_lap_trace(spark, sf_dir):
     return joins.fastest_lap_trace(laps, samples, session=["session"], lap_key=["driver", "lap"])
 
 
-_ASSEMBLED = """,
-samples AS (SELECT user_id % 10 AS session, user_id AS lap_id, floor(value * 16) / 16 AS Speed FROM events)"""
-
-
 @register("ingest_laps", weather_sql("""
-SELECT n.session, n.lap_id, n.LapStartTime, t.speed_mean, t.rpm_mean, t.drs_ratio, AirTemp, Rainfall, WindSpeed,
+SELECT n.session, n.lap_id, n.LapStartTime, speed_mean, rpm_mean, drs_ratio, AirTemp, Rainfall, WindSpeed,
   coalesce(is_sc, 0) AS is_sc, coalesce(is_vsc, 0) AS is_vsc, coalesce(is_yellow, 0) AS is_yellow
 FROM nearest n JOIN (
-  SELECT lap_id, avg(floor(value * 16) / 16) AS speed_mean, avg(9000 + floor(value) * 16) AS rpm_mean,
-    avg(CASE WHEN k % 15 >= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS drs_ratio
-  FROM (SELECT s.lap_id, e.value, CAST(regexp_extract(e.props, '([0-9]+)', 1) AS INTEGER) AS k
-        FROM starts s JOIN events e ON e.user_id = s.user_id) x GROUP BY lap_id HAVING count(*) >= 10) t ON n.lap_id = t.lap_id
-LEFT JOIN flags f ON n.session = f.session AND CAST((dayofmonth(n.at) - 1) * 24 + hour(n.at) AS INTEGER) = f.Lap
-WHERE rn = 1""").replace("SELECT user_id % 10 AS session, event_id AS lap_id, CASE", "SELECT user_id % 10 AS session, user_id, ts AS at, event_id AS lap_id, CASE")
-    .replace("SELECT s.session, s.lap_id, s.LapStartTime, w.AirTemp", "SELECT s.session, s.lap_id, s.at, s.LapStartTime, w.AirTemp")
-    .replace("WITH ", messages_sql("", _STATE).rstrip() + ",\n", 1))
+  SELECT driver, avg(Speed) AS speed_mean, avg(RPM) AS rpm_mean, avg(CASE WHEN DRS >= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS drs_ratio
+  FROM samples GROUP BY driver HAVING count(*) >= 10) t ON n.user_id = t.driver
+LEFT JOIN flags f ON n.session = f.session AND n.LapNumber = f.Lap
+WHERE rn = 1""", SAMPLES, RACE_CONTROL, _STATE))
 def ingest_laps(spark, sf_dir):
     """Clicks are laps; the samples of a lap are all events of its user."""
     events = data.table(spark, sf_dir, "events")

@@ -69,12 +69,12 @@ laps AS (
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey) keyed) placed)"""
 
-_BASE = """,
+_BASE = """
 base AS (
   SELECT * FROM laps WHERE PitOutTime IS NULL AND PitInTime IS NULL AND NOT coalesce(Deleted, false)
     AND gp <> 'NATION_0' AND LapTime IS NOT NULL)"""
 
-_KEPT = """,
+_KEPT = """
 fences AS (
   SELECT year, gp, session_code, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high
   FROM (SELECT year, gp, session_code, quantile_cont(LapTime, 0.25) AS q1, quantile_cont(LapTime, 0.75) AS q3
@@ -84,7 +84,7 @@ kept AS (
 
 _EVENTS = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)"
 
-_SAMPLES = f"""
+SAMPLES = f"""
 samples AS (
   SELECT session, driver, lap, ts, event_id, Speed, CAST(k AS DOUBLE) AS Throttle,
     CASE WHEN k % 10 <> 9 THEN CAST(CAST(event_type = 'error' AS INTEGER) AS DOUBLE) END AS Brake,
@@ -93,7 +93,7 @@ samples AS (
   FROM (SELECT *, user_id % 10 AS session, user_id AS driver, CAST((dayofmonth(ts) - 1) // 10 AS INTEGER) AS lap,
           floor(value * 16) / 16 AS Speed, {_EVENTS} AS k FROM events) e)"""
 
-_QUALI = """,
+_QUALI = """
 quali AS (
   SELECT year, gp, round, Driver,
     CASE WHEN Driver <> 'D9' THEN length(gp) % 10 + CAST(substr(Driver, 2, 1) AS INTEGER) END AS position,
@@ -102,7 +102,7 @@ quali AS (
           min(LapTime) FILTER (WHERE LapNumber % 3 = 2) AS Q2, min(LapTime) FILTER (WHERE LapNumber % 3 = 0) AS q3x
         FROM laps WHERE session_code = 'Q' AND LapTime IS NOT NULL GROUP BY year, gp, round, Driver) d)"""
 
-_RACE_CONTROL = f"""
+RACE_CONTROL = f"""
 messages AS (
   SELECT user_id % 10 AS session, ts, event_id AS seq,
     CASE WHEN event_id % 50 <> 0 THEN CAST((dayofmonth(ts) - 1) * 24 + hour(ts) AS INTEGER) END AS Lap,
@@ -114,7 +114,8 @@ messages AS (
 
 _WEATHER = f"""
 starts AS (
-  SELECT user_id % 10 AS session, event_id AS lap_id, CASE WHEN event_id % 50 <> 0 THEN ts END AS LapStartTime
+  SELECT user_id % 10 AS session, user_id, event_id AS lap_id, CASE WHEN event_id % 50 <> 0 THEN ts END AS LapStartTime,
+    CAST((dayofmonth(ts) - 1) * 24 + hour(ts) AS INTEGER) AS LapNumber
   FROM events WHERE event_type = 'click'),
 weather AS (
   SELECT user_id % 9 AS session, ts AS Time, event_id AS seq, value AS AirTemp, value + 10 AS TrackTemp,
@@ -123,43 +124,47 @@ weather AS (
     k / 8 AS WindSpeed, CAST(k * 3 AS DOUBLE) AS WindDirection
   FROM (SELECT *, {_EVENTS} AS k FROM events WHERE event_type = 'view') e)"""
 
-_NEAREST = """,
+_NEAREST = """
 nearest AS (
-  SELECT s.session, s.lap_id, s.LapStartTime, w.AirTemp, w.TrackTemp, w.Humidity, w.Pressure, w.Rainfall, w.WindSpeed,
+  SELECT s.*, w.AirTemp, w.TrackTemp, w.Humidity, w.Pressure, w.Rainfall, w.WindSpeed,
     w.WindDirection,
     row_number() OVER (PARTITION BY s.session, s.lap_id
       ORDER BY abs(epoch_us(w.Time) - epoch_us(s.LapStartTime)), w.Time, w.seq) AS rn
   FROM starts s LEFT JOIN weather w ON s.session = w.session AND s.LapStartTime IS NOT NULL)"""
 
 
-def laps_sql(body: str, more: str = "") -> str:
-    return f"WITH {_LAPS}{more} {body}"
+def with_views(body: str, *views: str) -> str:
+    return "WITH " + ",".join(v for v in views if v) + " " + body
 
 
-def base_sql(body: str, more: str = "") -> str:
+def laps_sql(body: str, *views: str) -> str:
+    return with_views(body, _LAPS, *views)
+
+
+def base_sql(body: str, *views: str) -> str:
     """Laps after the basic filter."""
-    return f"WITH {_LAPS}{_BASE}{more} {body}"
+    return with_views(body, _LAPS, _BASE, *views)
 
 
-def kept_sql(body: str, more: str = "") -> str:
+def kept_sql(body: str, *views: str) -> str:
     """Laps after the basic filter and the outlier fences."""
-    return f"WITH {_LAPS}{_BASE}{_KEPT}{more} {body}"
+    return with_views(body, _LAPS, _BASE, _KEPT, *views)
 
 
-def quali_sql(body: str, more: str = "") -> str:
-    return f"WITH {_LAPS}{_QUALI}{more} {body}"
+def quali_sql(body: str, *views: str) -> str:
+    return with_views(body, _LAPS, _QUALI, *views)
 
 
-def samples_sql(body: str, more: str = "") -> str:
-    return f"WITH {_SAMPLES}{more} {body}"
+def samples_sql(body: str, *views: str) -> str:
+    return with_views(body, SAMPLES, *views)
 
 
-def messages_sql(body: str, more: str = "") -> str:
-    return f"WITH {_RACE_CONTROL}{more} {body}"
+def messages_sql(body: str, *views: str) -> str:
+    return with_views(body, RACE_CONTROL, *views)
 
 
-def weather_sql(body: str, more: str = "") -> str:
-    return f"WITH {_WEATHER}{_NEAREST}{more} {body}"
+def weather_sql(body: str, *views: str) -> str:
+    return with_views(body, _WEATHER, _NEAREST, *views)
 
 
 KEY = "year, gp, session_code, DriverNumber, LapNumber"

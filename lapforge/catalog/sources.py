@@ -64,14 +64,14 @@ def source_checkpoint_state(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-_SCHEDULE = """,
+_SCHEDULE = """
 raw AS (SELECT DISTINCT year, gp AS EventName,
     CASE WHEN round % 7 = 3 THEN 'n/a' ELSE CAST(round AS VARCHAR) END AS RoundNumber FROM laps),
 schedule AS (SELECT year, EventName, CAST(TRY_CAST(RoundNumber AS DOUBLE) AS INTEGER) AS RoundNumber FROM raw),
 plan AS (SELECT year || '|' || EventName || '|' || session_code AS key, year, EventName AS gp, RoundNumber AS round, session_code
   FROM schedule CROSS JOIN (SELECT unnest(['R', 'Q']) AS session_code) c WHERE RoundNumber <> 0 AND year IN (1999, 2000, 2001)),
 log AS (SELECT year || '|' || gp || '|' || session_code AS key,
-    CASE WHEN count(*) > 40 THEN 'completed' ELSE 'failed' END AS status, count(*) AS n_rows FROM laps GROUP BY 1)"""
+    CASE WHEN count(*) > 110 THEN 'completed' ELSE 'failed' END AS status, count(*) AS n_rows FROM laps GROUP BY 1)"""
 SEASONS = [1999, 2000, 2001]
 
 
@@ -86,7 +86,7 @@ def _plan(spark, sf_dir):
 
 def _log(spark, sf_dir):
     counts = data.laps(spark, sf_dir).groupBy(S.session_key().alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.select("key", F.when(F.col("n_rows") > 40, "completed").otherwise("failed").alias("status"), "n_rows")
+    return counts.select("key", F.when(F.col("n_rows") > 110, "completed").otherwise("failed").alias("status"), "n_rows")
 
 
 @register("ingest_schedule", laps_sql("SELECT * FROM schedule", _SCHEDULE))
@@ -138,7 +138,7 @@ def source_head(spark, sf_dir):
     return aggregates.head(data.laps(spark, sf_dir).select(*KEYS, "LapTime"), KEYS)
 
 
-@register("source_shape", laps_sql("SELECT count(*) AS n_rows, CAST(35 AS INTEGER) AS n_columns FROM laps"))
+@register("source_shape", laps_sql("SELECT count(*) AS n_rows, CAST(36 AS INTEGER) AS n_columns FROM laps"))
 def source_shape(spark, sf_dir):
     return aggregates.table_shape(data.laps(spark, sf_dir))
 

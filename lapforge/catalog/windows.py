@@ -95,7 +95,7 @@ def window_driver_progress(spark, sf_dir):
     return _progress(spark, sf_dir, "v3")
 
 
-_RESIDUALS = """,
+_RESIDUALS = """
 residuals AS (SELECT *, LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS LapTimeResidual
   FROM kept WHERE session_code = 'R'),
 races AS (SELECT Driver, year, gp, round, avg(LapTimeResidual) AS mean_residual FROM residuals GROUP BY ALL)"""
@@ -157,7 +157,7 @@ def window_laps_since_neutralization(spark, sf_dir):
     return history.laps_since_neutralization(laps).drop("is_neutralized")
 
 
-_STATE = """,
+_STATE = """
 known AS (
   SELECT *, CASE WHEN NOT virt THEN change END AS sc, CASE WHEN virt THEN change END AS vsc FROM (
     SELECT *, contains(upper(Message), 'VIRTUAL') AS virt,

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.operators.segments import group_position
-from lapforge.session import written_table
+from lapforge.session import fresh_path
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,16 +88,22 @@ def derive_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build, partition_by=None) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _written_laps(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir, "laps")
     if key not in _WRITTEN:
-        _WRITTEN[key] = written_table(build(spark, sf_dir), name, partition_by)
+        path, derived = fresh_path(spark, "laps"), derive_laps(spark, sf_dir)
+        derived.write.partitionBy("session_code").parquet(path)
+        _WRITTEN[key] = (path, spark.read.schema(derived.schema).parquet(path))
     return _WRITTEN[key]
 
 
 def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lap table, written once to the shared folder and partitioned by session type."""
-    return _once(spark, sf_dir, "laps", derive_laps, ["session_code"])
+    return _written_laps(spark, sf_dir)[1]
+
+
+def laps_path(spark: SparkSession, sf_dir: str) -> str:
+    return _written_laps(spark, sf_dir)[0]
 
 
 def _event_number():
@@ -105,9 +111,13 @@ def _event_number():
 
 
 def telemetry_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_samples(table(spark, sf_dir, "events"))
+
+
+def as_samples(events: DataFrame) -> DataFrame:
     """Car samples; ten days of one user make a lap, the last digit of the user is the session."""
     k = _event_number()
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         (F.col("user_id") % 10).alias("session"),
         F.col("user_id").alias("driver"),
         F.floor((F.dayofmonth("ts") - 1) / 10).cast("int").alias("lap"),

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapforge import schemas
 from lapforge.operators import aggregates
@@ -56,5 +57,5 @@ def run_to_table(
     )
     query.awaitTermination()
     shape = schema or (score(stream).schema if score else stream.schema)
-    out = spark.read.option("basePath", path).schema(shape.add("_batch", "bigint")).parquet(path)
+    out = spark.read.option("basePath", path).schema(T.StructType([*shape.fields, T.StructField("_batch", T.LongType())])).parquet(path)
     return latest_per_key(out, key, ["_batch"]).drop("_batch") if key else out.drop("_batch")
