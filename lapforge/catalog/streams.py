@@ -72,6 +72,15 @@ def stream_lap_history(spark, sf_dir):
     return out.withColumns(missing_as_null).withColumn("lap_time_std_5_prev", F.round("lap_time_std_5_prev", 6))
 
 
+@register("stream_lap_history_batches", laps_sql(f"SELECT {KEY}, LapTime, {HISTORY_SQL} FROM laps {LAP_WINDOW}"))
+def stream_lap_history_batches(spark, sf_dir):
+    """History with the last laps of each driver stored between micro-batches."""
+    laps = spark.readStream.schema(data.laps(spark, sf_dir).schema).parquet(data.laps_path(spark, sf_dir))
+    out = stream_history.history_in_batches(
+        laps, K.LAP_GROUP, fresh_path(spark, "history-out"), fresh_path(spark, "history-state"))
+    return out.withColumn("lap_time_std_5_prev", F.round("lap_time_std_5_prev", 6))
+
+
 @register("stream_ingest", laps_sql("""
 SELECT year || '|' || gp || '|' || session_code AS key, 'completed' AS status, count(*) AS n_rows FROM laps GROUP BY 1"""))
 def stream_ingest_sessions(spark, sf_dir):

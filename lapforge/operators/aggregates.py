@@ -155,24 +155,29 @@ def head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
 
 
 # --- model quality -------------------------------------------------------------------------------------------------
+def _errors(truth: str, prediction: str) -> dict[str, Column]:
+    e = F.col(truth) - F.col(prediction)
+    spread = F.nullif(F.var_pop(truth) * F.count(truth), F.lit(0.0))
+    return {
+        "rmse": F.sqrt(F.avg(e * e)), "mae": F.avg(F.abs(e)), "r2": 1 - F.try_divide(F.sum(e * e), spread),
+        "baseline_trivial_rmse": F.stddev_samp(truth),
+        "improvement_over_trivial": 1 - F.try_divide(F.sqrt(F.avg(e * e)), F.stddev_samp(truth)),
+    }
+
+
 def error_metrics(df: DataFrame, keys: Sequence[str] = (), *, truth: str = "y", prediction: str = "pred") -> DataFrame:
     """RMSE, MAE and R2; R2 is NULL where the truth does not vary."""
-    e = F.col(truth) - F.col(prediction)
-    spread = F.var_pop(truth) * F.count(truth)
-    return df.groupBy(*keys).agg(
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        (1 - F.try_divide(F.sum(e * e), F.nullif(spread, F.lit(0.0)))).alias("r2"), F.count(truth).alias("n"),
-    )
+    m = _errors(truth, prediction)
+    return df.groupBy(*keys).agg(*[m[n].alias(n) for n in ("rmse", "mae", "r2")], F.count(truth).alias("n"))
 
 
-def trivial_baseline(df: DataFrame, *, truth: str = "y", prediction: str = "pred") -> DataFrame:
-    """Metrics next to the spread of the truth and the improvement over it."""
-    e = F.col(truth) - F.col(prediction)
-    rmse, std = F.sqrt(F.avg(e * e)), F.stddev_samp(truth)
-    return df.agg(
-        rmse.alias("rmse"), F.avg(F.abs(e)).alias("mae"), std.alias("baseline_trivial_rmse"),
-        (1 - F.try_divide(rmse, std)).alias("improvement_over_trivial"),
-    )
+def trivial_baseline(
+    df: DataFrame, *, truth: str = "y", prediction: str = "pred", more: Sequence[Column] = (), with_r2: bool = False,
+) -> DataFrame:
+    """Metrics next to the spread of the truth and the improvement over it, in one aggregate."""
+    m = _errors(truth, prediction)
+    names = ["rmse", "mae", *(["r2"] if with_r2 else []), "baseline_trivial_rmse", "improvement_over_trivial"]
+    return df.agg(*[m[n].alias(n) for n in names], *more)
 
 
 def fold_summary(folds: DataFrame, metrics: Sequence[str] = ("rmse", "mae", "r2")) -> DataFrame:
@@ -192,10 +197,8 @@ def best_fold(folds: DataFrame, *, metric: str = "rmse", fold: str = "fold", lab
 def fold_rows(df: DataFrame, fold: str = "fold") -> DataFrame:
     """Training and test rows of every fold, from one count per fold."""
     per_fold = df.groupBy(fold).agg(F.count(F.lit(1)).alias("test_rows"))
-    everything = per_fold.agg(F.sum("test_rows").alias("_all"))
-    return per_fold.crossJoin(everything).select(
-        fold, (F.col("_all") - F.col("test_rows")).alias("train_rows"), "test_rows"
-    )
+    everything = per_fold.agg(F.sum("test_rows")).scalar()
+    return per_fold.select(fold, (everything - F.col("test_rows")).alias("train_rows"), "test_rows")
 
 
 def errors_by(df: DataFrame, key: str | Column, *, truth: str = "y", prediction: str = "pred") -> DataFrame:

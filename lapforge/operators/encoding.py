@@ -13,11 +13,11 @@ from lapforge.constants import ENCODING_SMOOTHING
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): position in sorted order, from 0.
 
-    Distinct values are ranked per leading character and shifted by the number of values before that character, so
-    a long dictionary is not sorted in one task.
+    Distinct values are ranked per leading pair of characters and shifted by the number of values before that pair,
+    so a long dictionary is not sorted in one task.
     """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    lead = values.withColumn("_lead", F.coalesce(F.left(F.col(column).cast("string"), F.lit(1)), F.lit("")))
+    values = df.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
+    lead = values.withColumn("_lead", F.left(F.col(column), F.lit(2)))
     sizes = lead.groupBy("_lead").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_before", F.coalesce(
             F.sum("_n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -62,22 +62,22 @@ def fit_target_encoding(
     m = F.lit(float(smoothing))
     sums = train.groupBy(category).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
     overall = sums.agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("global_mean"))
-    known = sums.where(F.col(category).isNotNull()).crossJoin(overall)
-    mean = F.try_divide(F.col("_s"), F.col("_n"))
-    smoothed = (F.col("_n") * mean + m * F.col("global_mean")) / (F.col("_n") + m)
-    encoded = known.select(category, smoothed.alias("enc"), "global_mean")
+    mean, gm = F.try_divide(F.col("_s"), F.col("_n")), overall.scalar()
+    smoothed = F.coalesce((F.col("_n") * mean + m * gm) / (F.col("_n") + m), gm)
+    known = sums.where(F.col(category).isNotNull()).select(
+        category, smoothed.alias("enc"), gm.alias("global_mean"))
     kind = dict(train.dtypes)[category]
     unseen = overall.select(F.lit(None).cast(kind).alias(category), F.col("global_mean").alias("enc"), "global_mean")
-    return encoded.unionByName(unseen)
+    return known.unionByName(unseen)
 
 
 def apply_target_encoding(df: DataFrame, category: str, encoding: DataFrame, output: str | None = None) -> DataFrame:
     """Look the encoding up; missing and unseen categories get the global mean."""
     output = output or f"{category}_te"
     seen = encoding.where(F.col(category).isNotNull()).select(category, F.col("enc").alias(output))
-    fallback = encoding.where(F.col(category).isNull()).select(F.col("global_mean").alias("_gm"))
-    joined = df.join(seen, category, "left").crossJoin(fallback)
-    return joined.withColumn(output, F.coalesce(F.col(output), F.col("_gm"))).select(*df.columns, output)
+    fallback = encoding.where(F.col(category).isNull()).select("global_mean").scalar()
+    joined = df.join(seen, category, "left")
+    return joined.select(*df.columns, F.coalesce(F.col(output), fallback).alias(output))
 
 
 class TargetEncoding:
@@ -122,11 +122,10 @@ def leave_fold_out_encoding(
     cells = df.groupBy(category, fold).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
     by_category = cells.groupBy(category).agg(F.sum("s").alias("s_c"), F.sum("n").alias("n_c"))
     by_fold = cells.groupBy(fold).agg(F.sum("s").alias("s_f"), F.sum("n").alias("n_f"))
-    total = cells.agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
-    mean_rest = F.try_divide(F.col("s_all") - F.col("s_f"), F.col("n_all") - F.col("n_f"))
+    s_all, n_all = cells.agg(F.sum("s")).scalar(), cells.agg(F.sum("n")).scalar()
     n_rest, s_rest = F.col("n_c") - F.col("n"), F.coalesce(F.col("s_c"), F.lit(0.0)) - F.coalesce(F.col("s"), F.lit(0.0))
     value = F.when(n_rest > 0, (s_rest + m * F.col("_gm")) / (n_rest + m)).otherwise(F.col("_gm"))
-    rest = by_fold.crossJoin(total).select(fold, mean_rest.alias("_gm"))
+    rest = by_fold.select(fold, F.try_divide(s_all - F.col("s_f"), n_all - F.col("n_f")).alias("_gm"))
     table = (
         cells.join(by_category, category).join(rest, fold).select(category, fold, value.alias(output))
     )

@@ -115,12 +115,10 @@ def evaluate_walk_forward(
     train, test = (marked.where(F.col("part") == p) for p in ("train", "test"))
     model = estimator if estimator is not None else booster(params, label=target, weight="weight")
     scored = fit_and_score(train, test, features, model, target=target, categories=categories)
-    quality = aggregates.error_metrics(scored, truth=target, prediction="prediction").select("rmse", "mae", "r2")
-    base = aggregates.trivial_baseline(scored, truth=target, prediction="prediction").select(
-        "baseline_trivial_rmse", "improvement_over_trivial")
-    sizes = marked.agg(F.count_if(F.col("part") == "train").alias("train_rows"),
-                       F.count_if(F.col("part") == "test").alias("test_rows"))
-    return quality.crossJoin(base).crossJoin(sizes)
+    train_rows = train.agg(F.count(F.lit(1))).scalar()
+    report = aggregates.trivial_baseline(
+        scored, truth=target, prediction="prediction", with_r2=True, more=[F.count(F.lit(1)).alias("test_rows")])
+    return report.withColumn("train_rows", train_rows)
 
 
 def evaluate_folds(

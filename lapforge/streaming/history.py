@@ -1,16 +1,25 @@
-"""Previous-lap features on a stream of finished laps: state holds the last five lap times of each driver."""
+"""Previous-lap features on a stream of finished laps.
+
+Two forms. ``streaming_history`` keeps the last five lap times of each driver in the state store and answers within
+the micro-batch; it suits a live feed, where a micro-batch holds a few laps per driver. ``history_in_batches`` is for
+backfills, where one driver session may fill a micro-batch: it puts the stored last laps in front of the batch and
+runs the ordinary segmented windows, so nothing of a group is held in Python.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-KEEP = 5
-_NEW = ["lap_time_prev", "lap_time_mean_3_prev", "lap_time_delta_prev", "lap_time_std_5_prev"]
+from lapforge.operators.history import LOOKBACK, lap_time_columns
+from lapforge.operators.segments import SEGMENT_ROWS, open_segments
+
+FEATURES = ["lap_time_prev", "lap_time_mean_3_prev", "lap_time_delta_prev", "lap_time_std_5_prev"]
 
 
 def _known(values: list[float]) -> list[float]:
@@ -34,26 +43,58 @@ def streaming_history(
 ) -> DataFrame:
     """Rows of ``laps`` (keys, order, value) with the four lap-time history columns.
 
-    Laps of a driver are sorted inside a micro-batch; the state is five numbers per driver. A lap that arrives in a
-    later batch than its successor is taken in the order of arrival.
+    Laps of a driver are sorted inside a micro-batch, whose size the source bounds (``maxFilesPerTrigger``); the state
+    is five numbers per driver. A lap that arrives in a later batch than its successor counts in the order of arrival.
     """
     keys = list(keys)
     kinds = dict(laps.dtypes)
     output = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{order}` {kinds[order]}", f"`{value}` double"]
-                       + [f"{n} double" for n in _NEW])
+                       + [f"{n} double" for n in FEATURES])
 
-    def step(key, batches, state: GroupState):
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         past = list(state.get[0]) if state.exists else []
         arrived = pd.concat(list(batches), ignore_index=True).sort_values(order)
         rows = []
         for lap_time in arrived[value].astype(float):
             rows.append(_features(past))
-            past = [*past, lap_time][-KEEP:]
+            past = [*past, lap_time][-LOOKBACK:]
         state.update((past,))
-        columns = pd.DataFrame(rows, columns=_NEW)
         head = arrived[[*keys, order, value]].reset_index(drop=True)
-        yield pd.concat([head, columns], axis=1)
+        yield pd.concat([head, pd.DataFrame(rows, columns=FEATURES)], axis=1)
 
     return laps.select(*keys, order, value).groupBy(*keys).applyInPandasWithState(
         step, output, "past array<double>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def history_in_batches(
+    laps: DataFrame, keys: Sequence[str], path: str, state: str, *, order: str = "LapNumber", value: str = "LapTime",
+    rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Drain the stream ``laps`` into ``path``; the last laps of every driver live in Parquet under ``state``.
+
+    Batch n reads the laps stored by batch n - 1 and writes its own folders, so a repeated batch gives the same rows.
+    """
+    spark, keys = laps.sparkSession, list(keys)
+    columns = [*keys, order, value]
+    schema = laps.select(*columns).schema
+    newest = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), F.col(order).desc())
+
+    def store(batch: DataFrame, number: int) -> None:
+        arrived = batch.select(*columns).withColumn("_new", F.lit(True))
+        if number:
+            stored = spark.read.schema(schema).parquet(f"{state}/tails/{number - 1}")
+            arrived = arrived.unionByName(stored.withColumn("_new", F.lit(False)))
+        s = open_segments(arrived, keys, [order], depth=LOOKBACK, rows=rows)
+        done = s.close(s.frame.withColumns(lap_time_columns(s, value)))
+        done.where("_new").drop("_new").write.mode("overwrite").parquet(f"{path}/_batch={number}")
+        tails = arrived.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= LOOKBACK)
+        tails.select(*columns).write.mode("overwrite").parquet(f"{state}/tails/{number}")
+
+    query = (
+        laps.writeStream.foreachBatch(store).option("checkpointLocation", f"{state}/query")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], *[f"{n} double" for n in FEATURES]])
+    return spark.read.schema(shape).parquet(path).drop("_batch")

@@ -37,15 +37,16 @@ def live_lap_features(
 
 def run_to_table(
     stream: DataFrame, name: str, *, mode: str, key: Sequence[str] = (),
-    score: Callable[[DataFrame], DataFrame] | None = None, schema=None,
+    score: Callable[[DataFrame], DataFrame] | None = None, schema=None, path: str | None = None, state: str | None = None,
 ) -> DataFrame:
     """Drain the stream into a Parquet table and return it.
 
     Update mode emits a row each time its aggregate moves: every batch is stored with its number and the newest row
-    per key is the answer. A repeated batch overwrites its own folder, so a restart does not double rows.
+    per key is the answer. With the same ``path`` and ``state`` a restarted query goes on where it stopped, and a
+    repeated batch overwrites its own folder, so nothing doubles.
     """
     spark = stream.sparkSession
-    path, state = fresh_path(spark, f"{name}-out"), fresh_path(spark, f"{name}-state")
+    path, state = path or fresh_path(spark, f"{name}-out"), state or fresh_path(spark, f"{name}-state")
 
     def store(batch: DataFrame, number: int) -> None:
         rows = score(batch) if score else batch
