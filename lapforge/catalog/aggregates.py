@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lapforge import constants as K
 from lapforge.catalog.filters import base_laps
 from lapforge.catalog.registry import KEY, base_sql, kept_sql, laps_sql, register, samples_sql
-from lapforge.operators import aggregates, encoding, filters, splits
+from lapforge.operators import aggregates, encoding, splits
 from lapforge.plans import features, reports, training
 from lapforge.sources import testdata as data
 
@@ -79,7 +79,7 @@ scored AS (
 
 
 def scored_laps(spark, sf_dir):
-    kept = features.session_baseline(filters.iqr_filter(base_laps(spark, sf_dir)))
+    kept = features.surviving_laps(base_laps(spark, sf_dir))
     longest = kept.groupBy(*K.SESSION).agg(F.max("LapNumber").alias("_laps"))
     return kept.join(longest, K.SESSION).select(
         *kept.columns, F.col("LapTimeResidual").alias("y"), (F.col("TyreLife") / 8 - F.col("brake_ratio")).alias("pred"),

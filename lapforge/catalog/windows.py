@@ -102,8 +102,7 @@ races AS (SELECT Driver, year, gp, round, avg(LapTimeResidual) AS mean_residual
 
 
 def _race_residuals(spark, sf_dir):
-    kept = filters.iqr_filter(filters.session_is(base_laps(spark, sf_dir), "R"))
-    return features.session_baseline(kept)
+    return features.surviving_laps(filters.session_is(base_laps(spark, sf_dir), "R"))
 
 
 @register("agg_race_residual", kept_sql("SELECT Driver, year, gp, mean_residual FROM races", _RESIDUALS))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lapforge.constants import EXCLUDED_GPS, IQR_FACTOR, MIN_TRACK_ROWS, SESSION
 from lapforge.operators.quantiles import approximate_quantiles, group_quantiles
+from lapforge.session import written_table
 
 
 def basic_stages(
@@ -66,10 +67,11 @@ def iqr_filter(
     df: DataFrame, *, keys: Sequence[str] = SESSION, value: str = "LapTime", factor: float = IQR_FACTOR,
     approximate: bool = False,
 ) -> DataFrame:
-    """Keep values inside the quartile fences of their group."""
+    """Keep values inside the quartile fences of their group. The fences, one row per group, are written out first."""
     quartiles = (approximate_quantiles if approximate else group_quantiles)(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
+    fences = written_table(iqr_fences(quartiles, factor), "fences")
     return (
-        df.join(iqr_fences(quartiles, factor), list(keys))
+        df.join(fences, list(keys))
         .where(F.col(value).between(F.col("_low"), F.col("_high")))
         .select(*df.columns)
     )

@@ -48,7 +48,7 @@ def nearest_in_time(
         lasts={"back": F.col("_seen")}, nexts={"ahead": F.col("_seen")},
     )
     back = F.coalesce(F.last("_seen", ignorenulls=True).over(s.running()), s.carried("back"))
-    ahead = F.coalesce(F.first("_seen", ignorenulls=True).over(s.following()), s.carried("ahead"))
+    ahead = F.coalesce(F.last("_seen", ignorenulls=True).over(s.backwards()), s.carried("ahead"))
     matched = s.close(s.frame.withColumns({"_back": back, "_ahead": ahead})).where(F.col("_side") == 1)
     forward_wins = F.col("_back").isNull() | (F.col("_ahead.at") - F.col("_at") < F.col("_at") - F.col("_back.at"))
     chosen = F.when(F.col("_ahead").isNotNull() & forward_wins, F.col("_ahead")).otherwise(F.col("_back"))

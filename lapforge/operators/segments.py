@@ -51,8 +51,10 @@ class Segments:
     def running(self, *more: str) -> WindowSpec:
         return self.ordered(*more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def following(self) -> WindowSpec:
-        return self.ordered().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    def backwards(self) -> WindowSpec:
+        """From the last row up to this one, in reverse: a running frame, where "all following rows" would be quadratic."""
+        reverse = self.whole().orderBy(*[F.col(c).desc() for c in self.order])
+        return reverse.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def _from_carry(self, column: str, spec: WindowSpec) -> Column:
         return F.max(column).over(spec) if column in self.helper else F.lit(None)
@@ -145,7 +147,7 @@ def open_segments(
     here = Window.partitionBy(*keys, SEG).orderBy(*order)
     numbered = big.withColumn("_local", F.row_number().over(here)) if marks else big
     earlier = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     summary = (
         numbered.groupBy(*keys, SEG).agg(*per_segment)
@@ -159,7 +161,7 @@ def open_segments(
     for name in lasts:
         summary = summary.withColumn(f"_c_{name}", F.last(f"_l_{name}", ignorenulls=True).over(earlier))
     for name in nexts:
-        summary = summary.withColumn(f"_c_{name}", F.first(f"_f_{name}", ignorenulls=True).over(later))
+        summary = summary.withColumn(f"_c_{name}", F.last(f"_f_{name}", ignorenulls=True).over(later))
     for column in maxima:
         summary = summary.withColumn(f"_x_{column}", F.max(f"_x_{column}").over(group))
     named = [*marks, *sums, *lasts, *nexts]

@@ -4,9 +4,9 @@ Step order matters and is kept: basic filter, session split, outlier fences, his
 recent form, residual cut. Laps cut by the residual have already fed their neighbours' history.
 
 Shape of the plan. The wide rows are shuffled once, by driver session, and every ordered window runs on that one
-exchange. All the rest reaches the rows as small tables computed from narrow column-pruned reads: the outlier fences
-and the session median come from one (session, lap time) count table and are written out as one row per session,
-race length and form come from one aggregate per (session, driver).
+exchange. All the rest reaches the rows as small tables computed from narrow column-pruned reads and written out, so
+that their size is known when the wide plan is made: the outlier fences and the session median (one row per session,
+from one table of lap-time counts), race length and form (one row per session and driver).
 """
 
 from __future__ import annotations
@@ -41,9 +41,22 @@ def session_statistics(laps: DataFrame, factor: float = K.IQR_FACTOR, *, rows: i
     return fences.join(medians, K.SESSION)
 
 
+def surviving_laps(laps: DataFrame) -> DataFrame:
+    """Laps inside the outlier fences of their session, with the session median and the residual against it.
+
+    The session statistics are written out first, so the rows themselves only meet a small broadcast table.
+    """
+    statistics = written_table(session_statistics(laps), "session-statistics")
+    return (
+        laps.join(statistics, K.SESSION)
+        .where(F.col("LapTime").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+        .withColumn("LapTimeResidual", F.col("LapTime") - F.col("session_baseline"))
+    )
+
+
 def session_baseline(laps: DataFrame) -> DataFrame:
     """Attach the session median and the residual against it."""
-    medians = group_quantiles(laps, K.SESSION, "LapTime", {"session_baseline": 0.5})
+    medians = written_table(group_quantiles(laps, K.SESSION, "LapTime", {"session_baseline": 0.5}), "session-medians")
     return laps.join(medians, K.SESSION, "left").withColumn(
         "LapTimeResidual", F.col("LapTime") - F.col("session_baseline")
     )
@@ -61,15 +74,7 @@ def build_features(
     v4 = version == "v4"
 
     base = filters.session_is(filters.basic_filter(laps, excluded=excluded), session)
-    statistics = written_table(session_statistics(base), "session-statistics")
-    kept = (
-        base.join(statistics, K.SESSION)
-        .where(F.col("LapTime").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
-        .withColumns({
-            "LapTimeResidual": F.col("LapTime") - F.col("session_baseline"),
-            "CompoundEncoded": S.compound_code("Compound"),
-        })
-    )
+    kept = surviving_laps(base).withColumn("CompoundEncoded", S.compound_code("Compound"))
     if v4:
         kept = kept.withColumns({c: F.lit(0) for c in ("is_sc", "is_vsc", "is_yellow") if c not in kept.columns})
         kept = kept.withColumns({
@@ -91,11 +96,11 @@ def build_features(
         built = built.withColumns(history.neutralization_columns(s, F.col("is_neutralized")))
     built = history.derived_scores(s.close(built))
 
-    races = kept.groupBy("year", "gp", "session_code", "Driver").agg(
-        F.avg("LapTimeResidual").alias("mean_residual"), F.max("LapNumber").alias("_laps"),
-        *([F.max(form_order).alias(form_order)] if form_order != "gp" else []),
-    )
     if v4:
+        races = written_table(kept.groupBy("year", "gp", "session_code", "Driver").agg(
+            F.avg("LapTimeResidual").alias("mean_residual"), F.max("LapNumber").alias("_laps"),
+            *([F.max(form_order).alias(form_order)] if form_order != "gp" else []),
+        ), "races")
         lengths = races.groupBy(*K.SESSION).agg(F.max("_laps").alias("_race_laps"))
         form = recent_form(races.where(F.col("Driver").isNotNull()), order=form_order).select(
             "Driver", "year", "gp", "avg_residual_last_3_races"
