@@ -38,11 +38,13 @@ def telemetry_columns(s: Segments, columns: Sequence[str]) -> dict[str, Column]:
 
 
 def tyre_columns(s: Segments) -> dict[str, Column]:
+    return {"tyre_ratio": s.keyed(F.try_divide(F.col("TyreLife"), F.max("TyreLife").over(s.whole())))}
+
+
+def stint_columns(s: Segments) -> dict[str, Column]:
+    """These order rows by stint as well: evaluate them last, so that the rows are sorted twice and not three times."""
     progress = F.try_divide(s.position_within(), s.size_within())
-    return {
-        "tyre_ratio": s.keyed(F.try_divide(F.col("TyreLife"), F.max("TyreLife").over(s.whole()))),
-        "stint_progress": s.keyed(F.when(F.col("Stint").isNotNull(), progress)),
-    }
+    return {"stint_progress": s.keyed(F.when(F.col("Stint").isNotNull(), progress))}
 
 
 def neutralization_columns(s: Segments, flag: Column) -> dict[str, Column]:
@@ -91,7 +93,7 @@ def tyre_and_stint(
     df: DataFrame, keys: Sequence[str] = K.LAP_GROUP, order: str = K.LAP_ORDER, *, rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     s = open_segments(df, keys, [order], maxima=["TyreLife"], within="Stint", rows=rows)
-    return s.close(s.frame.withColumns(tyre_columns(s)))
+    return s.close(s.frame.withColumns(tyre_columns(s) | stint_columns(s)))
 
 
 def laps_since_neutralization(

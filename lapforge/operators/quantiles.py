@@ -1,10 +1,9 @@
 """Exact quantiles per group, also for a group too large for one task.
 
-Rows collapse to (group, value, count) with map-side combine. Groups of up to ``SMALL_GROUP`` rows then use the
-built-in exact percentile over those counts. Larger groups, found by a narrow count first, are spread: their values
-fall into bins of about 0.02 % relative width, bin sizes say which bin holds a wanted rank, only the values of those
-bins are ordered, and linear interpolation follows. Quantiles of a value range (after an outlier filter, say) come
-from the same counts without another pass over the rows.
+Groups of up to ``SMALL_GROUP`` values use the built-in exact percentile. Larger groups, found by a narrow count
+first, are spread: rows collapse to (group, value, count) with map-side combine, values fall into bins of about
+0.02 % relative width, bin sizes say which bin holds a wanted rank, only the values of those bins are ordered, and
+linear interpolation follows.
 """
 
 from __future__ import annotations
@@ -21,27 +20,22 @@ SMALL_GROUP = 4_000_000
 BINS_PER_E_FOLD = 4096
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, ``_v``, ``_count``) of the non-missing values."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_count"))
-    )
-
-
 def _bin(value: Column) -> Column:
     """A coarse number that never decreases with the value."""
     return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * BINS_PER_E_FOLD)).cast("int")
 
 
-def _spread_quantiles(counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+def _spread_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     keys = list(keys)
 
     def ranks(prob: float) -> tuple[Column, Column]:
         exact = F.lit(float(prob)) * (F.col("_size") - 1)
         return F.floor(exact), F.ceil(exact)
 
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_count"))
+    )
     binned = counts.withColumn("_bin", _bin(F.col("_v")))
     group = Window.partitionBy(*keys)
     before = F.sum("_in").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
@@ -72,20 +66,20 @@ def _spread_quantiles(counts: DataFrame, keys: Sequence[str], probs: Mapping[str
     return picked.select(*keys, *[between(n, p) for n, p in probs.items()])
 
 
-def _builtin_quantiles(counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
-    every = F.percentile("_v", list(probs.values()), F.col("_count"))
+def _builtin_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    every = F.percentile(F.col(value).cast("double"), list(probs.values())).alias("_all")
     names = [F.col("_all")[i].alias(n) for i, n in enumerate(probs)]
-    return counts.groupBy(*keys).agg(every.alias("_all")).select(*keys, *names)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(every).select(*keys, *names)
 
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float], large: DataFrame | None = None
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], large: DataFrame | None
 ) -> DataFrame:
     """One row per group: ``name -> quantile`` for every entry of ``probs``. ``large`` names the groups to spread."""
     if large is None:
-        return _builtin_quantiles(counts, keys, probs)
-    small = _builtin_quantiles(counts.join(large, list(keys), "left_anti"), keys, probs)
-    return small.unionByName(_spread_quantiles(counts.join(large, list(keys), "left_semi"), keys, probs))
+        return _builtin_quantiles(df, keys, value, probs)
+    small = _builtin_quantiles(df.join(large, list(keys), "left_anti"), keys, value, probs)
+    return small.unionByName(_spread_quantiles(df.join(large, list(keys), "left_semi"), list(keys), value, probs))
 
 
 def large_groups(df: DataFrame, keys: Sequence[str], value: str, rows: int = SMALL_GROUP) -> DataFrame | None:
@@ -98,7 +92,7 @@ def group_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, rows: int = SMALL_GROUP
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group; groups without values are left out."""
-    return quantiles_of_counts(value_counts(df, keys, value), keys, probs, large_groups(df, keys, value, rows))
+    return quantiles(df, keys, value, probs, large_groups(df, keys, value, rows))
 
 
 def approximate_quantiles(

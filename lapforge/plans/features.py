@@ -5,8 +5,8 @@ recent form, residual cut. Laps cut by the residual have already fed their neigh
 
 Shape of the plan. The wide rows are shuffled once, by driver session, and every ordered window runs on that one
 exchange. All the rest reaches the rows as small tables computed from narrow column-pruned reads and written out, so
-that their size is known when the wide plan is made: the outlier fences and the session median (one row per session,
-from one table of lap-time counts), race length and form (one row per session and driver).
+that their size is known when the wide plan is made: outlier fences and session median (one row per session), race
+length and form (one row per session and driver).
 """
 
 from __future__ import annotations
@@ -20,9 +20,7 @@ from lapforge import constants as K
 from lapforge.functions import scalars as S
 from lapforge.operators import filters, history
 from lapforge.operators.aggregates import recent_form
-from lapforge.operators.quantiles import (
-    SMALL_GROUP, group_quantiles, large_groups, quantiles_of_counts, value_counts,
-)
+from lapforge.operators.quantiles import SMALL_GROUP, group_quantiles, large_groups, quantiles
 from lapforge.operators.segments import SEGMENT_ROWS, open_segments
 from lapforge.session import written_table
 
@@ -30,15 +28,15 @@ from lapforge.session import written_table
 def session_statistics(laps: DataFrame, factor: float = K.IQR_FACTOR, *, rows: int = SMALL_GROUP) -> DataFrame:
     """Per session: outlier fences, and the median of the lap times inside them."""
     large = large_groups(laps, K.SESSION, "LapTime", rows)
-    counts = value_counts(laps, K.SESSION, "LapTime")
-    fences = filters.iqr_fences(quantiles_of_counts(counts, K.SESSION, {"_q1": 0.25, "_q3": 0.75}, large), factor)
-    inside = counts.join(fences, K.SESSION).where(F.col("_v").between(F.col("_low"), F.col("_high")))
-    bounds = [F.first("_low").alias("_low"), F.first("_high").alias("_high")]
+    narrow = laps.select(*K.SESSION, "LapTime")
+    quartiles = quantiles(narrow, K.SESSION, "LapTime", {"_q1": 0.25, "_q3": 0.75}, large)
+    fences = filters.iqr_fences(quartiles, factor)
+    inside = narrow.join(fences, K.SESSION).where(F.col("LapTime").between(F.col("_low"), F.col("_high")))
     if large is None:
-        median = F.percentile("_v", 0.5, F.col("_count")).alias("session_baseline")
-        return inside.groupBy(*K.SESSION).agg(*bounds, median)
-    medians = quantiles_of_counts(inside.drop("_low", "_high"), K.SESSION, {"session_baseline": 0.5}, large)
-    return fences.join(medians, K.SESSION)
+        return inside.groupBy(*K.SESSION).agg(
+            F.first("_low").alias("_low"), F.first("_high").alias("_high"),
+            F.percentile("LapTime", 0.5).alias("session_baseline"))
+    return fences.join(quantiles(inside, K.SESSION, "LapTime", {"session_baseline": 0.5}, large), K.SESSION)
 
 
 def surviving_laps(laps: DataFrame) -> DataFrame:
@@ -94,7 +92,7 @@ def build_features(
     built = s.frame.withColumns(columns)
     if v4:
         built = built.withColumns(history.neutralization_columns(s, F.col("is_neutralized")))
-    built = history.derived_scores(s.close(built))
+    built = history.derived_scores(s.close(built.withColumns(history.stint_columns(s))))
 
     if v4:
         races = written_table(kept.groupBy("year", "gp", "session_code", "Driver").agg(
