@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.catalog.features import race_features
-from lapforge.catalog.registry import TEST_YEAR, TRAIN_YEARS, WEIGHTS, register
+from lapforge.catalog.registry import TEST_YEAR, TRACKS, TRAIN_YEARS, WEIGHTS, register
 from lapforge.operators import history, splits
 from lapforge.plans import training
 from lapforge.session import fresh_path, written_table
@@ -86,3 +86,11 @@ def model_pit_classifier(spark, sf_dir):
     model = training.pit_classifier(laps, trees=10)
     scored = model.transform(training.doubles(laps, K.PIT_FEATURES, fill_zero=True))
     return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.avg("TyreLife").alias("mean_tyre_life"))
+
+
+@register("model_local_tracks")
+def model_local_tracks(spark, sf_dir):
+    df = _inputs(spark, sf_dir)
+    space = {**K.LOCAL_SEARCH, "n_estimators": (2, 4), "max_depth": (3, 4)}
+    return training.evaluate_tracks(
+        df, TRACKS, training.available(df, K.LOCAL_CANDIDATES), key=[*K.LAP_GROUP, K.LAP_ORDER], space=space, trials=2)

@@ -259,3 +259,30 @@ def pit_classifier(df: DataFrame, features: Sequence[str] = K.PIT_FEATURES, tree
     ready = doubles(df.withColumn("pit_label", S.pit_label()), features, fill_zero=True)
     forest = RandomForestClassifier(labelCol="pit_label", featuresCol="features", numTrees=trees, seed=K.SPLIT_SEED)
     return regression(features, forest, fill_zero=True).fit(ready)
+
+
+def evaluate_tracks(
+    df: DataFrame, tracks: Sequence[str], features: Sequence[str], *, key: Sequence[str], space: Mapping = K.LOCAL_SEARCH,
+    trials: int | None = None, minimum: int = K.MIN_TRACK_ROWS, target: str = K.TARGET, parallelism: int = 2,
+) -> DataFrame:
+    """A searched booster per listed track with enough rows: 80/20 split, best candidate, its metrics on the test part."""
+    spark = df.sparkSession
+    listed = df.where(F.col("gp").isin(list(tracks))).groupBy("gp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r.gp: r.n for r in listed.where(F.col("n") >= minimum).collect()}
+    candidates = draw_params(space, trials)
+
+    def one(gp: str) -> tuple:
+        marked = doubles(splits.random_split(df.where(F.col("gp") == gp), key), features, fill_zero=True).persist()
+        train, test = (marked.where(F.col("part") == p) for p in ("train", "test"))
+
+        def metrics(params: Mapping):
+            fitted = regression(features, booster(params, label=target), fill_zero=True).fit(train)
+            return aggregates.error_metrics(fitted.transform(test), truth=target, prediction="prediction").first()
+
+        best = min((metrics(p) for p in candidates), key=lambda m: m.rmse)
+        marked.unpersist()
+        return gp, best.rmse, best.mae, best.r2, sizes[gp]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(one, [t for t in tracks if t in sizes]))
+    return spark.createDataFrame(rows, schemas.LOCAL_RESULTS)
