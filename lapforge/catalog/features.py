@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapforge.catalog.registry import DRIVER, ERAS, EXCLUDED, LAP_WINDOW, kept_sql, register
+from lapforge.catalog.registry import DRIVER, ERAS, EXCLUDED, LAP_WINDOW, cut_rows, kept_sql, register
 from lapforge.catalog.scalars import COMPOUND_SQL
 from lapforge.catalog.windows import HISTORY_SQL, NEUTRAL_SQL, TELEMETRY_SQL, TYRE_SQL
 from lapforge.plans import features
@@ -60,8 +60,8 @@ def features_race_v4(spark, sf_dir):
 
 @register("features_race_v4_split", kept_sql("SELECT * FROM features", *_v4("R", 3)))
 def features_race_v4_split(spark, sf_dir):
-    """The same features with every driver session above 12 laps treated as a hot one."""
-    return _tidy(race_features(spark, sf_dir, segment_rows=12))
+    """The same features with driver sessions above a few laps treated as hot ones."""
+    return _tidy(race_features(spark, sf_dir, segment_rows=cut_rows(data.laps(spark, sf_dir), 4, 5000)))
 
 
 @register("features_quali_v4", kept_sql("SELECT * FROM features", *_v4("Q", 5)))

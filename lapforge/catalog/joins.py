@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.catalog.registry import (
-    KEY, RACE_CONTROL, SAMPLES, TRACKS, base_sql, laps_sql, messages_sql, quali_sql, register, samples_sql, weather_sql,
+    KEY, RACE_CONTROL, SAMPLES, TRACKS, base_sql, cut_rows, laps_sql, messages_sql, quali_sql, register, samples_sql, weather_sql,
 )
 from lapforge.catalog.windows import _STATE
 from lapforge.catalog.filters import base_laps
@@ -33,8 +33,8 @@ def join_weather_nearest(spark, sf_dir):
 
 @register("join_weather_nearest_split", weather_sql(_NEAREST_BODY))
 def join_weather_nearest_split(spark, sf_dir):
-    """The same join with every session above 100 rows cut into time segments."""
-    return _weather(spark, sf_dir, rows=100)
+    """The same join with the sessions cut into time segments."""
+    return _weather(spark, sf_dir, rows=cut_rows(data.lap_starts(spark, sf_dir), 10, 20))
 
 
 @register("join_lap_flags", messages_sql("""

@@ -31,6 +31,11 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def cut_rows(df: DataFrame, least: int, parts: int) -> int:
+    """Segment size for the ``*_split`` queries: small enough to cut ordinary groups here, growing with the table."""
+    return max(least, df.count() // parts)
+
+
 _LAPS = """
 laps AS (
   SELECT year, gp, round, session_code, DriverNumber, 'D' || DriverNumber AS Driver,

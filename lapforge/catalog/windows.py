@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.catalog.filters import base_laps
-from lapforge.catalog.registry import DRIVER, KEY, LAP_WINDOW, base_sql, kept_sql, laps_sql, messages_sql, register
+from lapforge.catalog.registry import (
+    DRIVER, KEY, LAP_WINDOW, base_sql, cut_rows, kept_sql, laps_sql, messages_sql, register,
+)
 from lapforge.catalog.scalars import COMPOUND_SQL
 from lapforge.functions import scalars as S
 from lapforge.operators import aggregates, filters, history, joins
@@ -31,8 +33,9 @@ def window_lap_history(spark, sf_dir):
 
 @register("window_lap_history_split", laps_sql(f"SELECT {KEY}, {HISTORY_SQL} FROM laps {LAP_WINDOW}"))
 def window_lap_history_split(spark, sf_dir):
-    """The same history with every group above 16 laps treated as a hot one."""
-    out = history.lap_time_history(data.laps(spark, sf_dir).select(*KEYS, "LapTime"), rows=16).drop("LapTime")
+    """The same history with groups above a few laps treated as hot ones."""
+    laps = data.laps(spark, sf_dir).select(*KEYS, "LapTime")
+    out = history.lap_time_history(laps, rows=cut_rows(laps, 8, 4000)).drop("LapTime")
     return out.withColumn("lap_time_std_5_prev", F.round("lap_time_std_5_prev", 6))
 
 
@@ -178,7 +181,8 @@ def window_race_control_flags(spark, sf_dir):
 
 @register("window_race_control_flags_split", messages_sql("SELECT session, Lap, is_sc, is_vsc, is_yellow FROM flags", _STATE))
 def window_race_control_flags_split(spark, sf_dir):
-    return joins.lap_flags(data.race_control(spark, sf_dir), keys=["session"], order=["ts", "seq"], rows=200)
+    messages = data.race_control(spark, sf_dir)
+    return joins.lap_flags(messages, keys=["session"], order=["ts", "seq"], rows=cut_rows(messages, 20, 50))
 
 
 @register("window_race_control_carry", messages_sql("""

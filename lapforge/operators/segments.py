@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lapforge.session import listed
 
 SEGMENT_ROWS = 4_000_000
+BINS_PER_SEGMENT = 16
 
 SEG, EXTRA, BEFORE = "_seg", "_extra", "_before"
 _WITHIN_BEFORE, _WITHIN_TOTAL = "_within_before", "_within_total"
@@ -83,16 +84,35 @@ class Segments:
         return df.where(~F.col(EXTRA)).drop(*self.helper)
 
 
+def _bin(axis: Column) -> Column:
+    slot = F.floor((axis - F.col("_from")) / F.col("_width"))
+    return F.when(axis.isNotNull(), F.least(slot, F.col("_bins") - 1)).cast("int")
+
+
 def _hot_groups(df: DataFrame, keys: list[str], axis: Column, rows: int) -> DataFrame | None:
-    """Groups with more than ``rows`` rows: their first order value and segment width; None if there are none."""
-    groups = (
+    """Groups with more than ``rows`` rows and where to cut them; None if there are none.
+
+    The order column of a hot group falls into equal bins; bins are counted and filled up to ``rows`` rows per segment,
+    so that clustered order values still give even segments. ``_segments[bin]`` is the segment. Over all groups there
+    are at most ``BINS_PER_SEGMENT * (all rows / rows + 1)`` bins.
+    """
+    bins = (F.ceil(F.col("_rows") / rows) * BINS_PER_SEGMENT).cast("int")
+    sizes = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(axis).alias("_from"), F.max(axis).alias("_to"))
-        .where(F.col("_rows") > rows)
-        .select(*keys, "_from", ((F.col("_to") - F.col("_from")) / F.ceil(F.col("_rows") / rows)).alias("_width"))
-        .where(F.col("_width") > 0)
+        .where((F.col("_rows") > rows) & (F.col("_to") > F.col("_from")))
+        .select(*keys, "_from", bins.alias("_bins"), ((F.col("_to") - F.col("_from")) / bins).alias("_width"))
     )
-    return listed(groups)
+    hot = listed(sizes)
+    if hot is None:
+        return None
+    counts = df.where(axis.isNotNull()).join(hot, keys).groupBy(*keys, _bin(axis).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    filled = counts.select(*keys, "_bin", F.floor(F.coalesce(before, F.lit(0)) / rows).cast("int").alias("_s"))
+    every = hot.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("_bin"))
+    lists = every.join(filled, [*keys, "_bin"], "left").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_bin", F.coalesce("_s", F.lit(0)).alias("_s")))).alias("_list"))
+    return listed(hot.join(lists, keys).select(*keys, "_from", "_bins", "_width", F.col("_list._s").alias("_segments")))
 
 
 def open_segments(
@@ -128,8 +148,7 @@ def open_segments(
     if hot is None:
         frame = df.withColumns({SEG: F.lit(0).cast("bigint"), EXTRA: F.lit(False)})
         return Segments(frame, tuple(keys), tuple(order), within, (SEG, EXTRA))
-    step = F.floor((axis - F.col("_from")) / F.col("_width"))
-    seg = F.coalesce(F.when(F.col("_width").isNotNull(), step), F.lit(0)).cast("bigint").alias(SEG)
+    seg = F.coalesce(F.get(F.col("_segments"), _bin(axis)), F.lit(0)).cast("bigint").alias(SEG)
     cut = df.join(hot, keys, "left").select(*columns, seg)
     big = df.join(hot, keys, "inner").select(*columns, seg)
 

@@ -105,3 +105,22 @@ def test_all_rows_in_one_hot_group_at_one_order_value(spark):
     df = spark.createDataFrame([(1, 5, float(i)) for i in range(50)], "k int, o int, v double")
     s = open_segments(df, ["k"], ["o", "v"], rows=3, depth=2)
     assert s.close(s.frame).count() == 50
+
+
+def test_clustered_order_values_still_give_even_segments(spark):
+    """Half of the rows sit in a thousandth of the range."""
+    values = [float(i) / 1000 for i in range(500)] + [float(i) for i in range(1, 501)]
+    df = spark.createDataFrame([(1, v) for v in values], "k int, o double")
+    s = open_segments(df, ["k"], ["o"], rows=100)
+    sizes = [r["count"] for r in s.close(s.frame.withColumn("seg", F.col("_seg"))).groupBy("seg").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 5
+    placed = sorted_rows(group_position(df, ["k"], ["o"], "at", rows=100), "o", "at")
+    assert sorted(placed["at"]) == list(range(1, 1001))
+
+
+@pytest.mark.parametrize("rows", [4_000_000, 9])
+def test_missing_order_values_come_first(spark, rows):
+    df = spark.createDataFrame([(1, None, float(i)) for i in range(3)] + [(1, i, float(i)) for i in range(40)], "k int, o int, v double")
+    placed = group_position(df, ["k"], ["o", "v"], "at", rows=rows)
+    assert {r["at"] for r in placed.where("o is null").collect()} == {1, 2, 3}
+    assert {r["at"] for r in placed.collect()} == set(range(1, 44))
