@@ -37,14 +37,19 @@ def unpacked(row: str, columns: list[str], *new: str) -> list[Column]:
     return [F.col(row).getField(c).alias(c) for c in columns if c not in new]
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with at most one row of ``right`` to a key, where one key may hold a large share of ``left``.
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: str | None = None) -> DataFrame:
+    """Join with few rows of ``right`` to a key, where one key may hold a large share of ``left``.
 
-    The rows of a key go to SALTS tasks; each of them gets a copy of the key's row of ``right``.
+    The rows of a key go to SALTS tasks; each of them gets a copy of the key's rows of ``right``. If both sides have a
+    boolean column ``hot`` that depends on the key, only its keys are spread. Always a merge join: which side is small
+    enough for a broadcast must not decide whether ``left`` is shuffled.
     """
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    spread = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return spread.join(right.withColumn("_salt", salts), [*on, "_salt"], how).drop("_salt")
+    salts, number = F.array(*[F.lit(i) for i in range(SALTS)]), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    if hot:
+        salts, number = F.when(F.col(hot), salts).otherwise(F.array(F.lit(0))), F.when(F.col(hot), number).otherwise(F.lit(0))
+        on = [*on, hot]
+    copies = right.withColumn("_salt", F.explode(salts)).hint("merge")
+    return left.withColumn("_salt", number).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -22,14 +22,16 @@ from lapforge.llm.common import payload, salted_join, side_table, table, unpacke
 from lapforge.llm.registry import register
 
 SPACE = r"[ \t\n\x0B\f\r]+"
+HOT = 10_000
 NEW = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", carry_text: bool = True, first: int = 32,
-                 growth: int = 16, widest: int = 1 << 20) -> DataFrame:
+def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", carry_text: bool = True, first: int = 64,
+                 growth: int = 512, widest: int = 1 << 20) -> DataFrame:
     """Every row with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; without its text unless ``carry_text``.
 
-    ``first`` is the bytes of the first digit, each later digit is ``growth`` times as wide, up to ``widest``.
+    ``first`` is the bytes of the first digit, each later digit is ``growth`` times as wide, up to ``widest``. The first
+    level spreads the rows of every digit; later ones know the size of a group and spread those of over HOT rows.
     """
     columns = [c for c in df.columns if carry_text or c != text]
     bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "").cast("binary")
@@ -44,7 +46,7 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", carry_t
     rows = rows.withColumn("digit", F.substring("rest", 1, first))
     level = side_table(
         salted_join(rows, shared, ["length", "digit"], "left").select(
-            "row", "id", "chars", "sha", "length", "label",
+            "row", "id", "chars", "sha", "length", "label", "hot",
             F.when(F.col("label").isNotNull(), F.expr(f"substring(rest, {first + 1})")).alias("rest"),
             F.monotonically_increasing_id().alias("seq")), "radix-level")
     alone, ended, used, width, number = [], [], first, first, 0
@@ -56,10 +58,11 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", carry_t
             break
         width, number = min(width * growth, widest), number + 1
         level = level.withColumn("digit", F.substring("rest", 1, width))
-        shared = side_table(_labelled(level.groupBy("label", "digit"), number), "radix-keys")
+        shared = side_table(_labelled(level.groupBy("label", "digit", F.col("hot").alias("was_hot")), number), "radix-keys")
+        shared = shared.withColumnsRenamed({"label": "split", "parent": "label", "hot": "stays_hot", "was_hot": "hot"})
         level = side_table(
-            salted_join(level, shared.withColumnsRenamed({"label": "split", "parent": "label"}), ["label", "digit"], "left").select(
-                "row", "id", "chars", "sha", "length", F.col("split").alias("label"),
+            salted_join(level, shared, ["label", "digit"], "left", hot="hot").select(
+                "row", "id", "chars", "sha", "length", F.col("split").alias("label"), F.col("stays_hot").alias("hot"),
                 F.when(F.col("split").isNotNull(), F.expr(f"substring(rest, {width + 1})")).alias("rest"), "seq"), "radix-level")
         used += width
     members = _together(ended).select("row", "id", "chars", "sha", "label", "seq")
@@ -83,7 +86,7 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 def _labelled(grouped, number: int) -> DataFrame:
     """The digits that more than one row has, each with a label that no other level gives."""
     base = F.lit(number << 56).cast("long")
-    keys = grouped.agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    keys = grouped.agg(F.count("*").alias("n")).where("n > 1").withColumn("hot", F.col("n") > HOT).drop("n")
     if "label" in keys.columns:
         keys = keys.withColumnRenamed("label", "parent")
     return keys.withColumn("label", base + F.monotonically_increasing_id())
