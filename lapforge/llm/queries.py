@@ -1,4 +1,4 @@
 """All queries of the corpus operators."""
 
-from lapforge.llm import bpe, exact_dedup, quality  # noqa: F401
+from lapforge.llm import bpe, decontaminate, exact_dedup, quality, simhash, substrings  # noqa: F401
 from lapforge.llm.registry import ORACLES, QUERIES  # noqa: F401
