@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm.common import side_table, table, with_text_columns
+from lapforge.llm.common import bounded_sample, side_table, table, with_text_columns
 from lapforge.llm.registry import register
 
 FEATURES = (
@@ -186,7 +186,7 @@ def fit_on(described: DataFrame, labels: DataFrame, key: str = "doc_id", label:
     """Fit on described rows (key, features) that have a label and aren't held out, at most ``max_rows``."""
     marked = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) != 0).cast("double").alias("_y"))
     rows = described.where(~held_out(key)).join(marked, F.col(key) == F.col("_key")).select("_key", "features", "_y")
-    sample = rows.orderBy(F.xxhash64("_key", "features"), "_y").limit(max_rows).select("features", "_y").toArrow()
+    sample = bounded_sample(rows, ["_key", "features", "_y"], max_rows, rows.count()).select("features", "_y").toArrow()
     y = sample.column("_y").to_numpy()
     x = sample.column("features").combine_chunks().flatten().to_numpy().reshape(len(y), len(FEATURES))
     return fit(x, y)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.llm import vp_trees
-from lapforge.llm.common import salted_join, side_table, table, with_text_columns
+from lapforge.llm.common import bounded_sample, salted_join, side_table, table, with_text_columns
 from lapforge.llm.components import components
 from lapforge.llm.registry import register
 
@@ -61,9 +61,9 @@ def near_links(distinct: DataFrame, bits: int = 4, sample_rows: int = SAMPLE, sh
     """Links (a, b) whose components are those of all pairs of distinct ``fp`` within ``bits`` of each other."""
     spark = distinct.sparkSession
     radius = bits // len(vp_trees.PARTS)
-    drawn = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample_rows).collect()]
-    sample = np.array(drawn, np.int64).view(np.uint64)
     total = distinct.count()
+    drawn = bounded_sample(distinct.select("fp"), ["fp"], sample_rows, total).toArrow()
+    sample = drawn.column("fp").to_numpy().view(np.uint64)
     leaf = max(16, int(shard_rows * len(sample) / max(total, 1)))
     trees = spark.sparkContext.broadcast([vp_trees.grow(sample, mask, radius, leaf) for mask in vp_trees.PARTS])
     firsts = np.cumsum([0] + [t.leaves for t in trees.value])
