@@ -1,4 +1,4 @@
 """All queries of the corpus operators."""
 
-from lapforge.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash, substrings  # noqa: F401
+from lapforge.llm import bpe, decontaminate, exact_dedup, licenses, quality, sharding, simhash, substrings, urls, warc  # noqa: F401
 from lapforge.llm.registry import ORACLES, QUERIES  # noqa: F401
