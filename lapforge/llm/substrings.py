@@ -44,6 +44,7 @@ _INDEX = np.uint64((1 << 28) - 1)
 
 def regions(texts: list[bytes], length: int, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
     """Text number, first and last window start, hash of the anchor and of the whole region, for every region."""
+    prefix = min(prefix, length)
     buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
     starts, ends = word_bounds(buf, ASCII_SPACE)
     n = len(starts) - length + 1
