@@ -8,22 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.constants import ENCODING_SMOOTHING
+from lapforge.session import written_table
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): position in sorted order, from 0.
+CODE_RANGES = 64
 
-    Distinct values are ranked per leading pair of characters and shifted by the number of values before that pair,
-    so a long dictionary is not sorted in one task.
+
+def category_codes(df: DataFrame, column: str, *, ranges: int = CODE_RANGES) -> DataFrame:
+    """(value, code): position in sorted order, from 0. Starts Spark jobs.
+
+    Distinct values are dealt into even ranges of the sorted order, whatever they begin with, ranked inside their range
+    and shifted by the number of values in the ranges before.
     """
     values = df.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
-    lead = values.withColumn("_lead", F.left(F.col(column), F.lit(2)))
-    sizes = lead.groupBy("_lead").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_before", F.coalesce(
-            F.sum("_n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    place = F.row_number().over(Window.partitionBy("_lead").orderBy(column)) - 1
-    return lead.withColumn("_place", place).join(sizes, "_lead").select(
+    ranged = values.repartitionByRange(ranges, column).withColumn("_range", F.spark_partition_id())
+    ranged = written_table(ranged, "categories")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    return ranged.withColumn("_place", place).join(sizes, "_range").select(
         column, (F.col("_place") + F.col("_before")).cast("int").alias("code")
     )
 
@@ -34,17 +38,14 @@ def ordinal_encode(df: DataFrame, column: str, output: str) -> DataFrame:
     return df.join(codes, column, "left").withColumn(output, F.coalesce(F.col(output), F.lit(-1)))
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], *, max_values: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A 0/1 column per value (``column_value``) and one for missing (``column_nan``); the source column goes.
 
-    A column per value only makes sense for a short dictionary; more than ``max_values`` raises.
+    The plan gets a column for every value; for a dictionary that grows with the data use :func:`one_hot_long`.
     """
     out = df
     for column in columns:
-        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
-                  .limit(max_values + 1).collect()]
-        if len(values) > max_values:
-            raise ValueError(f"{column} has more than {max_values} values")
+        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect()]
         out = out.withColumns({
             **{f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in sorted(values)},
             f"{column}_nan": F.col(column).isNull().cast("int"),
@@ -52,6 +53,12 @@ def one_hot(df: DataFrame, columns: Sequence[str], *, max_values: int = 1000) ->
     return out.drop(*columns)
 
 
+def one_hot_long(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The ones of the one-hot matrix: (key, ``feature``), where feature is ``column_value`` or ``column_nan``."""
+    names = [F.concat(F.lit(f"{c}_"), F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in columns]
+    return df.select(*key, F.explode(F.array(*names)).alias("feature"))
+
+
 def fit_target_encoding(
     train: DataFrame, target: str, category: str, smoothing: float = ENCODING_SMOOTHING
 ) -> DataFrame:
@@ -114,21 +121,23 @@ def leave_fold_out_encoding(
     df: DataFrame, target: str, category: str, fold: str, smoothing: float = ENCODING_SMOOTHING,
     output: str | None = None,
 ) -> DataFrame:
-    """Encode each row from the rows of all other folds, for every fold in one pass.
+    """Encode each row from the rows of all other folds, for every fold at once. Starts a Spark job.
 
-    Sums per (category, fold) are taken away from sums per category; nothing is fitted fold by fold.
+    Sums per (category, fold) are taken away from sums per category; nothing is fitted fold by fold. The rows are read
+    once for the sums, which are written, and once to be encoded.
     """
     output, m = output or f"{category}_te", F.lit(float(smoothing))
-    cells = df.groupBy(category, fold).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+    cells = written_table(df.groupBy(category, fold).agg(F.sum(target).alias("s"), F.count(target).alias("n")), "cells")
     by_category = cells.groupBy(category).agg(F.sum("s").alias("s_c"), F.sum("n").alias("n_c"))
     by_fold = cells.groupBy(fold).agg(F.sum("s").alias("s_f"), F.sum("n").alias("n_f"))
-    s_all, n_all = cells.agg(F.sum("s")).scalar(), cells.agg(F.sum("n")).scalar()
+    whole = cells.agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
     n_rest, s_rest = F.col("n_c") - F.col("n"), F.coalesce(F.col("s_c"), F.lit(0.0)) - F.coalesce(F.col("s"), F.lit(0.0))
     value = F.when(n_rest > 0, (s_rest + m * F.col("_gm")) / (n_rest + m)).otherwise(F.col("_gm"))
-    rest = by_fold.select(fold, F.try_divide(s_all - F.col("s_f"), n_all - F.col("n_f")).alias("_gm"))
-    table = (
-        cells.join(by_category, category).join(rest, fold).select(category, fold, value.alias(output))
-    )
+    # One row, joined as such: cross joining it costs nothing and keeps the plan at one read of the sums.
+    rest = by_fold.join(F.broadcast(whole)).select(
+        fold, F.try_divide(F.col("s_all") - F.col("s_f"), F.col("n_all") - F.col("n_f")).alias("_gm"))
+    rest = written_table(rest, "other-folds")
+    table = written_table(cells.join(by_category, category).join(rest, fold).select(category, fold, value.alias(output)), "encodings")
     return (
         df.join(table, [category, fold], "left").join(rest, fold, "left")
         .withColumn(output, F.coalesce(F.col(output), F.col("_gm"))).select(*df.columns, output)

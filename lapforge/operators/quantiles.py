@@ -1,9 +1,11 @@
 """Exact quantiles per group, also for a group too large for one task.
 
 Groups of up to ``SMALL_GROUP`` values use the built-in exact percentile. Larger groups, found by a narrow count
-first, are spread: rows collapse to (group, value, count) with map-side combine, values fall into bins of about
-0.02 % relative width, bin sizes say which bin holds a wanted rank, only the values of those bins are ordered, and
-linear interpolation follows.
+first, are spread, with the same result to the last bit: rows collapse to (group, value, count) with map-side combine,
+values fall into bins of about 0.02 % relative width at every magnitude, bin sizes say which bin holds a wanted rank,
+bins that hold one are cut again into even parts between their least and greatest value, only the values of the parts
+wanted are ordered, and linear interpolation follows. Two steps leave at most about a million different doubles in a
+part. NaN counts as a value above infinity, as it does for the built-in percentile.
 """
 
 from __future__ import annotations
@@ -17,12 +19,25 @@ from pyspark.sql import functions as F
 from lapforge.session import listed
 
 SMALL_GROUP = 4_000_000
-BINS_PER_E_FOLD = 4096
+BINS_PER_OCTAVE = 4096
+PARTS = 1 << 20
+_TOP = 1100 * BINS_PER_OCTAVE
 
 
 def _bin(value: Column) -> Column:
-    """A coarse number that never decreases with the value."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * BINS_PER_E_FOLD)).cast("int")
+    """A coarse number that never decreases with the value, as fine near zero as elsewhere."""
+    size = F.when(value == 0, 0).when(F.abs(value) == float("inf"), 2 * _TOP).otherwise(
+        F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + _TOP)
+    return F.when(F.isnan(value), 2 * _TOP + 1).otherwise(F.signum(value) * size).cast("int")
+
+
+def _holding(counts: DataFrame, keys: Sequence[str], by: str, start: Column, wanted: Sequence[Column]) -> DataFrame:
+    """The bins (``by``) that hold a wanted rank, with the number of values before them (``_start``)."""
+    before = F.sum("_in").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        counts.withColumn("_start", start + F.coalesce(before, F.lit(0)))
+        .where(reduce(Column.__or__, [(F.col("_start") <= r) & (r < F.col("_start") + F.col("_in")) for r in wanted]))
+    )
 
 
 def _spread_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -34,22 +49,22 @@ def _spread_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
 
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_count"))
+        .groupBy(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).agg(F.count(F.lit(1)).alias("_count"))
     )
-    binned = counts.withColumn("_bin", _bin(F.col("_v")))
-    group = Window.partitionBy(*keys)
-    before = F.sum("_in").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     wanted = [r for p in probs.values() for r in ranks(p)]
-    held = (
-        binned.groupBy(*keys, "_bin").agg(F.sum("_count").alias("_in"))
-        .select(*keys, "_bin", "_in", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_in").over(group).alias("_size"))
-        .where(reduce(Column.__or__, [(F.col("_start") <= r) & (r < F.col("_start") + F.col("_in")) for r in wanted]))
-        .select(*keys, "_bin", "_start", "_size")
-    )
-    upto = F.col("_start") + F.sum("_count").over(
-        Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    binned = counts.withColumn("_bin", _bin(F.col("_v")))
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_count").alias("_in"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    bins = bins.withColumn("_size", F.sum("_in").over(Window.partitionBy(*keys)))
+    bins = _holding(bins, keys, "_bin", F.lit(0), wanted).select(*keys, "_bin", "_start", "_size", "_from", "_to")
+    share = (F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+    part = F.when(F.col("_to") > F.col("_from"), F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
+    parted = binned.join(bins, [*keys, "_bin"]).withColumn("_part", part)
+    parts = parted.groupBy(*keys, "_bin", "_part").agg(F.sum("_count").alias("_in"), F.first("_start").alias("_start"), F.first("_size").alias("_size"))
+    parts = _holding(parts, [*keys, "_bin"], "_part", F.col("_start"), wanted).select(*keys, "_bin", "_part", F.col("_start").alias("_at"))
+    upto = F.col("_at") + F.sum("_count").over(
+        Window.partitionBy(*keys, "_bin", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = binned.join(held, [*keys, "_bin"]).withColumn("_upto", upto)
+    ranked = parted.join(parts, [*keys, "_bin", "_part"]).withColumn("_upto", upto)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") - F.col("_count") <= rank) & (rank < F.col("_upto")), F.col("_v")))
@@ -61,13 +76,14 @@ def _spread_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     def between(name: str, prob: float) -> Column:
         exact = F.lit(float(prob)) * (F.col("_size") - 1)
         low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
-        return (low + (high - low) * (exact - F.floor(exact))).alias(name)
+        mixed = (F.ceil(exact) - exact) * low + (exact - F.floor(exact)) * high
+        return F.when(F.ceil(exact) == F.floor(exact), low).when(low == high, low).otherwise(mixed).alias(name)
 
     return picked.select(*keys, *[between(n, p) for n, p in probs.items()])
 
 
 def _builtin_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    every = F.percentile(F.col(value).cast("double"), list(probs.values())).alias("_all")
+    every = F.percentile(F.col(value).cast("double") + F.lit(0.0), list(probs.values())).alias("_all")
     names = [F.col("_all")[i].alias(n) for i, n in enumerate(probs)]
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(every).select(*keys, *names)
 

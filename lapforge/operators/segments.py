@@ -8,9 +8,9 @@ to know about the rows before (or after) it arrives as a few extra rows that rid
 * one carry row with the number of earlier rows, running sums, last / next values and group maxima.
 
 Groups within the bound stay whole in segment 0 and add no extra rows. Which groups are hot is found out first,
-by one narrow aggregate over the keys and the order column. When there are none, the plan is the plain window over
-one shuffle. A short list of them (see :func:`lapforge.session.listed`) becomes a literal table; a longer one is written to the
-shared folder and joined like any other table.
+by one narrow aggregate over the keys. When there are none, the plan is the plain window over one shuffle. Otherwise the
+list of cuts (see :func:`lapforge.session.listed`) is broadcast after a check of its size, so the rows of a hot group are
+spread before they are shuffled for the first time.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lapforge.session import listed
 
 SEGMENT_ROWS = 4_000_000
-BINS_PER_SEGMENT = 16
+SAMPLES = 64
 
 SEG, EXTRA, BEFORE = "_seg", "_extra", "_before"
 _WITHIN_BEFORE, _WITHIN_TOTAL = "_within_before", "_within_total"
@@ -84,35 +84,45 @@ class Segments:
         return df.where(~F.col(EXTRA)).drop(*self.helper)
 
 
-def _bin(axis: Column) -> Column:
-    slot = F.floor((axis - F.col("_from")) / F.col("_width"))
-    return F.when(axis.isNotNull(), F.least(slot, F.col("_bins") - 1)).cast("int")
+def _order_key(columns: Sequence[str], order: Sequence[str]) -> Column:
+    """What rows are cut by: all order columns, then a hash of the row for rows that tie in them. NULL comes first."""
+    tie = F.xxhash64(*[F.col(c) for c in columns])
+    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], tie.alias("tie"))
 
 
-def _hot_groups(df: DataFrame, keys: list[str], axis: Column, rows: int) -> DataFrame | None:
+def _segment(key: Column) -> Column:
+    """Number of cuts at or below the row's key; ``_cuts`` holds them in runs, so that two short scans find it."""
+    run = F.size(F.filter("_cuts", lambda part: F.get(part, F.lit(0)) <= key)) - 1
+    inside = F.size(F.filter(F.get(F.col("_cuts"), run), lambda cut: cut <= key))
+    return F.when(run < 0, 0).otherwise(run * F.col("_run") + inside)
+
+
+def _hot_groups(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame | None:
     """Groups with more than ``rows`` rows and where to cut them; None if there are none.
 
-    The order column of a hot group falls into equal bins; bins are counted and filled up to ``rows`` rows per segment,
-    so that clustered order values still give even segments. ``_segments[bin]`` is the segment. Over all groups there
-    are at most ``BINS_PER_SEGMENT * (all rows / rows + 1)`` bins.
+    The cuts of a group are evenly spaced members of a sample of its order keys, about ``SAMPLES`` to a segment, drawn by
+    a hash of the row. So neither outliers nor clusters nor ties make a segment much larger than ``rows``. Over all
+    groups there are at most ``all rows / rows`` cuts.
     """
-    bins = (F.ceil(F.col("_rows") / rows) * BINS_PER_SEGMENT).cast("int")
-    sizes = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(axis).alias("_from"), F.max(axis).alias("_to"))
-        .where((F.col("_rows") > rows) & (F.col("_to") > F.col("_from")))
-        .select(*keys, "_from", bins.alias("_bins"), ((F.col("_to") - F.col("_from")) / bins).alias("_width"))
-    )
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
     hot = listed(sizes)
     if hot is None:
         return None
-    counts = df.where(axis.isNotNull()).join(hot, keys).groupBy(*keys, _bin(axis).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-    filled = counts.select(*keys, "_bin", F.floor(F.coalesce(before, F.lit(0)) / rows).cast("int").alias("_s"))
-    every = hot.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("_bin"))
-    lists = every.join(filled, [*keys, "_bin"], "left").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_bin", F.coalesce("_s", F.lit(0)).alias("_s")))).alias("_list"))
-    return listed(hot.join(lists, keys).select(*keys, "_from", "_bins", "_width", F.col("_list._s").alias("_segments")))
+    key = _order_key(df.columns, order)
+    drawn = F.pmod(F.xxhash64(F.lit(17), *[F.col(c) for c in df.columns]), F.lit(rows)) < SAMPLES
+    sample = df.where(drawn).join(hot, keys).select(*keys, "_rows", key.alias("_key"))
+    group = Window.partitionBy(*keys)
+    at = (F.row_number().over(group.orderBy("_key")) - 1) * F.ceil(F.col("_rows") / rows)
+    slot = F.floor(at / F.count(F.lit(1)).over(group))
+    first = F.coalesce(slot > F.lag("_slot").over(group.orderBy("_key")), F.lit(False))
+    cuts = (
+        sample.withColumn("_slot", slot).withColumn("_first", first).where("_first")
+        .groupBy(*keys).agg(F.array_sort(F.collect_set("_key")).alias("_all"))
+        .withColumn("_run", F.ceil(F.sqrt(F.size("_all"))).cast("int"))
+    )
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / F.col("_run")).cast("int")),
+                       lambda i: F.slice("_all", i * F.col("_run") + 1, F.col("_run")))
+    return listed(cuts.select(*keys, "_run", runs.alias("_cuts")))
 
 
 def open_segments(
@@ -130,7 +140,7 @@ def open_segments(
     within: str | None = None,
     census: DataFrame | None = None,
 ) -> Segments:
-    """Cut hot groups of ``df`` into segments of about ``rows`` rows along ``order[0]`` (a numeric column).
+    """Cut hot groups of ``df`` into segments of about ``rows`` rows along ``order``. Starts Spark jobs for that.
 
     ``marks``  name -> condition: position of the last earlier row where it holds;
     ``sums``   name -> value: sum over the earlier rows;
@@ -141,14 +151,14 @@ def open_segments(
     """
     marks, sums, lasts, nexts = dict(marks or {}), dict(sums or {}), dict(lasts or {}), dict(nexts or {})
     keys, order = list(keys), list(order)
-    axis = F.col(order[0]).cast("double")
     columns = df.columns
 
-    hot = _hot_groups(df if census is None else census, keys, axis, rows)
+    hot = _hot_groups(df if census is None else census, keys, order, rows)
     if hot is None:
         frame = df.withColumns({SEG: F.lit(0).cast("bigint"), EXTRA: F.lit(False)})
         return Segments(frame, tuple(keys), tuple(order), within, (SEG, EXTRA))
-    seg = F.coalesce(F.get(F.col("_segments"), _bin(axis)), F.lit(0)).cast("bigint").alias(SEG)
+    by = df.columns if census is None else [c for c in census.columns if c in columns]
+    seg = F.coalesce(_segment(_order_key(by, order)), F.lit(0)).cast("bigint").alias(SEG)
     cut = df.join(hot, keys, "left").select(*columns, seg)
     big = df.join(hot, keys, "inner").select(*columns, seg)
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.operators.encoding import category_codes
 
-GREEDY_GROUPS = 10_000
-
-
 def leave_one_group_out(df: DataFrame, group: str = "gp", output: str = "fold") -> DataFrame:
     """Fold number = sorted position of the group, from 1."""
     folds = category_codes(df, group).select(group, (F.col("code") + 1).alias(output))
@@ -20,33 +19,39 @@ def leave_one_group_out(df: DataFrame, group: str = "gp", output: str = "fold")
 
 
 def greedy_folds(sizes: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, fold): largest group first, each to the lightest fold. The input is one row per group."""
-    ordered = sizes.agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", group)))).alias("groups"))
-    empty = F.struct(
-        F.array_repeat(F.lit(0).cast("bigint"), k).alias("load"),
-        F.array().cast(f"array<struct<{group}:{dict(sizes.dtypes)[group]},fold:int>>").alias("taken"),
-    )
+    """(group, fold): largest group first, each to the lightest fold, the first of equals.
+
+    The input has one row per group. The groups pass through one task in order of size, as they must; it sorts them on
+    disk if need be, and holds k loads.
+    """
+    kind = dict(sizes.dtypes)[group]
 
-    def place(state: Column, item: Column) -> Column:
-        light = F.array_position(state["load"], F.array_min(state["load"])).cast("int")
-        load = F.transform(state["load"], lambda x, i: F.when(i == light - 1, x + item["n"]).otherwise(x))
-        taken = F.array_append(state["taken"], F.struct(item[group].alias(group), (light - 1).alias("fold")))
-        return F.struct(load.alias("load"), taken.alias("taken"))
+    def place(batches):
+        load = np.zeros(k, np.int64)
+        for batch in batches:
+            folds = np.empty(len(batch), np.int32)
+            for i, n in enumerate(batch["n"]):
+                folds[i] = load.argmin()
+                load[folds[i]] += n
+            yield pd.DataFrame({group: batch[group], "fold": folds})
 
-    return ordered.select(F.inline(F.aggregate("groups", empty, place)["taken"]))
+    ordered = sizes.select(group, "n").coalesce(1).sortWithinPartitions(F.col("n").desc(), F.col(group).desc())
+    return ordered.mapInPandas(place, f"`{group}` {kind}, fold int")
 
 
-def group_kfold(df: DataFrame, group: str = "gp", k: int = K.GROUP_FOLDS, output: str = "fold") -> DataFrame:
-    """k folds that never split a group.
+def group_kfold(df: DataFrame, group: str = "gp", k: int = K.GROUP_FOLDS, output: str = "fold", method: str = "greedy") -> DataFrame:
+    """k folds that never split a group; rows without a group are left out.
 
-    With up to ``GREEDY_GROUPS`` groups (tracks of a calendar) the folds are balanced greedily over the group sizes;
-    with more, the law of large numbers does it and the fold is a hash of the group.
+    ``greedy`` balances the folds over the group sizes, whatever their number; ``hash`` needs no pass over the groups.
     """
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.limit(GREEDY_GROUPS + 1).count() > GREEDY_GROUPS:
-        return df.withColumn(output, F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
+    known = df.where(F.col(group).isNotNull())
+    if method == "hash":
+        return known.withColumn(output, F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
+    if method != "greedy":
+        raise ValueError(f"unknown method {method!r}")
+    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     folds = greedy_folds(sizes, group, k).withColumnRenamed("fold", output)
-    return df.join(folds, group)
+    return known.join(folds, group)
 
 
 def walk_forward(
@@ -79,10 +84,6 @@ def with_year_weight(df: DataFrame, weights=None, output: str = "weight") -> Dat
     return df.withColumn(output, year_weight("year", weights or K.YEAR_WEIGHTS))
 
 
-def row_identity(df: DataFrame, keys: Sequence[str], output: str = "row_id") -> DataFrame:
-    return df.withColumn(output, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-
-
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest row per key: an aggregate with map-side combine, not a sort."""
     rest = [c for c in df.columns if c not in key]

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SHARED: dict[str, str] = {}
 
@@ -57,14 +58,25 @@ def written_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
-LIST_LIMIT = 10_000
+LIST_BYTES = 8 << 20
 
 
 def listed(df: DataFrame) -> DataFrame | None:
-    """A short list of groups as a literal table, None if it is empty; a long one as a written table."""
-    found = df.limit(LIST_LIMIT + 1).collect()
-    if not found:
+    """A list of groups, computed once; None if it is empty. Starts a Spark job.
+
+    It is written to the shared folder, and marked for a broadcast if the written files are small; a longer list is joined
+    like any other table.
+    """
+    kept = written_table(df, "groups")
+    if kept.isEmpty():
         return None
-    if len(found) <= LIST_LIMIT:
-        return df.sparkSession.createDataFrame(found, df.schema)
-    return written_table(df, "groups")
+    return F.broadcast(kept) if written_bytes(kept) <= LIST_BYTES else kept
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a written table is read from."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)

@@ -67,8 +67,25 @@ def test_one_hot_marks_missing(spark):
     out = encoding.one_hot(spark.createDataFrame([("a",), (None,), ("b",)], "c string"), ["c"])
     assert out.columns == ["c_a", "c_b", "c_nan"]
     assert out.agg(F.sum("c_a"), F.sum("c_b"), F.sum("c_nan")).first()[:] == (1, 1, 1)
-    with pytest.raises(ValueError):
-        encoding.one_hot(spark.range(30).select(F.col("id").cast("string").alias("c")), ["c"], max_values=10)
+    many = spark.range(1500).select("id", F.col("id").cast("string").alias("c"))
+    assert len(encoding.one_hot(many, ["c"]).columns) == 1502
+    long = encoding.one_hot_long(many.unionByName(spark.sql("SELECT -1L AS id, CAST(NULL AS STRING) AS c")), ["id"], ["c"])
+    assert {(r.id, r.feature) for r in long.collect()} == {(i, f"c_{i}") for i in range(1500)} | {(-1, "c_nan")}
+
+
+def test_codes_of_names_with_one_beginning(spark):
+    df = spark.range(10_000).select(F.format_string("Customer#%09d", (F.col("id") * 7919) % 10_000).alias("name"))
+    got = encoding.category_codes(df, "name").collect()
+    assert all(int(r.name.split("#")[1]) == r.code for r in got) and len(got) == 10_000
+
+
+@pytest.mark.parametrize("groups", [3, 12_000])
+def test_greedy_folds_at_every_size(spark, groups):
+    df = spark.range(groups).select(F.col("id").cast("string").alias("gp")).unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS gp"))
+    out = splits.group_kfold(df, "gp", 3)
+    assert out.count() == groups and out.where("gp IS NULL").count() == 0
+    assert [r["count"] for r in out.groupBy("fold").count().orderBy("fold").collect()] == [groups // 3] * 3
+    assert splits.group_kfold(df, "gp", 3, method="hash").count() == groups
 
 
 def test_group_kfold_keeps_groups_whole_and_balances(spark):

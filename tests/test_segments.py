@@ -118,6 +118,25 @@ def test_clustered_order_values_still_give_even_segments(spark):
     assert sorted(placed["at"]) == list(range(1, 1001))
 
 
+@pytest.mark.parametrize("values", [
+    [float(i) for i in range(999)] + [1e12], [5.0] * 1000, [7.0] * 500 + [float(i) for i in range(500)], [None] * 400 + [float(i) for i in range(600)],
+], ids=["outlier", "one value", "half tied", "nulls"])
+def test_segments_stay_within_twice_the_bound(spark, values):
+    df = spark.createDataFrame([(1, v, i) for i, v in enumerate(values)], "k int, o double, v int")
+    s = open_segments(df, ["k"], ["o"], rows=100)
+    sizes = [r["count"] for r in s.frame.where("NOT _extra").groupBy("_seg").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 200
+    placed = group_position(df, ["k"], ["o"], "at", rows=100).toPandas().sort_values("at")
+    assert placed["at"].tolist() == list(range(1, 1001))
+    known = placed["o"].dropna()
+    assert known.is_monotonic_increasing and placed["o"].isna().tolist() == sorted(placed["o"].isna(), reverse=True)
+
+
+def test_hot_groups_are_cut_before_the_first_shuffle(spark, frame):
+    plan = history.lap_time_history(frame, rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 @pytest.mark.parametrize("rows", [4_000_000, 9])
 def test_missing_order_values_come_first(spark, rows):
     df = spark.createDataFrame([(1, None, float(i)) for i in range(3)] + [(1, i, float(i)) for i in range(40)], "k int, o int, v double")
