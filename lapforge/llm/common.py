@@ -26,6 +26,15 @@ def side_table(df: DataFrame, name: str) -> DataFrame:
     return written_table(df, f"llm-{name}")
 
 
+def drop_side_table(df: DataFrame) -> None:
+    """Delete a side table that no later step reads."""
+    files = df.inputFiles()
+    if files:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def payload(df: DataFrame, *drop: str) -> Column:
     """All columns of ``df`` as one struct, so that no column of the caller can clash with a helper column."""
     kept = [c for c in df.columns if c not in drop]
@@ -37,14 +46,15 @@ def unpacked(row: str, columns: list[str], *new: str) -> list[Column]:
     return [F.col(row).getField(c).alias(c) for c in columns if c not in new]
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: str | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: str | None = None,
+                spread: int = SALTS) -> DataFrame:
     """Join with few rows of ``right`` to a key, where one key may hold a large share of ``left``.
 
-    The rows of a key go to SALTS tasks; each of them gets a copy of the key's rows of ``right``. If both sides have a
+    The rows of a key go to ``spread`` tasks; each of them gets a copy of the key's rows of ``right``. If both sides have a
     boolean column ``hot`` that depends on the key, only its keys are spread. Always a merge join: which side is small
     enough for a broadcast must not decide whether ``left`` is shuffled.
     """
-    salts, number = F.array(*[F.lit(i) for i in range(SALTS)]), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    salts, number = F.array(*[F.lit(i) for i in range(spread)]), F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int")
     if hot:
         salts, number = F.when(F.col(hot), salts).otherwise(F.array(F.lit(0))), F.when(F.col(hot), number).otherwise(F.lit(0))
         on = [*on, hot]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lapforge.llm.common import ASCII_SPACE, chunks, mixed, salted_join, side_table, span_hashes, table, texts_of, word_bounds
+from lapforge.llm.common import ASCII_SPACE, chunks, drop_side_table, mixed, salted_join, side_table, span_hashes, table, texts_of, word_bounds
 from lapforge.llm.registry import register
 from lapforge.session import written_table
 
@@ -119,7 +119,7 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = 35, group:
     new = StructType.fromDDL("n_words long, n_removed long, kept_sha256 string")
     kept = [c for c in df.columns if c not in (text, *new.fieldNames())]
     rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("text"))
-    rows = rows.select("row", "text", F.xxhash64("row", "text").alias("k"), F.xxhash64("text", "row").alias("l"))
+    rows = rows.select("row", "text", F.xxhash64("row", "text").alias("k"), F.hash("text", "row").alias("l"))
 
     def anchors(batches):
         for batch in batches:
@@ -131,10 +131,14 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = 35, group:
                     [pa.array(k[text_no + i]), pa.array(l_[text_no + i]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
                      pa.array(q), pa.array(r)], names=["k", "l", "a", "b", "q", "r"])
 
-    found = side_table(rows.select("k", "l", "text").mapInArrow(anchors, "k long, l long, a int, b int, q long, r long"), "anchors")
+    found = side_table(rows.select("k", "l", "text").mapInArrow(anchors, "k long, l int, a int, b int, q long, r long"), "anchors")
+    # Most prefixes occur once; a count of the prefixes alone finds those whose regions go on.
+    shared = side_table(found.groupBy("q").agg(F.count("*").alias("n")).where("n > 1").select("q"), "shared-prefixes")
+    everything, found = found, side_table(salted_join(found, shared, ["q"], spread=4), "shared-anchors")
+    drop_side_table(everything)
     kinds = found.groupBy("q", "r").agg(F.count("*").alias("n"), F.min(F.struct("k", "l", "a", "b")).alias("one"))
     kinds = side_table(kinds, "regions")
-    prefixes = kinds.groupBy("q").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("total > 1")
+    prefixes = kinds.groupBy("q").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
     flagged = side_table(salted_join(kinds, prefixes, ["q"]), "flagged-regions")
     repeats = salted_join(found, flagged.where("n > 1").select("q", "r"), ["q", "r"]).select("k", "l", "a", "b")
     compared = flagged.where("kinds > 1 AND fewest = 1").select(
@@ -146,7 +150,7 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = 35, group:
     joined = rows.join(flags, ["k", "l"], "left").select("row", "k", "l", "text", F.col("flags.what").alias("what"), F.col("flags.a").alias("a"),
                                                          F.col("flags.b").alias("b"), F.col("flags.q").alias("q"), F.col("flags.heavy").alias("heavy"))
     row_type = rows.schema["row"].dataType
-    sorted_out = StructType.fromDDL("k long, l long, words binary, spans array<int>, n_words long, n_removed long, kept binary, sha string, "
+    sorted_out = StructType.fromDDL("k long, l int, words binary, spans array<int>, n_words long, n_removed long, kept binary, sha string, "
                                     "q long, p long, a int, b int, open boolean, kind string").add("row", row_type)
     names = sorted_out.fieldNames()
 
@@ -204,12 +208,12 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = 35, group:
             hits = sorted(origin[x] for x in repeated_suffixes(suffixes, length))
             hits = [(no, s) for no, s in hits if group_rows["open"][no]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([group_rows[c][no] for no, _ in hits], pa.int64()) for c in "kl"]
+                [pa.array([group_rows[c][no] for no, _ in hits], kind) for c, kind in (("k", pa.int64()), ("l", pa.int32()))]
                 + [pa.array([group_rows["a"][no] + s for no, s in hits], pa.int32())], names=["k", "l", "a"])
 
     regions_left = state.where("kind = 'region'").select("q", "k", "l", "a", "open", "words")
     parts = max(1, regions_left.sparkSession.sparkContext.defaultParallelism * 4)
-    from_trees = regions_left.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(trees, "k long, l long, a int")
+    from_trees = regions_left.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(trees, "k long, l int, a int")
     suffixes = state.where("kind = 'suffix'").select("q", "p", "k", "l", "a", "open")
     twice = suffixes.groupBy("q", "p").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     from_counts = salted_join(suffixes.where("open"), twice, ["q", "p"]).select("k", "l", "a")
