@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.catalog.filters import base_laps
-from lapforge.catalog.registry import KEY, base_sql, kept_sql, laps_sql, register, samples_sql
+from lapforge.catalog.registry import KEY, SPLIT_ROWS, base_sql, kept_sql, laps_sql, register, samples_sql
 from lapforge.operators import aggregates, encoding, splits
 from lapforge.plans import features, reports, training
 from lapforge.sources import testdata as data
@@ -185,9 +185,18 @@ def agg_coverage(spark, sf_dir):
     return aggregates.coverage(data.laps(spark, sf_dir), [*PROFILED, "gap_to_pole_ms"])
 
 
-@register("agg_describe", laps_sql("""
+_DESCRIBE = laps_sql("""
 SELECT count(LapTime) AS n, round(avg(LapTime), 6) AS mean, round(stddev_samp(LapTime), 6) AS std, min(LapTime) AS min, max(LapTime) AS max,
-  round(quantile_cont(LapTime, 0.01), 6) AS p01, quantile_cont(LapTime, 0.5) AS p50, round(quantile_cont(LapTime, 0.99), 6) AS p99 FROM laps"""))
+  round(quantile_cont(LapTime, 0.01), 6) AS p01, quantile_cont(LapTime, 0.5) AS p50, round(quantile_cont(LapTime, 0.99), 6) AS p99 FROM laps""")
+
+
+@register("agg_describe_split", _DESCRIBE)
+def agg_describe_split(spark, sf_dir):
+    """The same figures with the values of the one group spread over tasks."""
+    return rounded(aggregates.describe(data.laps(spark, sf_dir), "LapTime", rows=SPLIT_ROWS), keep=("min", "max", "p50"))
+
+
+@register("agg_describe", _DESCRIBE)
 def agg_describe(spark, sf_dir):
     return rounded(aggregates.describe(data.laps(spark, sf_dir), "LapTime"), keep=("min", "max", "p50"))
 

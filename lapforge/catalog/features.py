@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapforge.catalog.registry import DRIVER, ERAS, EXCLUDED, LAP_WINDOW, cut_rows, kept_sql, register
+from lapforge import constants as K
+from lapforge.catalog.joins import RESULTS_SQL
+from lapforge.catalog.registry import DRIVER, ERAS, EXCLUDED, LAP_WINDOW, QUALI_SQL, SPLIT_LAPS, kept_sql, register
 from lapforge.catalog.scalars import COMPOUND_SQL
 from lapforge.catalog.windows import HISTORY_SQL, NEUTRAL_SQL, TELEMETRY_SQL, TYRE_SQL
-from lapforge.plans import features
+from lapforge.operators import joins
+from lapforge.plans import features, ingest
 from lapforge.plans.reports import feature_coverage
 from lapforge.sources import testdata as data
 
@@ -37,6 +40,7 @@ features AS (
   LEFT JOIN form USING (Driver, year, gp) WHERE abs(LapTimeResidual) <= {limit})""",)
 
 
+RACE_FEATURES_SQL = _v4("R", 3)
 _V3 = (f"""
 z AS (SELECT *, {_RESIDUAL} FROM kept WHERE session_code = 'R'),
 h AS (SELECT *, {HISTORY_SQL}, {TELEMETRY_SQL}, {TYRE_SQL}, max(LapNumber) OVER ({DRIVER}) AS race_laps FROM z {LAP_WINDOW}),
@@ -61,7 +65,7 @@ def features_race_v4(spark, sf_dir):
 @register("features_race_v4_split", kept_sql("SELECT * FROM features", *_v4("R", 3)))
 def features_race_v4_split(spark, sf_dir):
     """The same features with driver sessions above a few laps treated as hot ones."""
-    return _tidy(race_features(spark, sf_dir, segment_rows=cut_rows(data.laps(spark, sf_dir), 4, 5000)))
+    return _tidy(race_features(spark, sf_dir, segment_rows=SPLIT_LAPS))
 
 
 @register("features_quali_v4", kept_sql("SELECT * FROM features", *_v4("Q", 5)))
@@ -83,3 +87,27 @@ _COVERED = ["regulation_era", "is_sc", "is_vsc", "is_neutralized", "laps_since_n
     for c in _COVERED), *_v4("R", 3)))
 def features_coverage(spark, sf_dir):
     return feature_coverage(race_features(spark, sf_dir))
+
+
+_DRESSED = (*_v4("R", 3), QUALI_SQL, RESULTS_SQL, """
+dressed AS (SELECT f.*, quali_position, grid_position, gap_to_pole_ms FROM features f LEFT JOIN results r
+  ON f.year = r.year AND f.round = r.round AND f.Driver = r.Driver)""")
+
+
+def _with_quali(spark, sf_dir):
+    """Raw laps with defaults, qualifying results of the event, then the whole feature plan."""
+    laps = ingest.lap_rows(data.laps(spark, sf_dir))
+    dressed = joins.attach_quali(laps, joins.quali_results(data.quali(spark, sf_dir)))
+    return features.build_features(dressed, "R", excluded=EXCLUDED, eras=ERAS)
+
+
+@register("features_with_quali", kept_sql("SELECT * EXCLUDE (Deleted, Stint), CAST(Stint AS DOUBLE) AS Stint FROM dressed", *_DRESSED))
+def features_with_quali(spark, sf_dir):
+    return _tidy(_with_quali(spark, sf_dir)).drop("Deleted")
+
+
+@register("features_coverage_with_quali", kept_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) AS n_rows, 100 * count({c}) / count(*) AS pct FROM dressed"
+    for c in K.COVERAGE_COLUMNS), *_DRESSED))
+def features_coverage_with_quali(spark, sf_dir):
+    return feature_coverage(_with_quali(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapforge import constants as K
-from lapforge.catalog.registry import EXCLUDED, KEY, TRACKS, base_sql, kept_sql, laps_sql, register, samples_sql
+from lapforge.catalog.registry import EXCLUDED, KEY, SPLIT_ROWS, TRACKS, base_sql, kept_sql, laps_sql, register, samples_sql
 from lapforge.operators import aggregates, filters
 from lapforge.plans import features
 from lapforge.sources import testdata as data
@@ -32,6 +32,12 @@ def filter_iqr(spark, sf_dir):
     return filters.iqr_filter(base_laps(spark, sf_dir)).select(*KEYS, "LapTime")
 
 
+@register("filter_iqr_split", kept_sql(f"SELECT {KEY}, LapTime FROM kept"))
+def filter_iqr_split(spark, sf_dir):
+    """The same fences with every session's values spread over tasks."""
+    return filters.iqr_filter(base_laps(spark, sf_dir), rows=SPLIT_ROWS).select(*KEYS, "LapTime")
+
+
 @register("filter_residual", kept_sql(f"""
 SELECT {KEY}, LapTimeResidual FROM (
   SELECT *, LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS LapTimeResidual FROM kept) r

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.catalog.registry import (
-    KEY, RACE_CONTROL, SAMPLES, TRACKS, base_sql, cut_rows, laps_sql, messages_sql, quali_sql, register, samples_sql, weather_sql,
+    KEY, RACE_CONTROL, SAMPLES, SPLIT_ROWS, TRACKS, base_sql, laps_sql, messages_sql, quali_sql, register, samples_sql, weather_sql,
 )
 from lapforge.catalog.windows import _STATE
 from lapforge.catalog.filters import base_laps
@@ -34,7 +34,7 @@ def join_weather_nearest(spark, sf_dir):
 @register("join_weather_nearest_split", weather_sql(_NEAREST_BODY))
 def join_weather_nearest_split(spark, sf_dir):
     """The same join with the sessions cut into time segments."""
-    return _weather(spark, sf_dir, rows=cut_rows(data.lap_starts(spark, sf_dir), 10, 20))
+    return _weather(spark, sf_dir, rows=SPLIT_ROWS)
 
 
 @register("join_lap_flags", messages_sql("""
@@ -49,20 +49,20 @@ def join_lap_flags(spark, sf_dir):
     return joins.attach_flags(laps, flags, ["session", "Lap"]).select("session", "event_id", "Lap", "is_sc", "is_vsc", "is_yellow")
 
 
-_RESULTS = """
+RESULTS_SQL = """
 timed AS (SELECT *, coalesce(nullif(Q3, 0), nullif(Q2, 0), nullif(Q1, 0)) * 1000 AS best FROM quali),
 results AS (SELECT year, round, Driver, CAST(coalesce(position, -1) AS INTEGER) AS quali_position,
   CAST(coalesce(position, -1) AS INTEGER) AS grid_position, best - min(best) OVER (PARTITION BY year, round) AS gap_to_pole_ms FROM timed)"""
 
 
-@register("agg_pole_gap", quali_sql("SELECT * FROM results", _RESULTS))
+@register("agg_pole_gap", quali_sql("SELECT * FROM results", RESULTS_SQL))
 def agg_pole_gap(spark, sf_dir):
     return joins.quali_results(data.quali(spark, sf_dir))
 
 
 @register("join_quali", quali_sql("""
 SELECT laps.year, gp, session_code, DriverNumber, LapNumber, quali_position, grid_position, gap_to_pole_ms FROM laps LEFT JOIN results
-  ON laps.year = results.year AND laps.round = results.round AND laps.Driver = results.Driver AND session_code = 'R'""", _RESULTS))
+  ON laps.year = results.year AND laps.round = results.round AND laps.Driver = results.Driver AND session_code = 'R'""", RESULTS_SQL))
 def join_quali(spark, sf_dir):
     results = joins.quali_results(data.quali(spark, sf_dir))
     laps = data.laps(spark, sf_dir).select(*KEYS, "Driver", "round")

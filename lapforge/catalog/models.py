@@ -1,4 +1,9 @@
-"""Spark ML runs. Their numbers depend on the trainer, so they carry no SQL; settings are small to keep runs short."""
+"""Model runs. Linear ones are checked value by value; of boosted ones, whose numbers depend on the trainer, the SQL checks
+all that doesn't: keys, targets, folds, row counts, feature names, and that everything is scored.
+
+The number of trees, their depth and the trials are arguments of the plans; the queries pass the short settings below, so
+that a run over the given tables takes seconds. ``constants.BOOSTER`` and the search ranges hold the full ones.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,12 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from lapforge import constants as K
-from lapforge.catalog.features import race_features
-from lapforge.catalog.registry import TEST_YEAR, TRACKS, TRAIN_YEARS, WEIGHTS, register
-from lapforge.operators import history, splits
+from lapforge.catalog.features import RACE_FEATURES_SQL, race_features
+from lapforge.catalog.filters import base_laps
+from lapforge.catalog.registry import KEY, TEST_YEAR, TRACKS, TRAIN_YEARS, WEIGHTS, kept_sql, laps_sql, register
+from lapforge.functions import scalars as S
+from lapforge.operators import aggregates, history, splits
+from lapforge.plans import features as feature_plan
 from lapforge.plans import training
 from lapforge.session import fresh_path, written_table
 from lapforge.sources import testdata as data
@@ -23,32 +31,67 @@ def _inputs(spark, sf_dir):
     return written_table(training.prepare(race_features(spark, sf_dir)), "model-inputs")
 
 
-@register("model_walk_forward")
+def _checked(report, *names):
+    """A report with the metrics replaced by whether they are there."""
+    return report.select(*names, (F.col("rmse") > 0).alias("has_metrics"))
+
+
+_GREEDY = """
+sized AS (SELECT gp, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, gp DESC) AS i FROM rated GROUP BY gp),
+greedy AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS gp, CAST(-1 AS BIGINT) AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load
+  UNION ALL
+  SELECT s.i, s.gp, CAST(list_position(p.load, list_min(p.load)) - 1 AS BIGINT),
+    list_transform(p.load, lambda x, j: CASE WHEN j = list_position(p.load, list_min(p.load)) THEN x + s.n ELSE x END)
+  FROM greedy p JOIN sized s ON s.i = p.i + 1),
+rows_in AS (SELECT r.*, CAST(fold AS INTEGER) AS fold FROM rated r JOIN greedy USING (gp))"""
+_NAMES = ", ".join(f"'{c}'" for c in [
+    *(c for c in K.GLOBAL_CANDIDATES if c not in ("quali_position", "grid_position", "gap_to_pole_ms")),
+    *(f"{c}_te" for c in K.ENCODED_CATEGORIES)])
+_RATED = "rated AS (SELECT *, LapTimeResidual AS y FROM features)"
+_OWN = "rows_in AS (SELECT *, CAST(dense_rank() OVER (ORDER BY gp) AS INTEGER) AS fold FROM rated)"
+_COUNTS = """
+SELECT fold, min(gp) AS test_gp, (SELECT count(*) FROM rows_in) - count(*) AS train_rows, count(*) AS test_rows, true AS has_metrics
+FROM rows_in GROUP BY fold"""
+
+
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql.removeprefix("WITH")
+
+
+@register("model_walk_forward", kept_sql("""
+SELECT count(*) FILTER (WHERE year IN (1999, 2000)) AS train_rows, count(*) FILTER (WHERE year = 2001) AS test_rows,
+  round(stddev_samp(y) FILTER (WHERE year = 2001), 6) AS baseline_trivial_rmse, true AS has_metrics FROM rated""", *RACE_FEATURES_SQL, _RATED))
 def model_walk_forward(spark, sf_dir):
     df = _inputs(spark, sf_dir)
-    return training.evaluate_walk_forward(df, training.available(df, K.GLOBAL_CANDIDATES), SHORT, **WALK)
+    report = training.evaluate_walk_forward(df, training.available(df, K.GLOBAL_CANDIDATES), SHORT, **WALK)
+    return _checked(report, "train_rows", "test_rows", F.round("baseline_trivial_rmse", 6).alias("baseline_trivial_rmse"))
 
 
-@register("model_group_kfold")
+@register("model_group_kfold", _recursive(kept_sql(_COUNTS, *RACE_FEATURES_SQL, _RATED, _GREEDY)))
 def model_group_kfold(spark, sf_dir):
     df = splits.with_year_weight(splits.group_kfold(_inputs(spark, sf_dir)), WEIGHTS)
     features = training.available(df, K.GLOBAL_CANDIDATES)
-    return training.evaluate_folds(
+    report = training.evaluate_folds(
         df, features, lambda: training.booster({**SHORT, "n_estimators": 4}, weight="weight"), range(K.GROUP_FOLDS),
         categories=K.ENCODED_CATEGORIES)
+    return _checked(report, "fold", "test_gp", "train_rows", "test_rows")
 
 
-@register("model_leave_one_group_out")
+@register("model_leave_one_group_out", kept_sql(_COUNTS, *RACE_FEATURES_SQL, _RATED, _OWN))
 def model_leave_one_group_out(spark, sf_dir):
     df = training.prepare_leave_one_out(_inputs(spark, sf_dir))
     folds = splits.leave_one_group_out(df, "gp")
     n = df.agg(F.count_distinct("gp")).first()[0]
     tree = lambda: DecisionTreeRegressor(labelCol=K.TARGET, featuresCol="features", maxDepth=4, seed=K.SPLIT_SEED)
-    return training.evaluate_folds(
+    report = training.evaluate_folds(
         folds, training.available(df, K.LEAVE_ONE_OUT_CANDIDATES), tree, range(1, n + 1), fill_zero=True, parallelism=4)
+    return _checked(report, "fold", "test_gp", "train_rows", "test_rows")
 
 
-@register("model_search")
+@register("model_search", kept_sql("""
+SELECT CAST(trial AS INTEGER) AS trial, count(*) FILTER (WHERE year = 2001) > 0 AS has_metrics FROM rated, range(3) t(trial) GROUP BY trial""",
+                                   *RACE_FEATURES_SQL, _RATED))
 def model_search(spark, sf_dir):
     df = _inputs(spark, sf_dir)
     features = training.available(df, K.GLOBAL_CANDIDATES)
@@ -57,18 +100,20 @@ def model_search(spark, sf_dir):
     def loss(params):
         return training.evaluate_walk_forward(df, features, params, **WALK).first()["rmse"]
 
-    return training.search(spark, training.draw_params(space, trials=3), loss)
+    return _checked(training.search(spark, training.draw_params(space, trials=3), loss), "trial")
 
 
-@register("model_feature_importance")
+@register("model_feature_importance", kept_sql(f"""
+SELECT column_name AS feature, true AS known FROM (SELECT unnest([{_NAMES}]) AS column_name) n
+WHERE (SELECT count(*) FROM features) > 0""", *RACE_FEATURES_SQL))
 def model_feature_importance(spark, sf_dir):
     df = _inputs(spark, sf_dir)
     model, _, inputs = training.final_fit(
         df, training.available(df, K.GLOBAL_CANDIDATES), SHORT, weights=FINAL_WEIGHTS)
-    return training.feature_importance(spark, model, inputs)
+    return training.feature_importance(spark, model, inputs).select("feature", (F.col("importance") >= 0).alias("known"))
 
 
-@register("model_scored_laps")
+@register("model_scored_laps", kept_sql(f"SELECT {KEY}, y AS LapTimeResidual, true AS scored FROM rated", *RACE_FEATURES_SQL, _RATED))
 def model_scored_laps(spark, sf_dir):
     """Fit on everything, save, load, score."""
     df, path = _inputs(spark, sf_dir), fresh_path(spark, "global-model")
@@ -77,20 +122,80 @@ def model_scored_laps(spark, sf_dir):
     training.save_model(model, encoder, path)
     loaded, tables = training.load_model(spark, path)
     scored = training.score(df, loaded, tables, features)
-    return scored.select(*K.LAP_GROUP, K.LAP_ORDER, K.TARGET, "prediction")
+    return scored.select(*K.LAP_GROUP, F.col(K.LAP_ORDER).cast("int").alias(K.LAP_ORDER), K.TARGET, F.col("prediction").isNotNull().alias("scored"))
 
 
-@register("model_pit_classifier")
+@register("model_pit_classifier", laps_sql(f"""
+SELECT CAST(TyreLife * 4 > {K.PIT_TYRE_LIFE} AS INTEGER) AS pit_label, count(*) AS n, avg(TyreLife * 4) AS mean_tyre_life, true AS scored FROM laps GROUP BY 1"""))
 def model_pit_classifier(spark, sf_dir):
     laps = history.current_history(data.laps(spark, sf_dir)).withColumn("TyreLife", F.col("TyreLife") * 4)
     model = training.pit_classifier(laps, trees=10)
     scored = model.transform(training.doubles(laps, K.PIT_FEATURES, fill_zero=True))
-    return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.avg("TyreLife").alias("mean_tyre_life"))
+    return scored.groupBy(S.pit_label().alias("pit_label")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("TyreLife").alias("mean_tyre_life"), F.min(F.col("prediction").isNotNull()).alias("scored"))
 
 
-@register("model_local_tracks")
+@register("model_local_tracks", kept_sql(f"""
+SELECT gp, count(*) AS rows, true AS has_metrics FROM rated WHERE gp IN ({", ".join(f"'{t}'" for t in TRACKS)}) GROUP BY gp
+HAVING count(*) >= {K.MIN_TRACK_ROWS}""", *RACE_FEATURES_SQL, _RATED))
 def model_local_tracks(spark, sf_dir):
     df = _inputs(spark, sf_dir)
     space = {**K.LOCAL_SEARCH, "n_estimators": (2, 4), "max_depth": (3, 4)}
-    return training.evaluate_tracks(
+    report = training.evaluate_tracks(
         df, TRACKS, training.available(df, K.LOCAL_CANDIDATES), key=[*K.LAP_GROUP, K.LAP_ORDER], space=space, trials=2)
+    return report.select("gp", "rows", (F.col("rmse_local_optuna") > 0).alias("has_metrics"))
+
+
+# --- linear models of every fold, checked value by value --------------------------------------------------------------
+_LAPS_RATED = """
+rated AS (SELECT gp, year, CAST(LapNumber AS DOUBLE) AS x,
+  LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS y FROM kept)"""
+_LINES = """
+lines AS (SELECT f.fold, regr_slope(r.y, r.x) AS slope, regr_intercept(r.y, r.x) AS intercept, count(*) AS train_rows
+  FROM (SELECT DISTINCT fold FROM rows_in) f JOIN rows_in r ON r.fold <> f.fold GROUP BY f.fold),
+errors AS (SELECT r.fold, min(gp) AS test_gp, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae,
+    1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(y), 0) AS r2, min(train_rows) AS train_rows, count(*) AS test_rows
+  FROM (SELECT r.*, intercept + slope * x AS p, train_rows FROM rows_in r JOIN lines USING (fold)) r GROUP BY r.fold)"""
+_REPORT = """
+SELECT fold, test_gp, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2, train_rows, test_rows FROM errors"""
+
+
+def _rated(spark, sf_dir):
+    laps = feature_plan.surviving_laps(base_laps(spark, sf_dir))
+    return laps.select("gp", "year", "LapNumber", K.TARGET)
+
+
+def _six(report):
+    return report.withColumns({c: F.round(c, 6) for c in ("rmse", "mae", "r2")})
+
+
+@register("model_linear_leave_one_group_out", kept_sql(_REPORT, _LAPS_RATED, _OWN, _LINES))
+def model_linear_leave_one_group_out(spark, sf_dir):
+    return _six(training.evaluate_linear_folds(splits.leave_one_group_out(_rated(spark, sf_dir)), ["LapNumber"])[0])
+
+
+@register("model_linear_group_kfold", _recursive(kept_sql(_REPORT, _LAPS_RATED, _GREEDY, _LINES)))
+def model_linear_group_kfold(spark, sf_dir):
+    return _six(training.evaluate_linear_folds(splits.group_kfold(_rated(spark, sf_dir)), ["LapNumber"])[0])
+
+
+@register("model_linear_best_fold", kept_sql("""
+SELECT fold, test_gp, round(rmse, 6) AS rmse, round(intercept, 6) AS intercept, round(slope, 6) AS slope
+FROM errors JOIN lines USING (fold) ORDER BY errors.rmse, fold LIMIT 1""", _LAPS_RATED, _OWN, _LINES))
+def model_linear_best_fold(spark, sf_dir):
+    """The model of the best fold is kept, not only its metrics."""
+    best = training.best_fold_model(*training.evaluate_linear_folds(splits.leave_one_group_out(_rated(spark, sf_dir)), ["LapNumber"]))
+    c = F.col("coefficients")
+    return best.select("fold", "test_gp", F.round("rmse", 6).alias("rmse"), F.round(c[0], 6).alias("intercept"), F.round(c[1], 6).alias("slope"))
+
+
+@register("model_linear_walk_forward", kept_sql("""
+SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae,
+  round(1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(y), 0), 6) AS r2, count(*) AS n
+FROM (SELECT y, (SELECT regr_intercept(y, x) FROM rated WHERE year IN (1999, 2000)) + x * (SELECT regr_slope(y, x) FROM rated WHERE year IN (1999, 2000)) AS p
+  FROM rated WHERE year = 2001) s""", _LAPS_RATED))
+def model_linear_walk_forward(spark, sf_dir):
+    marked = splits.walk_forward(_rated(spark, sf_dir), TRAIN_YEARS, TEST_YEAR).withColumn("all", F.lit(1))
+    model = training.fit_local_linear(marked.where("part = 'train'"), ["LapNumber"], group="all", ridge=0.0)
+    scored = training.score_local_linear(marked.where("part = 'test'"), written_table(model, "walk-model"), ["LapNumber"], group="all", output="prediction")
+    return _six(aggregates.error_metrics(scored, truth=K.TARGET, prediction="prediction"))

@@ -31,9 +31,8 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-def cut_rows(df: DataFrame, least: int, parts: int) -> int:
-    """Segment size for the ``*_split`` queries: small enough to cut ordinary groups here, growing with the table."""
-    return max(least, df.count() // parts)
+#: Rows to a segment, or values to a group, in the ``*_split`` queries: so few that they take the path of hot groups.
+SPLIT_LAPS, SPLIT_ROWS = 5, 20
 
 
 _LAPS = """
@@ -98,7 +97,7 @@ samples AS (
   FROM (SELECT *, user_id % 10 AS session, user_id AS driver, CAST((dayofmonth(ts) - 1) // 10 AS INTEGER) AS lap,
           floor(value * 16) / 16 AS Speed, {_EVENTS} AS k FROM events) e)"""
 
-_QUALI = """
+QUALI_SQL = """
 quali AS (
   SELECT year, gp, round, Driver,
     CASE WHEN Driver <> 'D9' THEN length(gp) % 10 + CAST(substr(Driver, 2, 1) AS INTEGER) END AS position,
@@ -157,7 +156,7 @@ def kept_sql(body: str, *views: str) -> str:
 
 
 def quali_sql(body: str, *views: str) -> str:
-    return with_views(body, _LAPS, _QUALI, *views)
+    return with_views(body, _LAPS, QUALI_SQL, *views)
 
 
 def samples_sql(body: str, *views: str) -> str:

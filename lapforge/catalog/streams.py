@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lapforge import constants as K
 from lapforge import schemas
 from lapforge.catalog.registry import KEY, LAP_WINDOW, laps_sql, register, samples_sql
 from lapforge.catalog.windows import HISTORY_SQL
 from lapforge.functions import scalars as S
-from lapforge.session import fresh_path
+from lapforge.operators import aggregates
+from lapforge.operators.splits import latest_per_key
+from lapforge.plans import training
+from lapforge.session import fresh_path, written_table
 from lapforge.sources import testdata as data
 from lapforge.streaming import history as stream_history
 from lapforge.streaming import ingest as stream_ingest
@@ -21,73 +23,96 @@ _LIVE = """avg(Speed) AS speed_mean, max(Speed) AS speed_max, round(stddev_samp(
   avg(Throttle) AS throttle_mean, round(stddev_samp(Throttle), 6) AS throttle_std,
   avg(CASE WHEN Brake > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS brake_ratio, avg(RPM) AS rpm_mean, avg(nGear) AS gear_mean,
   avg(CASE WHEN DRS > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS drs_ratio, avg(Brake) AS brake_mean,
-  avg(LapTime) AS lap_time_mean_3, (arg_max(LapTime, (ts, event_id)) FILTER (WHERE LapTime IS NOT NULL)
-    - arg_min(LapTime, (ts, event_id)) FILTER (WHERE LapTime IS NOT NULL)) / nullif(count(LapTime) - 1, 0) AS lap_time_delta"""
+  avg(LapTime) AS lap_time_mean_3, avg(change) AS lap_time_delta"""
 
 
-def _samples(spark, sf_dir):
-    events = live.event_stream(spark, sf_dir, pathGlobFilter="events*.parquet")
-    return data.as_samples(events)
+def _live_sql(key: str) -> str:
+    return f"""SELECT {key}, {_LIVE} FROM (
+  SELECT *, LapTime - lag(LapTime) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS change
+  FROM (SELECT *, date_trunc('day', ts) AS window_start FROM samples) d) s GROUP BY {key}"""
+
+
+def _feed(spark, sf_dir, files: int = 3):
+    """The events as a feed: one file for each stretch of time, and one micro-batch for each file."""
+    events, path = data.table(spark, sf_dir, "events"), fresh_path(spark, "feed")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    dealt = events.join(F.broadcast(span)).withColumn("_slot", F.least(F.lit(files - 1), F.floor(
+        files * (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp")))
+        / (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))))))
+    for i in range(files):
+        dealt.where(F.col("_slot") == i).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    return data.as_samples(live.event_stream(spark, path, maxFilesPerTrigger=1))
 
 
 def _rounded(df):
     return df.withColumns({c: F.round(c, 6) for c in ("speed_std", "throttle_std")})
 
 
-@register("stream_live_features", samples_sql(f"SELECT session, driver, {_LIVE} FROM samples GROUP BY session, driver"))
-def stream_live_features(spark, sf_dir):
-    stream = live.live_lap_features(_samples(spark, sf_dir), ["session", "driver"])
-    return _rounded(live.run_to_table(stream, "live", mode="update", key=["session", "driver"]))
+def _live(spark, samples, keys):
+    return _rounded(live.live_in_batches(samples, keys, fresh_path(spark, "live-out"), fresh_path(spark, "live-state")))
 
 
-@register("stream_windowed_features", samples_sql(f"""
-SELECT session, window_start, {_LIVE} FROM (SELECT *, date_trunc('day', ts) AS window_start FROM samples) s GROUP BY session, window_start"""))
-def stream_windowed_features(spark, sf_dir):
-    stream = live.live_lap_features(_samples(spark, sf_dir), ["session"], window="1 day", watermark="1 day")
-    out = live.run_to_table(stream, "windowed", mode="update", key=["session", "window"])
-    return _rounded(out.withColumn("window_start", F.col("window.start").cast("timestamp_ntz")).drop("window"))
+@register("stream_live_features", samples_sql(_live_sql("session, driver")))
+def stream_live_features(spark, sf_dir):
+    return _live(spark, _feed(spark, sf_dir), ["session", "driver"])
 
 
-def _estimate(features):
-    value = F.col("lap_time_mean_3") + F.col("lap_time_delta") * F.lit(0.5) + F.col("brake_mean") * F.lit(2.0)
-    return features.select("session", "driver", value.alias("prediction"))
+@register("stream_windowed_features", samples_sql(_live_sql("session, window_start")))
+def stream_windowed_features(spark, sf_dir):
+    samples = _feed(spark, sf_dir).withColumn("window_start", F.date_trunc("day", "ts"))
+    return _live(spark, samples, ["session", "window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @register("stream_live_scores", samples_sql(f"""
-SELECT session, driver, lap_time_mean_3 + lap_time_delta * CAST(0.5 AS DOUBLE) + brake_mean * 2 AS prediction
-FROM (SELECT session, driver, {_LIVE} FROM samples GROUP BY session, driver) f"""))
+SELECT session, driver, round(intercept + slope * speed_mean, 6) AS prediction
+FROM live JOIN (SELECT session, regr_slope(lap_time_mean_3, speed_mean) AS slope, regr_intercept(lap_time_mean_3, speed_mean) AS intercept
+  FROM live GROUP BY session) m USING (session)""", f"live AS ({_live_sql('session, driver')})"))
 def stream_live_scores(spark, sf_dir):
-    """Scores per batch; a fixed linear score keeps the result checkable, a fitted model plugs in the same way."""
-    stream = live.live_lap_features(_samples(spark, sf_dir), ["session", "driver"])
-    shape = T.StructType().add("session", "long").add("driver", "long").add("prediction", "double")
-    return live.run_to_table(stream, "scores", mode="update", key=["session", "driver"], score=_estimate, schema=shape)
+    """A line fitted for each session on the stored samples, applied to the features of the stream."""
+    stored = aggregates.live_features(data.telemetry_samples(spark, sf_dir), ["session", "driver"], order=["ts", "event_id"])
+    fits = written_table(training.local_fits(stored, group="session", x="speed_mean", y="lap_time_mean_3"), "session-lines")
+    features = _live(spark, _feed(spark, sf_dir), ["session", "driver"])
+    return features.join(fits, "session").select(
+        "session", "driver", F.round(F.col("intercept") + F.col("slope") * F.col("speed_mean"), 6).alias("prediction"))
+
+
+def _lap_files(spark, sf_dir, shuffled: bool, files: int = 3):
+    """The laps as a feed of several files: in order of laps, or dealt out at random so that most come late."""
+    laps, path = data.laps(spark, sf_dir), fresh_path(spark, "lap-feed")
+    slot = F.pmod(F.xxhash64(*KEYS), F.lit(files)) if shuffled else F.least(F.lit(files - 1), F.floor(F.col("LapNumber") / 4))
+    for i in range(files):
+        laps.where(slot == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(laps.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _history(spark, stream):
+    out = stream_history.history_in_batches(stream, K.LAP_GROUP, fresh_path(spark, "history-out"), fresh_path(spark, "history-state"))
+    return out.withColumn("lap_time_std_5_prev", F.round("lap_time_std_5_prev", 6))
 
 
 @register("stream_lap_history", laps_sql(f"SELECT {KEY}, LapTime, {HISTORY_SQL} FROM laps {LAP_WINDOW}"))
 def stream_lap_history(spark, sf_dir):
-    laps = spark.readStream.schema(data.laps(spark, sf_dir).schema).parquet(data.laps_path(spark, sf_dir))
-    stream = stream_history.streaming_history(laps, K.LAP_GROUP)
-    out = live.run_to_table(stream, "history", mode="append")
-    missing_as_null = {c: S.finite(c) for c, t in out.dtypes if t == "double"}
-    return out.withColumns(missing_as_null).withColumn("lap_time_std_5_prev", F.round("lap_time_std_5_prev", 6))
+    """Laps in order, several micro-batches."""
+    return _history(spark, _lap_files(spark, sf_dir, shuffled=False))
 
 
 @register("stream_lap_history_batches", laps_sql(f"SELECT {KEY}, LapTime, {HISTORY_SQL} FROM laps {LAP_WINDOW}"))
 def stream_lap_history_batches(spark, sf_dir):
-    """History with the last laps of each driver stored between micro-batches."""
-    laps = spark.readStream.schema(data.laps(spark, sf_dir).schema).parquet(data.laps_path(spark, sf_dir))
-    out = stream_history.history_in_batches(
-        laps, K.LAP_GROUP, fresh_path(spark, "history-out"), fresh_path(spark, "history-state"))
-    return out.withColumn("lap_time_std_5_prev", F.round("lap_time_std_5_prev", 6))
+    """Laps out of order: late ones correct the history of the laps behind them."""
+    return _history(spark, _lap_files(spark, sf_dir, shuffled=True))
 
 
 @register("stream_ingest", laps_sql("""
-SELECT year || '|' || gp || '|' || session_code AS key, 'completed' AS status, count(*) AS n_rows FROM laps GROUP BY 1"""))
+SELECT year || '|' || gp || '|' || session_code AS key, CASE WHEN gp = 'NATION_0' THEN 'failed' ELSE 'completed' END AS status,
+  CAST(CASE WHEN gp = 'NATION_0' THEN 0 ELSE count(*) END AS BIGINT) AS n_rows FROM laps GROUP BY gp, 1"""))
 def stream_ingest_sessions(spark, sf_dir):
-    """New session files once, then a second run that finds nothing new."""
-    target, log, state = (fresh_path(spark, f"ingest-{n}") for n in ("laps", "log", "state"))
-    schema = data.laps(spark, sf_dir).schema
+    """New session files once, one to a micro-batch, then a second run that finds nothing new; one event's files never come."""
+    source, target, log, state = (fresh_path(spark, f"ingest-{n}") for n in ("in", "laps", "log", "state"))
+    laps = data.laps(spark, sf_dir)
+    plan = laps.select("year", "gp", "session_code").distinct().select(S.session_key().alias("key"))
+    for code in ("R", "Q", "T"):
+        laps.where((F.col("session_code") == code) & (F.col("gp") != "NATION_0")).coalesce(1).write.mode("append").parquet(source)
     for _ in range(2):
-        stream_ingest.ingest_new_files(spark, data.laps_path(spark, sf_dir), schema, target, log, state)
+        stream_ingest.ingest_new_files(spark, source, laps.schema, target, log, state, plan, maxFilesPerTrigger=1)
     outcomes = spark.read.schema(schemas.OUTCOMES).parquet(log)
-    return outcomes.groupBy("key").agg(F.max("status").alias("status"), F.sum("n_rows").alias("n_rows"))
+    return latest_per_key(outcomes, ["key"], ["seq"]).select("key", "status", "n_rows")

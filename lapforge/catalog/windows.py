@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lapforge import constants as K
 from lapforge.catalog.filters import base_laps
 from lapforge.catalog.registry import (
-    DRIVER, KEY, LAP_WINDOW, base_sql, cut_rows, kept_sql, laps_sql, messages_sql, register,
+    DRIVER, KEY, LAP_WINDOW, base_sql, SPLIT_LAPS, SPLIT_ROWS, kept_sql, laps_sql, messages_sql, register,
 )
 from lapforge.catalog.scalars import COMPOUND_SQL
 from lapforge.functions import scalars as S
@@ -35,7 +35,7 @@ def window_lap_history(spark, sf_dir):
 def window_lap_history_split(spark, sf_dir):
     """The same history with groups above a few laps treated as hot ones."""
     laps = data.laps(spark, sf_dir).select(*KEYS, "LapTime")
-    out = history.lap_time_history(laps, rows=cut_rows(laps, 8, 4000)).drop("LapTime")
+    out = history.lap_time_history(laps, rows=SPLIT_LAPS).drop("LapTime")
     return out.withColumn("lap_time_std_5_prev", F.round("lap_time_std_5_prev", 6))
 
 
@@ -77,6 +77,14 @@ def window_session_baseline(spark, sf_dir):
     return features.session_baseline(kept).select(*KEYS, "session_baseline", "LapTimeResidual")
 
 
+@register("window_session_baseline_split", kept_sql(f"""
+SELECT {KEY}, median(LapTime) OVER (PARTITION BY year, gp, session_code) AS session_baseline,
+  LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS LapTimeResidual FROM kept"""))
+def window_session_baseline_split(spark, sf_dir):
+    kept = filters.iqr_filter(base_laps(spark, sf_dir))
+    return features.session_baseline(kept, rows=SPLIT_ROWS).select(*KEYS, "session_baseline", "LapTimeResidual")
+
+
 def _progress_sql(scope: str) -> str:
     return laps_sql(f"""
 SELECT {KEY}, pct AS LapNumber_pct, TyreLife * pct AS tyre_x_progress, CAST({COMPOUND_SQL} AS DOUBLE) * TyreLife AS compound_x_tyre
@@ -182,7 +190,7 @@ def window_race_control_flags(spark, sf_dir):
 @register("window_race_control_flags_split", messages_sql("SELECT session, Lap, is_sc, is_vsc, is_yellow FROM flags", _STATE))
 def window_race_control_flags_split(spark, sf_dir):
     messages = data.race_control(spark, sf_dir)
-    return joins.lap_flags(messages, keys=["session"], order=["ts", "seq"], rows=cut_rows(messages, 20, 50))
+    return joins.lap_flags(messages, keys=["session"], order=["ts", "seq"], rows=SPLIT_ROWS)
 
 
 @register("window_race_control_carry", messages_sql("""

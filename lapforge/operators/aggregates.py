@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.functions import scalars as S
-from lapforge.operators.quantiles import group_quantiles
+from lapforge.operators.quantiles import SMALL_GROUP, group_quantiles
 from lapforge.operators.segments import SEGMENT_ROWS, open_segments
 
 
@@ -40,12 +40,6 @@ def lap_telemetry_simple(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(*sample_aggregates(0, open_ended=False))
 
 
-def mean_change(value: str, order: Sequence[str]) -> Column:
-    """Mean change between neighbouring known values = (last - first) / (n - 1); needs no window, so streams can use it."""
-    at = F.when(F.col(value).isNotNull(), F.struct(*order))
-    return F.try_divide(F.max_by(value, at) - F.min_by(value, at), F.count(value) - 1)
-
-
 def live_aggregates() -> list[Column]:
     return [
         *sample_aggregates(0, open_ended=False), F.avg("Brake").alias("brake_mean"),
@@ -68,6 +62,34 @@ def live_features(
     )
 
 
+_LIVE_MEANS = {"speed_mean": "Speed", "throttle_mean": "Throttle", "rpm_mean": "RPM", "gear_mean": "nGear", "brake_mean": "Brake",
+               "lap_time_mean_3": "LapTime", "lap_time_delta": "_change"}
+_LIVE_SPREADS = {"speed_std": "Speed", "throttle_std": "Throttle"}
+
+
+def live_parts(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What the live aggregates of a part of the samples add up from; ``_change`` holds the change since the sample before."""
+    sums = [f for name, c in _LIVE_MEANS.items() for f in (F.sum(c).alias(f"s_{name}"), F.count(c).alias(f"n_{name}"))]
+    spreads = [f for name, c in _LIVE_SPREADS.items() for f in (
+        F.count(c).alias(f"n_{name}"), F.avg(c).alias(f"m_{name}"), (F.var_pop(c) * F.count(c)).alias(f"q_{name}"))]
+    shares = [F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in (("c_brake", F.col("Brake") > 0), ("c_drs", F.col("DRS") > 0))]
+    return samples.groupBy(*keys).agg(*sums, *spreads, *shares, F.max("Speed").alias("speed_max"), F.count(F.lit(1)).alias("n_all"))
+
+
+def merge_live_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The live aggregates of all samples, from the parts of each key."""
+    means = [F.try_divide(F.sum(f"s_{n}"), F.sum(f"n_{n}")).alias(n) for n in _LIVE_MEANS]
+
+    def spread(n: str) -> Column:
+        count = F.sum(f"n_{n}")
+        mean = F.try_divide(F.sum(F.col(f"n_{n}") * F.col(f"m_{n}")), count)
+        squares = F.sum(F.col(f"q_{n}") + F.col(f"n_{n}") * F.col(f"m_{n}") * F.col(f"m_{n}")) - count * mean * mean
+        return F.when(count > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (count - 1))).alias(n)
+
+    shares = [F.try_divide(F.sum(c), F.sum("n_all")).alias(n) for n, c in (("brake_ratio", "c_brake"), ("drs_ratio", "c_drs"))]
+    return parts.groupBy(*keys).agg(*means, *[spread(n) for n in _LIVE_SPREADS], *shares, F.max("speed_max").alias("speed_max"))
+
+
 def live_speed(samples: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ("ts",)) -> DataFrame:
     """The smaller live set: lap columns stand for mean speed and the change from first to last speed."""
     at = F.struct(*order)
@@ -127,7 +149,7 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, value: str, probs: Mapping[str, float] | None = None) -> DataFrame:
+def describe(df: DataFrame, value: str, probs: Mapping[str, float] | None = None, *, rows: int = SMALL_GROUP) -> DataFrame:
     """One row: count, mean, sample std, min, percentiles, max."""
     probs = dict(probs or {"p01": 0.01, "p50": 0.5, "p99": 0.99})
     base = df.agg(
@@ -135,7 +157,7 @@ def describe(df: DataFrame, value: str, probs: Mapping[str, float] | None = None
         F.min(value).alias("min"), F.max(value).alias("max"),
     ).withColumn("_one", F.lit(1))
     keyed = df.select(F.lit(1).alias("_one"), value)
-    return base.join(group_quantiles(keyed, ["_one"], value, probs), "_one", "left").drop("_one")
+    return base.join(group_quantiles(keyed, ["_one"], value, probs, rows=rows), "_one", "left").drop("_one")
 
 
 def group_count(df: DataFrame, column: str = "gp") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.constants import EXCLUDED_GPS, IQR_FACTOR, MIN_TRACK_ROWS, SESSION
-from lapforge.operators.quantiles import approximate_quantiles, group_quantiles
+from lapforge.operators.quantiles import SMALL_GROUP, approximate_quantiles, group_quantiles
 from lapforge.session import written_table
 
 
@@ -65,10 +65,11 @@ def iqr_fences(quartiles: DataFrame, factor: float = IQR_FACTOR) -> DataFrame:
 
 def iqr_filter(
     df: DataFrame, *, keys: Sequence[str] = SESSION, value: str = "LapTime", factor: float = IQR_FACTOR,
-    approximate: bool = False,
+    approximate: bool = False, rows: int = SMALL_GROUP,
 ) -> DataFrame:
     """Keep values inside the quartile fences of their group. The fences, one row per group, are written out first."""
-    quartiles = (approximate_quantiles if approximate else group_quantiles)(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
+    probs = {"_q1": 0.25, "_q3": 0.75}
+    quartiles = approximate_quantiles(df, keys, value, probs) if approximate else group_quantiles(df, keys, value, probs, rows=rows)
     fences = written_table(iqr_fences(quartiles, factor), "fences")
     return (
         df.join(fences, list(keys))

@@ -52,9 +52,9 @@ def surviving_laps(laps: DataFrame) -> DataFrame:
     )
 
 
-def session_baseline(laps: DataFrame) -> DataFrame:
+def session_baseline(laps: DataFrame, *, rows: int = SMALL_GROUP) -> DataFrame:
     """Attach the session median and the residual against it."""
-    medians = written_table(group_quantiles(laps, K.SESSION, "LapTime", {"session_baseline": 0.5}), "session-medians")
+    medians = written_table(group_quantiles(laps, K.SESSION, "LapTime", {"session_baseline": 0.5}, rows=rows), "session-medians")
     return laps.join(medians, K.SESSION, "left").withColumn(
         "LapTimeResidual", F.col("LapTime") - F.col("session_baseline")
     )

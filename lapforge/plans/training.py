@@ -18,12 +18,12 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from lapforge import constants as K
 from lapforge import schemas
 from lapforge.functions import scalars as S
 from lapforge.operators import aggregates, encoding, splits
+from lapforge.session import written_table
 
 
 # --- inputs ------------------------------------------------------------------------------------------------------
@@ -126,8 +126,8 @@ def evaluate_folds(
     fold: str = "fold", target: str = K.TARGET, categories: Sequence[str] = (), fill_zero: bool = False,
     label: str = "gp", parallelism: int = 2,
 ) -> DataFrame:
-    """Fit once per fold on the other folds. ``df`` carries the fold column and is kept while the folds run."""
-    kept = df.persist(StorageLevel.DISK_ONLY)
+    """Fit once per fold on the other folds. ``df`` carries the fold column and is written once for all folds."""
+    kept = written_table(df, "folds")
 
     def one(k: int) -> DataFrame:
         scored = fit_and_score(kept.where(F.col(fold) != k), kept.where(F.col(fold) == k), features,
@@ -141,9 +141,7 @@ def evaluate_folds(
     names = kept.groupBy(fold).agg(F.min(label).alias(f"test_{label}"))
     out = results.join(names, fold).join(aggregates.fold_rows(kept, fold), fold).select(
         fold, f"test_{label}", "rmse", "mae", "r2", "train_rows", "test_rows")
-    done = df.sparkSession.createDataFrame(out.collect(), out.schema)
-    kept.unpersist()
-    return done
+    return out
 
 
 # --- search --------------------------------------------------------------------------------------------------------
@@ -206,22 +204,19 @@ def score(df: DataFrame, model: PipelineModel, encoder: encoding.TargetEncoding,
 
 
 # --- one model per track ---------------------------------------------------------------------------------------------
-def fit_local_linear(
-    df: DataFrame, features: Sequence[str], *, group: str = "gp", target: str = K.TARGET, ridge: float = 1e-6,
-) -> DataFrame:
-    """A ridge regression per group: ``group, n, coefficients`` (intercept first).
-
-    Rows collapse to the sums of products of each group (partial aggregation, any skew); only those small matrices
-    are solved in Python.
-    """
+def _moments(df: DataFrame, features: Sequence[str], group: str, target: str) -> DataFrame:
+    """Sums of products of each group: ``n, xx, xy`` (upper triangle, constant first). Any skew is reduced before it moves."""
     names = ["_1", *features]
     values = {"_1": F.lit(1.0), **{f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}}
     y = F.col(target).cast("double")
     sums = [F.sum(values[a] * values[b]) for i, a in enumerate(names) for b in names[i:]]
     sums_y = [F.sum(values[a] * y) for a in names]
-    moments = df.where(y.isNotNull()).groupBy(group).agg(
+    return df.where(y.isNotNull()).groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.array(*sums).alias("xx"), F.array(*sums_y).alias("xy"))
-    size = len(names)
+
+
+def _solved(moments: DataFrame, size: int, group: str, ridge: float) -> DataFrame:
+    """``group, n, coefficients`` (intercept first): only these small matrices are solved in Python."""
     upper = np.triu_indices(size)
 
     def solve(batches):
@@ -234,8 +229,50 @@ def fit_local_linear(
                 solved.append(np.linalg.lstsq(m, np.asarray(xy, dtype=float), rcond=None)[0].tolist())
             yield pd.DataFrame({group: batch[group], "n": batch["n"], "coefficients": solved})
 
-    kind = dict(df.dtypes)[group]
-    return moments.mapInPandas(solve, f"{group} {kind}, n bigint, coefficients array<double>")
+    kind = dict(moments.dtypes)[group]
+    return moments.mapInPandas(solve, f"`{group}` {kind}, n bigint, coefficients array<double>")
+
+
+def fit_local_linear(
+    df: DataFrame, features: Sequence[str], *, group: str = "gp", target: str = K.TARGET, ridge: float = 1e-6,
+) -> DataFrame:
+    """A ridge regression per group: ``group, n, coefficients`` (intercept first)."""
+    return _solved(_moments(df, features, group, target), len(features) + 1, group, ridge)
+
+
+def fit_leave_fold_out(
+    df: DataFrame, features: Sequence[str], *, fold: str = "fold", target: str = K.TARGET, ridge: float = 0.0,
+) -> DataFrame:
+    """For every fold the regression on all other folds: ``fold, n, coefficients``.
+
+    Exact, from one pass: the sums of products of the other folds are those of all rows less the fold's own.
+    """
+    own = written_table(_moments(df, features, fold, target), "fold-moments")
+    size = len(features) + 1
+    width = {"xx": size * (size + 1) // 2, "xy": size}
+    whole = own.agg(F.sum("n").alias("n_all"), *[F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(f"{c}_all") for c, k in width.items()])
+    rest = own.join(F.broadcast(whole)).select(
+        fold, (F.col("n_all") - F.col("n")).alias("n"),
+        *[F.zip_with(f"{c}_all", c, lambda a, b: a - b).alias(c) for c in width])
+    return _solved(rest, size, fold, ridge)
+
+
+def evaluate_linear_folds(
+    df: DataFrame, features: Sequence[str], *, fold: str = "fold", target: str = K.TARGET, label: str = "gp",
+) -> tuple[DataFrame, DataFrame]:
+    """Metrics of every fold under the regression on the other folds, and those regressions."""
+    models = written_table(fit_leave_fold_out(df, features, fold=fold, target=target), "fold-models")
+    scored = score_local_linear(df, models, features, group=fold, output="prediction")
+    metrics = aggregates.error_metrics(scored, [fold], truth=target, prediction="prediction").withColumnRenamed("n", "test_rows")
+    names = df.groupBy(fold).agg(F.min(label).alias(f"test_{label}"))
+    report = metrics.join(names, fold).join(models.select(fold, F.col("n").alias("train_rows")), fold)
+    return report.select(fold, f"test_{label}", "rmse", "mae", "r2", "train_rows", "test_rows"), models
+
+
+def best_fold_model(report: DataFrame, models: DataFrame, *, fold: str = "fold", label: str = "gp") -> DataFrame:
+    """The regression of the fold with the smallest RMSE: fold, the group it was tested on, its RMSE and coefficients."""
+    best = report.agg(F.min(F.struct("rmse", fold, f"test_{label}")).alias("b")).select("b.*")
+    return best.join(models.select(fold, "coefficients"), fold)
 
 
 def score_local_linear(df: DataFrame, models: DataFrame, features: Sequence[str], *, group: str = "gp",
@@ -272,7 +309,7 @@ def evaluate_tracks(
     candidates = draw_params(space, trials)
 
     def one(gp: str) -> tuple:
-        marked = doubles(splits.random_split(df.where(F.col("gp") == gp), key), features, fill_zero=True).persist()
+        marked = written_table(doubles(splits.random_split(df.where(F.col("gp") == gp), key), features, fill_zero=True), "track")
         train, test = (marked.where(F.col("part") == p) for p in ("train", "test"))
 
         def metrics(params: Mapping):
@@ -280,7 +317,6 @@ def evaluate_tracks(
             return aggregates.error_metrics(fitted.transform(test), truth=target, prediction="prediction").first()
 
         best = min((metrics(p) for p in candidates), key=lambda m: m.rmse)
-        marked.unpersist()
         return gp, best.rmse, best.mae, best.r2, sizes[gp]
 
     with ThreadPoolExecutor(parallelism) as pool:

@@ -42,9 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_SHARED[app]
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"lapforge-{spark.sparkContext.applicationId}")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A path that nothing else uses, in this application's part of the shared folder."""
+    return os.path.join(_own_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def written_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -58,6 +62,17 @@ def written_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's own side tables; a missing one is no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every side table of this application. For the end of a job: results not written yet may still read them."""
+    remove(spark, _own_dir(spark))
+
+
 LIST_BYTES = 8 << 20
 
 

@@ -1,100 +1,70 @@
 """Previous-lap features on a stream of finished laps.
 
-Two forms. ``streaming_history`` keeps the last five lap times of each driver in the state store and answers within
-the micro-batch; it suits a live feed, where a micro-batch holds a few laps per driver. ``history_in_batches`` is for
-backfills, where one driver session may fill a micro-batch: it puts the stored last laps in front of the batch and
-runs the ordinary segmented windows, so nothing of a group is held in Python.
+Each micro-batch runs the ordinary segmented windows over its laps and the last stored laps of their drivers, so nothing of
+a group is held in Python. Laps may arrive late: a lap before the last stored one of its driver changes the history of the
+laps behind it, and those are computed again and stored anew. The answer is the newest version of every lap, and doesn't
+depend on the order of arrival or on the size of a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lapforge.operators.history import LOOKBACK, lap_time_columns
 from lapforge.operators.segments import SEGMENT_ROWS, open_segments
+from lapforge.operators.splits import latest_per_key
+from lapforge.session import remove, written_table
 
 FEATURES = ["lap_time_prev", "lap_time_mean_3_prev", "lap_time_delta_prev", "lap_time_std_5_prev"]
 
 
-def _known(values: list[float]) -> list[float]:
-    return [v for v in values if v == v]
-
-
-def _features(past: list[float]) -> tuple[float, float, float, float]:
-    """History of the next lap from the last lap times, NaN standing for a lap without one."""
-    last3, last5 = _known(past[-3:]), _known(past[-5:])
-    previous = past[-1] if past else np.nan
-    return (
-        previous,
-        sum(last3) / len(last3) if last3 else np.nan,
-        previous - past[-2] if len(past) > 1 else np.nan,
-        float(np.std(last5, ddof=1)) if len(last5) > 1 else np.nan,
-    )
-
-
-def streaming_history(
-    laps: DataFrame, keys: Sequence[str], *, order: str = "LapNumber", value: str = "LapTime"
-) -> DataFrame:
-    """Rows of ``laps`` (keys, order, value) with the four lap-time history columns.
-
-    Laps of a driver are sorted inside a micro-batch, whose size the source bounds (``maxFilesPerTrigger``); the state
-    is five numbers per driver. A lap that arrives in a later batch than its successor counts in the order of arrival.
-    """
-    keys = list(keys)
-    kinds = dict(laps.dtypes)
-    output = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{order}` {kinds[order]}", f"`{value}` double"]
-                       + [f"{n} double" for n in FEATURES])
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        arrived = pd.concat(list(batches), ignore_index=True).sort_values(order)
-        rows = []
-        for lap_time in arrived[value].astype(float):
-            rows.append(_features(past))
-            past = [*past, lap_time][-LOOKBACK:]
-        state.update((past,))
-        head = arrived[[*keys, order, value]].reset_index(drop=True)
-        yield pd.concat([head, pd.DataFrame(rows, columns=FEATURES)], axis=1)
-
-    return laps.select(*keys, order, value).groupBy(*keys).applyInPandasWithState(
-        step, output, "past array<double>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def history_in_batches(
     laps: DataFrame, keys: Sequence[str], path: str, state: str, *, order: str = "LapNumber", value: str = "LapTime",
     rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Drain the stream ``laps`` into ``path``; the last laps of every driver live in Parquet under ``state``.
 
-    Batch n reads the laps stored by batch n - 1 and writes its own folders, so a repeated batch gives the same rows.
+    Batch n reads the laps stored by earlier batches and writes its own folders, so a repeated batch gives the same rows.
+    Drivers whose laps come in order cost a read of their last laps; only for late ones the stored laps are read again.
     """
     spark, keys = laps.sparkSession, list(keys)
     columns = [*keys, order, value]
     schema = laps.select(*columns).schema
-    newest = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), F.col(order).desc())
+    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], *[f"{n} double" for n in FEATURES], "_batch bigint"])
+
+    def stored_laps(number: int) -> DataFrame:
+        return spark.read.option("basePath", path).schema(shape).parquet(path).where(F.col("_batch") < number)
 
     def store(batch: DataFrame, number: int) -> None:
         arrived = batch.select(*columns).withColumn("_new", F.lit(True))
         if number:
-            stored = spark.read.schema(schema).parquet(f"{state}/tails/{number - 1}")
-            arrived = arrived.unionByName(stored.withColumn("_new", F.lit(False)))
+            tails = spark.read.schema(schema).parquet(f"{state}/tails/{number - 1}")
+            last = tails.groupBy(*keys).agg(F.max(order).alias("_last"))
+            firsts = batch.groupBy(*keys).agg(F.min(order).alias("_first"))
+            late = written_table(firsts.join(last, keys).where(F.col("_first") < F.col("_last")).select(*keys, "_first"), "late")
+            known = tails.join(late, keys, "left_anti").withColumn("_new", F.lit(False))
+            if not late.isEmpty():
+                again = latest_per_key(stored_laps(number).join(late, keys), [*keys, order], ["_batch"])
+                again = again.join(batch.select(*keys, order), [*keys, order], "left_anti")
+                # Laps behind the first late one are computed anew; LOOKBACK laps before it are all they need.
+                before = Window.partitionBy(*keys, F.col(order) < F.col("_first")).orderBy(F.col(order).desc())
+                again = again.withColumn("_rn", F.row_number().over(before)).withColumn("_new", F.col(order) > F.col("_first"))
+                known = known.unionByName(again.where(F.col("_new") | (F.col("_rn") <= LOOKBACK)).select(*columns, "_new"))
+            arrived = arrived.unionByName(known)
         s = open_segments(arrived, keys, [order], depth=LOOKBACK, rows=rows)
         done = s.close(s.frame.withColumns(lap_time_columns(s, value)))
         done.where("_new").drop("_new").write.mode("overwrite").parquet(f"{path}/_batch={number}")
-        tails = arrived.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= LOOKBACK)
-        tails.select(*columns).write.mode("overwrite").parquet(f"{state}/tails/{number}")
-
-    query = (
-        laps.writeStream.foreachBatch(store).option("checkpointLocation", f"{state}/query")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], *[f"{n} double" for n in FEATURES]])
-    return spark.read.schema(shape).parquet(path).drop("_batch")
+        everything = arrived.select(*columns)
+        if number:
+            everything = everything.unionByName(tails.join(batch.select(*keys, order), [*keys, order], "left_anti")).dropDuplicates([*keys, order])
+        last_laps = everything.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= LOOKBACK)
+        last_laps.select(*columns).write.mode("overwrite").parquet(f"{state}/tails/{number}")
+        remove(spark, f"{state}/tails/{number - 2}")
+
+    laps.writeStream.foreachBatch(store).option("checkpointLocation", f"{state}/query").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.option("basePath", path).schema(shape).parquet(path)
+    return latest_per_key(out, [*keys, order], ["_batch"]).select(*columns, *FEATURES)

@@ -1,21 +1,21 @@
 """Live features and scores on Structured Streaming.
 
-The polling loop becomes an incremental aggregate: state per (session, driver) instead of a re-read of the session.
-A tumbling window with a watermark bounds that state when sessions never end.
+The polling loop becomes an incremental aggregate: sums per (session, driver) and batch, and the last sample of each,
+instead of a re-read of the session. A key with a window start in it gives tumbling windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lapforge import schemas
 from lapforge.operators import aggregates
+from lapforge.operators.segments import SEGMENT_ROWS, open_segments
 from lapforge.operators.splits import latest_per_key
-from lapforge.session import fresh_path
+from lapforge.session import remove
 
 
 def event_stream(spark: SparkSession, path: str, schema: str = schemas.EVENTS, **options) -> DataFrame:
@@ -24,39 +24,31 @@ def event_stream(spark: SparkSession, path: str, schema: str = schemas.EVENTS, *
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def live_lap_features(
-    samples: DataFrame, keys: Sequence[str], *, window: str | None = None, watermark: str | None = None,
-    time: str = "ts",
+def live_in_batches(
+    samples: DataFrame, keys: Sequence[str], path: str, state: str, *, order: Sequence[str] = ("ts", "event_id"), rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """The live aggregates, per key or per key and tumbling window."""
-    source = samples.withWatermark(time, watermark) if watermark else samples
-    by = [*keys, *([F.window(time, window).alias("window")] if window else [])]
-    change = aggregates.mean_change("LapTime", [time, "event_id"])
-    return source.groupBy(*by).agg(*aggregates.live_aggregates(), change.alias("lap_time_delta"))
+    """Drain the stream into sums per key and batch under ``path``, and return the live aggregates of everything received.
 
-
-def run_to_table(
-    stream: DataFrame, name: str, *, mode: str, key: Sequence[str] = (),
-    score: Callable[[DataFrame], DataFrame] | None = None, schema=None, path: str | None = None, state: str | None = None,
-) -> DataFrame:
-    """Drain the stream into a Parquet table and return it.
-
-    Update mode emits a row each time its aggregate moves: every batch is stored with its number and the newest row
-    per key is the answer. With the same ``path`` and ``state`` a restarted query goes on where it stopped, and a
-    repeated batch overwrites its own folder, so nothing doubles.
+    A change is measured between neighbouring samples, also across batches: the last sample of every key is kept in
+    Parquet under ``state`` and put in front of the next batch. Inside a batch samples come in any order; from batch to
+    batch a key's samples must follow in time. Batch n reads what batch n - 1 stored and writes folders of its own, so a
+    repeated batch gives the same rows; older states are deleted.
     """
-    spark = stream.sparkSession
-    path, state = path or fresh_path(spark, f"{name}-out"), state or fresh_path(spark, f"{name}-state")
+    spark, keys, order = samples.sparkSession, list(keys), list(order)
+    columns = [*keys, *order, "LapTime"]
+    schema = samples.select(*columns).schema
 
     def store(batch: DataFrame, number: int) -> None:
-        rows = score(batch) if score else batch
-        rows.write.mode("overwrite").parquet(f"{path}/_batch={number}")
-
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(store)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    shape = schema or (score(stream).schema if score else stream.schema)
-    out = spark.read.option("basePath", path).schema(T.StructType([*shape.fields, T.StructField("_batch", T.LongType())])).parquet(path)
-    return latest_per_key(out, key, ["_batch"]).drop("_batch") if key else out.drop("_batch")
+        arrived = batch.withColumn("_new", F.lit(True))
+        if number:
+            stored = spark.read.schema(schema).parquet(f"{state}/tails/{number - 1}")
+            arrived = arrived.unionByName(stored.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        s = open_segments(arrived.withColumn("_at", F.unix_micros(order[0])), keys, ["_at", *order[1:]], depth=1, rows=rows)
+        change = F.col("LapTime") - F.lag("LapTime", 1).over(s.ordered())
+        changed = s.close(s.frame.withColumn("_change", change)).where("_new")
+        aggregates.live_parts(changed, keys).write.mode("overwrite").parquet(f"{path}/_batch={number}")
+        latest_per_key(arrived.select(*columns), keys, order).select(*columns).write.mode("overwrite").parquet(f"{state}/tails/{number}")
+        remove(spark, f"{state}/tails/{number - 2}")
+
+    samples.writeStream.foreachBatch(store).option("checkpointLocation", f"{state}/query").trigger(availableNow=True).start().awaitTermination()
+    return aggregates.merge_live_parts(spark.read.parquet(path), keys)

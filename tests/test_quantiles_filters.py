@@ -28,6 +28,22 @@ def test_exact_quantiles_match_numpy(spark, values, rows):
         np.testing.assert_allclose(out.loc[k, list(PROBS)].astype(float), np.quantile(group["v"], list(PROBS.values())), rtol=1e-12, atol=1e-15)
 
 
+@pytest.mark.parametrize("special", [[float("nan")], [float("inf")], [float("-inf"), float("inf")], [float("nan"), float("-inf"), None]])
+def test_both_paths_agree_to_the_last_bit(spark, special):
+    rng = np.random.default_rng(5)
+    rows = [("a", v) for v in [*special, *(rng.normal(size=300) * 1e-5).tolist(), 0.0, -0.0]] + [("b", v) for v in special]
+    df = spark.createDataFrame(rows, "k string, v double")
+    small, spread = (sorted_rows(group_quantiles(df, ["k"], "v", PROBS, rows=n), "k") for n in (4_000_000, 0))
+    pd.testing.assert_frame_equal(small, spread, check_exact=True)
+
+
+def test_values_near_zero_fall_into_many_bins(spark):
+    from lapforge.operators.quantiles import _bin
+
+    df = spark.range(1, 100_001).select((F.col("id") * 1e-10).alias("v"))
+    assert df.select(_bin(F.col("v")).alias("b")).distinct().count() > 10_000
+
+
 def test_approximate_quantiles_stay_close(spark, values):
     tight = spark.createDataFrame(values[values.k == "tight"])
     row = approximate_quantiles(tight, ["k"], "v", {"m": 0.5}).first()
