@@ -9,8 +9,10 @@ from lapforge.catalog.filters import base_laps
 from lapforge.catalog.registry import KEY, SPLIT_ROWS, base_sql, kept_sql, laps_sql, register, samples_sql
 from lapforge.operators import aggregates, encoding, splits
 from lapforge.plans import features, reports, training
+from lapforge.session import written_table
 from lapforge.sources import testdata as data
 
+KEYS = [*K.LAP_GROUP, K.LAP_ORDER]
 LAP = ["session", "driver", "lap"]
 
 
@@ -81,9 +83,11 @@ scored AS (
 def scored_laps(spark, sf_dir):
     kept = features.surviving_laps(base_laps(spark, sf_dir))
     longest = kept.groupBy(*K.SESSION).agg(F.max("LapNumber").alias("_laps"))
-    return kept.join(longest, K.SESSION).select(
-        *kept.columns, F.col("LapTimeResidual").alias("y"), (F.col("TyreLife") / 8 - F.col("brake_ratio")).alias("pred"),
+    scored = kept.join(longest, K.SESSION).select(
+        *KEYS, "Driver", F.col("LapTimeResidual").alias("y"), (F.col("TyreLife") / 8 - F.col("brake_ratio")).alias("pred"),
         (F.col("LapNumber") / F.col("_laps")).alias("LapNumber_pct"))
+    # Every report reads it several times.
+    return written_table(scored, "scored")
 
 
 _METRICS = """round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round(avg(abs(y - pred)), 6) AS mae,

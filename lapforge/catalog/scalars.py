@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapforge import constants as K
-from lapforge.catalog.registry import ERAS, KEY, WEIGHTS, laps_sql, messages_sql, quali_sql, register
+from lapforge.catalog.registry import ERAS, KEY, TRACKS, WEIGHTS, laps_sql, messages_sql, quali_sql, register
 from lapforge.functions import scalars as S
-from lapforge.operators import encoding
+from lapforge.operators import encoding, filters
 from lapforge.plans import training
 from lapforge.sources import testdata as data
 
 KEYS = [*K.LAP_GROUP, K.LAP_ORDER]
+TRACK_LIST = ", ".join(f"'{t}'" for t in TRACKS)
 COMPOUND_SQL = """CASE upper(Compound) WHEN 'SOFT' THEN 0.0 WHEN 'MEDIUM' THEN 1.0 WHEN 'HARD' THEN 2.0
     WHEN 'INTERMEDIATE' THEN 3.0 WHEN 'WET' THEN 4.0 ELSE -1.0 END"""
 
@@ -102,6 +103,14 @@ def scalar_one_hot(spark, sf_dir):
     return encoding.one_hot(data.laps(spark, sf_dir).select(*KEYS, "TyreLife", "Compound"), ["Compound"])
 
 
+@register("scalar_one_hot_per_track", laps_sql(f"""
+SELECT {KEY}, unnest(['Compound_' || coalesce(Compound, 'nan'), 'Team_' || Team]) AS feature FROM laps WHERE gp IN ({TRACK_LIST})"""))
+def scalar_one_hot_per_track(spark, sf_dir):
+    """The ones of each listed track's own matrix; what a track doesn't have gives it no column."""
+    laps = filters.in_tracks(data.laps(spark, sf_dir), TRACKS).select(*KEYS, "Compound", "Team")
+    return encoding.one_hot_long(laps, KEYS, ["Compound", "Team"])
+
+
 @register("scalar_is_raining", laps_sql(f"""
 SELECT {KEY}, CAST(coalesce(TRY_CAST(CASE WHEN LapNumber % 4 = 0 THEN 'dry' ELSE CAST(Rainfall AS VARCHAR) END AS DOUBLE), 0) > 0 AS INTEGER)
   AS is_raining FROM laps"""))

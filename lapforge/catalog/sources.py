@@ -59,9 +59,24 @@ def source_checkpoint_state(spark, sf_dir):
         F.collect_list(F.when(failed, F.col("key"))).alias("failed"))
     path = fresh_path(spark, "checkpoint-json")
     states.select("completed", "failed").write.mode("overwrite").json(path)
-    state = spark.read.schema(schemas.CHECKPOINT).json(path)
-    parts = [state.select(F.lit(s).alias("status"), F.explode(s).alias("key")) for s in ("completed", "failed")]
-    return parts[0].unionByName(parts[1])
+    return tables.read_checkpoint(spark, path, multi_line=False)
+
+
+_LISTED = ", ".join(f"'{c}'" for c in ["LapNumber", "Stint", "TyreLife", "Position", "Driver_te", "Team_te"])
+
+
+@register("source_feature_list", laps_sql(f"""
+SELECT CAST(i - 1 AS INTEGER) AS position, [{_LISTED}][i] AS feature, true AS in_text FROM range(1, 7) r(i) WHERE (SELECT count(*) FROM laps) > 0"""))
+def source_feature_list(spark, sf_dir):
+    """The model's features in order, written as JSON and as text and read back."""
+    laps = data.laps(spark, sf_dir)
+    numeric = [c for c in ("LapNumber", "Stint", "TyreLife", "Position", "absent") if c in laps.columns]
+    as_json, as_text = fresh_path(spark, "features-json"), fresh_path(spark, "features-text")
+    tables.write_feature_list(spark, as_json, numeric, ["Driver", "Team"])
+    listed = tables.read_feature_list(spark, as_json)
+    tables.write_feature_text(spark, as_text, [*numeric, "Driver_te", "Team_te"])
+    text = tables.read_feature_text(spark, as_text).withColumn("in_text", F.lit(True))
+    return listed.join(text, "feature", "left").select("position", "feature", F.coalesce("in_text", F.lit(False)).alias("in_text"))
 
 
 _SCHEDULE = """

@@ -63,12 +63,6 @@ def walk_forward(
     return df.withColumn(output, mark).where(F.col(output).isNotNull())
 
 
-def expanding_windows(df: DataFrame, years: Sequence[int]) -> list[tuple[int, DataFrame]]:
-    """Walk forward over several seasons: each year is tested on all years before it."""
-    years = sorted(years)
-    return [(y, walk_forward(df, years[:i], y)) for i, y in enumerate(years) if i]
-
-
 def random_split(
     df: DataFrame, key: Sequence[str], *, test_percent: int = 20, seed: int = K.SPLIT_SEED, output: str = "part"
 ) -> DataFrame:

@@ -13,19 +13,10 @@ LAPS = """
     quali_position int, grid_position int, gap_to_pole_ms double
 """
 
-LAPS_V1 = """
-    Driver string, DriverNumber int, Team string, LapNumber double, Stint double, Compound string, TyreLife double,
-    Position double, TrackStatus string, LapTime double, Sector1Time double, Sector2Time double, Sector3Time double,
-    year int, gp string, session_code string,
-    speed_mean double, speed_max double, speed_std double, throttle_mean double, throttle_std double,
-    brake_ratio double, rpm_mean double, gear_mean double, drs_ratio double
-"""
-
 CHECKPOINT = "completed array<string>, failed array<string>"
 OUTCOMES = "key string, status string, n_rows bigint, seq bigint"
 FEATURE_LIST = "numeric_features array<string>, categorical_features array<string>, all_features_in_order array<string>"
 RUNS = "run_id string, kind string, key string, value string"
-FOLDS = "fold int, test_gp string, rmse double, mae double, r2 double, train_rows bigint, test_rows bigint"
 LOCAL_RESULTS = "gp string, rmse_local_optuna double, mae_local_optuna double, r2_local_optuna double, rows bigint"
 IMPORTANCE = "feature string, importance double"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

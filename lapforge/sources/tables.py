@@ -50,9 +50,9 @@ def union_columns(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """A ``{completed: [...], failed: [...]}`` state file -> rows (status, key)."""
-    state = spark.read.schema(schemas.CHECKPOINT).option("multiLine", True).json(path)
+def read_checkpoint(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``{completed: [...], failed: [...]}``, one state to a file or to a line -> rows (status, key)."""
+    state = spark.read.schema(schemas.CHECKPOINT).option("multiLine", multi_line).json(path)
     rows = [state.select(F.lit(s).alias("status"), F.explode(s).alias("key")) for s in ("completed", "failed")]
     return rows[0].unionByName(rows[1])
 
@@ -77,6 +77,10 @@ def write_feature_text(spark: SparkSession, path: str, features: Sequence[str])
     spark.createDataFrame([(f,) for f in features], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def read_feature_text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).withColumnRenamed("value", "feature")
+
+
 def log_values(metrics: DataFrame, run_id: str, kind: str) -> DataFrame:
     """A row of named metrics or parameters -> long rows (run_id, kind, key, value)."""
     texts = [F.col(c).cast("string").alias(c) for c in metrics.columns]
