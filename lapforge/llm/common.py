@@ -71,7 +71,11 @@ def bounded_sample(df: DataFrame, by: list[str], most: int, total: int) -> DataF
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The UTF-8 bytes of a text column; null as empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    return _bytes_of(batch.column(column))
+
+
+def _bytes_of(texts: pa.Array) -> list[bytes]:
+    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -139,10 +143,10 @@ ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def with_text_columns(df: DataFrame, text: str, new: str, make, drop: tuple[str, ...] = ()) -> DataFrame:
+def with_text_columns(df: DataFrame, text: str | tuple[str, str], new: str, make, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with columns computed from whole texts inside the tasks.
 
-    ``make()`` is called once in a task and gives a function from a list of texts (UTF-8, null as empty) to one Arrow
+    ``text`` is a column, or a struct column and its field. ``make()`` is called once in a task and gives a function from a list of texts (UTF-8, null as empty) to one Arrow
     array for each column of the DDL string ``new``. Columns of the same name are replaced, those in ``drop`` left out.
     """
     from pyspark.sql.types import StructType
@@ -150,12 +154,14 @@ def with_text_columns(df: DataFrame, text: str, new: str, make, drop: tuple[str,
     added = StructType.fromDDL(new)
     kept = [c for c in df.columns if c not in added.fieldNames() and c not in drop]
     schema = StructType([df.schema[c] for c in kept] + list(added))
-    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("text"))
+    column, field = (text, None) if isinstance(text, str) else text
+    read = kept if column in kept else [*kept, column]
+    source, at = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(read)]), read.index(column)
 
     def run(batches):
         compute = make()
         for batch in batches:
-            texts = texts_of(batch, "text")
+            texts = _bytes_of(batch.column(at) if field is None else batch.column(at).field(field))
             for a, b in chunks(texts):
                 part = batch.slice(a, b - a)
                 columns = [part.column(i) for i in range(len(kept))] + compute(texts[a:b])

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.llm.common import payload, salted_join, side_table, table, unpacked
@@ -26,28 +26,47 @@ HOT = 10_000
 NEW = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", carry_text: bool = True, first: int = 64,
-                 growth: int = 512, widest: int = 1 << 20) -> DataFrame:
+def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", carry_text: bool = True, **digits: int) -> DataFrame:
     """Every row with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; without its text unless ``carry_text``.
 
+    ``digits``: see :func:`_grouped`.
+    """
+    columns = [c for c in df.columns if carry_text or c != text]
+    rows = df.select(payload(df, *([] if carry_text else [text])).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    found = _grouped(rows, text if carry_text else None, **digits)
+    return found.select(*unpacked("row", columns, *NEW), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows that stay, with the columns of ``df``."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    return _grouped(rows, text).where("kept").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "").cast("binary")
+
+
+def _grouped(df: DataFrame, field: str | None, first: int = 64, growth: int = 512, widest: int = 1 << 20) -> DataFrame:
+    """(row, keep_id, group_size, kept, sha) from (row, id, text); ``field`` is where ``row`` has the text too.
+
     ``first`` is the bytes of the first digit, each later digit is ``growth`` times as wide, up to ``widest``. The first
     level spreads the rows of every digit; later ones know the size of a group and spread those of over HOT rows.
     """
-    columns = [c for c in df.columns if carry_text or c != text]
-    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "").cast("binary")
+    bare = _bare(F.col("text"))
     rows = df.select(
-        payload(df, *([] if carry_text else [text])).alias("row"), F.col(key).alias("id"),
-        F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("chars"), bare.alias("rest"))
-    rows = rows.select("row", "id", "chars", F.sha2("rest", 256).alias("sha"), F.octet_length("rest").alias("length"), "rest")
-    digits = df.select(bare.alias("rest")).select(
-        F.octet_length("rest").alias("length"), F.substring("rest", 1, first).alias("digit"))
+        "row", "id", F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("chars"), "text", bare.alias("bare"))
+    rows = rows.select("row", "id", "chars", F.sha2("bare", 256).alias("sha"), F.octet_length("bare").alias("length"),
+                       F.substring("bare", 1, first).alias("digit"), *([] if field else ["text"]))
+    rest = _bare(F.col("row").getField(field) if field else F.col("text"))
+    digits = df.select(bare.alias("bare")).select(
+        F.octet_length("bare").alias("length"), F.substring("bare", 1, first).alias("digit"))
     # Level one: the length and the first bytes.
     shared = side_table(_labelled(digits.groupBy("length", "digit"), 0), "radix-keys")
-    rows = rows.withColumn("digit", F.substring("rest", 1, first))
     level = side_table(
         salted_join(rows, shared, ["length", "digit"], "left").select(
             "row", "id", "chars", "sha", "length", "label", "hot",
-            F.when(F.col("label").isNotNull(), F.expr(f"substring(rest, {first + 1})")).alias("rest"),
+            F.when(F.col("label").isNotNull(), F.substring(rest, first + 1, 1 << 30)).alias("rest"),
             F.monotonically_increasing_id().alias("seq")), "radix-level")
     alone, ended, used, width, number = [], [], first, first, 0
     while True:
@@ -72,15 +91,7 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", carry_t
         "row", F.col("stay.id").alias("keep_id"), "group_size", (F.col("stay.seq") == F.col("seq")).alias("kept"), "sha")
     single = _together(alone).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                      F.lit(True).alias("kept"), "sha")
-    return single.unionByName(grouped).select(
-        *unpacked("row", columns, *NEW), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
-
-
-def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows that stay, with the columns of ``df``."""
-    tagged = exact_groups(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.col(text).alias("text"),
-                                    F.col(key).alias("key")), "text", "key", carry_text=False)
-    return tagged.where("kept").select(*[F.col("all").getField(c).alias(c) for c in df.columns])
+    return single.unionByName(grouped)
 
 
 def _labelled(grouped, number: int) -> DataFrame:

@@ -213,8 +213,8 @@ def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     """The rows whose score is at least ``least``, with the columns of ``df``."""
     described = side_table(with_features(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text"), "quality-features")
     model = df.sparkSession.sparkContext.broadcast(fit_on(described, labels.withColumnRenamed(key, "key"), "key"))
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
-    scored = with_text_columns(whole, "text", "score double", lambda: lambda texts: [pa.array(model.value.scores(features(texts)))], ("text",))
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    scored = with_text_columns(whole, ("row", text), "score double", lambda: lambda texts: [pa.array(model.value.scores(features(texts)))])
     return scored.where(F.col("score") >= least).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 

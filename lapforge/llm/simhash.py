@@ -49,7 +49,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def with_fingerprints(df: DataFrame, text: str = "text", words: int = 4, keep_text: bool = True) -> DataFrame:
+def with_fingerprints(df: DataFrame, text: str | tuple[str, str] = "text", words: int = 4, keep_text: bool = True) -> DataFrame:
     """``df`` with the column ``fp``, the fingerprint as a signed long."""
     def compute(texts):
         return [pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))]
@@ -134,9 +134,8 @@ def near_components(df: DataFrame, text: str = "text", key: str = "doc_id", word
 
 def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, bits: int = 4) -> DataFrame:
     """The rows of ``df`` without those near another that stays; of a group the smallest id stays."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
-    tagged = side_table(
-        with_fingerprints(rows, "text", words, keep_text=False).withColumn("seq", F.monotonically_increasing_id()), "tagged")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("id"))
+    tagged = side_table(with_fingerprints(rows, ("row", text), words).withColumn("seq", F.monotonically_increasing_id()), "tagged")
     groups = fingerprint_groups(tagged.select("fp", "id", "seq"), F.min(F.struct(F.col("id").isNull(), "id", "seq")), bits)
     return salted_join(tagged, groups, ["fp"], "left").where(F.col("stay").isNull() | (F.col("stay.seq") == F.col("seq"))).select(
         *[F.col("row").getField(c).alias(c) for c in df.columns])
