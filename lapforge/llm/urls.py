@@ -31,6 +31,7 @@ ORDER = 5
 FOLD = 5
 BASE = 1 / 256
 UNIT = 1 << 24
+TASK_URLS = 4000
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 NEW = ("host", "path", "rule", "verdict", "score")
 
@@ -103,7 +104,9 @@ def judged(df: DataFrame, url: str = "url", rules=RULES, order: int = ORDER, wid
     named = named.select("*", rule.alias("rule"), verdict.alias("decided")).withColumn("no", F.monotonically_increasing_id())
     named = named.withColumn("apart", F.pmod(F.crc32(F.col("u").cast("binary")), F.lit(FOLD)) == 0)
     named = side_table(named, "urls")
-    places = named.select("no", "decided", "apart", F.explode(grams(F.col("u"), order)).alias("gram"))
+    # A url is small and its grams are many: tasks get a number of urls, not of bytes.
+    tasks = max(1, -(-named.count() // TASK_URLS))
+    places = named.repartition(tasks).select("no", "decided", "apart", F.explode(grams(F.col("u"), order)).alias("gram"))
     learned = [F.sum(((F.col("decided") == what) & ~F.col("apart")).cast("long")).alias(side) for what, side in (("allow", "accepted"), ("block", "rejected"))]
     counts = side_table(places.groupBy("gram").agg(*learned).na.fill(0), "url-grams")
     ratios = side_table(gram_ratios(counts, order), "url-ratios")
