@@ -23,6 +23,7 @@ HEADLINE = [
     "window_race_control_flags", "join_weather_nearest", "join_quali", "join_encoding_lookup", "join_recent_form",
     "agg_lap_telemetry", "agg_live_features", "agg_target_encoding", "agg_error_metrics", "agg_describe",
     "encode_leave_fold_out", "split_group_kfold", "report_model_comparison", "ingest_laps",
+    "window_lap_history_split", "filter_iqr_split", "stream_live_features", "model_linear_group_kfold",
 ]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lapforge.functions import scalars as S
 from lapforge.operators.segments import EXTRA, SEGMENT_ROWS, open_segments
 
+LAP_RUN = 1000
 WEATHER_VALUES = ["AirTemp", "TrackTemp", "Humidity", "Pressure", "Rainfall", "WindSpeed", "WindDirection"]
 
 
@@ -102,7 +103,9 @@ def lap_flags(
     if not carry_forward:
         return per_lap.drop("_after")
     upto = F.coalesce(F.lead(lap).over(Window.partitionBy(*keys).orderBy(lap)) - 1, F.col(lap))
-    spread = per_lap.withColumn("_upto", upto).withColumn("_lap", F.explode(F.sequence(F.col(lap), F.col("_upto"))))
+    # In two steps, so that even an absurd lap number makes no gigantic array.
+    runs = per_lap.withColumn("_upto", upto).withColumn("_from", F.explode(F.sequence(F.col(lap), F.col("_upto"), F.lit(LAP_RUN))))
+    spread = runs.withColumn("_lap", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + LAP_RUN - 1, F.col("_upto")))))
     same = F.col("_lap") == F.col(lap)
     return spread.select(
         *keys, F.col("_lap").cast(dict(messages.dtypes)[lap]).alias(lap),
