@@ -11,13 +11,14 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from lapforge import constants as K
+from lapforge.catalog.aggregates import scored_laps
 from lapforge.catalog.features import RACE_FEATURES_SQL, race_features
 from lapforge.catalog.filters import base_laps
 from lapforge.catalog.registry import KEY, TEST_YEAR, TRACKS, TRAIN_YEARS, WEIGHTS, kept_sql, laps_sql, register
 from lapforge.functions import scalars as S
 from lapforge.operators import aggregates, history, splits
 from lapforge.plans import features as feature_plan
-from lapforge.plans import training
+from lapforge.plans import reports, training
 from lapforge.session import fresh_path, written_table
 from lapforge.sources import testdata as data
 
@@ -189,6 +190,25 @@ def model_linear_best_fold(spark, sf_dir):
     return best.select("fold", "test_gp", F.round("rmse", 6).alias("rmse"), F.round(c[0], 6).alias("intercept"), F.round(c[1], 6).alias("slope"))
 
 
+_PHASES = " ".join(f"WHEN pct <= {high}::DOUBLE THEN '{label}'" for high, label in zip(K.PHASE_EDGES[1:], K.PHASE_LABELS))
+
+
+@register("report_model_diagnosis", kept_sql(f"""
+SELECT CASE grouping(gp, Driver, race_phase) WHEN 7 THEN 'all' WHEN 3 THEN 'gp' WHEN 5 THEN 'driver' ELSE 'phase' END AS part,
+  coalesce(gp, Driver, race_phase) AS name, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae,
+  round(stddev_samp(y), 6) AS spread, count(*) AS n
+FROM (SELECT r.*, intercept + slope * x AS p, CASE {_PHASES} END AS race_phase FROM rows_in r JOIN lines USING (fold)) r
+GROUP BY GROUPING SETS ((), (gp), (Driver), (race_phase))""", """
+rated AS (SELECT gp, Driver, CAST(LapNumber AS DOUBLE) AS x, LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS y,
+  LapNumber / max(LapNumber) OVER (PARTITION BY year, gp, session_code) AS pct FROM kept)""", _OWN, _LINES))
+def report_model_diagnosis(spark, sf_dir):
+    """Errors of fitted models: every lap is predicted by the line of the other tracks."""
+    folds = splits.leave_one_group_out(scored_laps(spark, sf_dir).drop("pred"))
+    _, models = training.evaluate_linear_folds(folds, ["LapNumber"], target="y")
+    scored = training.score_local_linear(folds, models, ["LapNumber"], group="fold", output="pred")
+    return reports.diagnosis(scored).withColumns({c: F.round(c, 6) for c in ("rmse", "mae", "spread")})
+
+
 @register("model_linear_walk_forward", kept_sql("""
 SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae,
   round(1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(y), 0), 6) AS r2, count(*) AS n

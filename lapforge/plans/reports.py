@@ -41,5 +41,18 @@ def diagnose(scored: DataFrame, *, truth: str = "y", prediction: str = "pred", e
     }
 
 
+def diagnosis(scored: DataFrame, *, truth: str = "y", prediction: str = "pred") -> DataFrame:
+    """Errors of all rows and by track, driver and race phase, from one pass: ``part, name, rmse, mae, spread, n``."""
+    parts = {"all": [], "gp": ["gp"], "driver": ["Driver"], "phase": ["race_phase"]}
+    columns = ["gp", "Driver", "race_phase"]
+    level = {p: sum(1 << (2 - i) for i, c in enumerate(columns) if c not in by) for p, by in parts.items()}
+    e = F.col(truth) - F.col(prediction)
+    grouped = scored.withColumn("race_phase", S.race_phase()).groupingSets([[F.col(c) for c in by] for by in parts.values()], *columns).agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.stddev_samp(truth).alias("spread"),
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_level"))
+    part = F.coalesce(*[F.when(F.col("_level") == v, p) for p, v in level.items()])
+    return grouped.select(part.alias("part"), F.coalesce(*columns).alias("name"), "rmse", "mae", "spread", "n")
+
+
 def feature_coverage(features: DataFrame) -> DataFrame:
     return aggregates.coverage(features, COVERAGE_COLUMNS)
