@@ -52,7 +52,8 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
 
     The rows of a key go to ``spread`` tasks; each of them gets a copy of the key's rows of ``right``. If both sides have a
     boolean column ``hot`` that depends on the key, only its keys are spread. Always a merge join: which side is small
-    enough for a broadcast must not decide whether ``left`` is shuffled.
+    enough for a broadcast must not decide whether ``left`` is shuffled. Should a share of a key still be large for a task,
+    Spark's adaptive execution splits it, as it can split the left side of such a join at any row.
     """
     salts, number = F.array(*[F.lit(i) for i in range(spread)]), F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int")
     if hot:

@@ -3,9 +3,11 @@
 A fingerprint bit is 1 if it is set in over half of the XXH64 hashes of a text's word shingles. Copies share a
 fingerprint, so the search runs over distinct fingerprints, counted with a combine in the map tasks. The tops of three
 vantage-point trees (one for each third of the bits, see ``vp_trees``) are grown on a bounded sample of fingerprints; then
-every fingerprint goes to its home shard and to the shards that it can have partners in. A task holds one shard at a time,
-goes on splitting it in the same way, compares exactly in the last leaves and returns for each fingerprint one link to the
-first of its group there. Components of these links are found by distributed star steps.
+every fingerprint goes to its home shard and to the shards that it can have partners in. A shard of more than PIECE
+fingerprints (a dense group of near copies that no cut divides) is dealt into blocks, and every pair of blocks is a piece of
+its own. A task holds one shard or piece at a time, goes on splitting it in the same way, compares exactly in the last
+leaves and returns for each fingerprint one link to the first of its group there. Components of these links are found by
+distributed star steps.
 
 Null text counts as empty; a text without words has the fingerprint zero, linked like any other. Null ids are passed over
 by "smallest id"; if all ids of a group are null, so is its component. Of repeated rows exactly one stays. Extra columns
@@ -28,6 +30,8 @@ from lapforge.llm.registry import register
 #: Fingerprints that the tops of the trees are grown on, and fingerprints to a shard.
 SAMPLE = 1 << 16
 SHARD = 1 << 13
+#: Fingerprints of a shard that a task compares at once.
+PIECE = 1 << 16
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -57,7 +61,8 @@ def with_fingerprints(df: DataFrame, text: str | tuple[str, str] = "text", words
     return with_text_columns(df, text, "fp long", lambda: compute, () if keep_text else (text,))
 
 
-def near_links(distinct: DataFrame, bits: int = 4, sample_rows: int = SAMPLE, shard_rows: int = SHARD) -> DataFrame:
+def near_links(distinct: DataFrame, bits: int = 4, sample_rows: int = SAMPLE, shard_rows: int = SHARD,
+               piece_rows: int = PIECE) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct ``fp`` within ``bits`` of each other."""
     spark = distinct.sparkSession
     radius = bits // len(vp_trees.PARTS)
@@ -77,20 +82,27 @@ def near_links(distinct: DataFrame, bits: int = 4, sample_rows: int = SAMPLE, sh
                     [pa.array((leaves + first).astype(np.int32)), pa.array(x[where].view(np.int64))], names=["shard", "fp"])
 
     def search(batches):
-        def links(shard, x):
-            tree = trees.value[int(np.searchsorted(firsts, shard, side="right")) - 1]
+        def links(piece, x):
+            tree = trees.value[int(np.searchsorted(firsts, piece >> 40, side="right")) - 1]
             x = np.unique(x.view(np.int64)).view(np.uint64)
             first = vp_trees.linked(x, tree.mask, tree.radius, bits)
             other = first != np.arange(len(x))
             return pa.RecordBatch.from_arrays(
                 [pa.array(x[other].view(np.int64)), pa.array(x[first[other]].view(np.int64))], names=["a", "b"])
 
-        for shard, x in _runs(batches):
-            yield links(shard, x.view(np.uint64))
-
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long")
-    parts = max(1, min(int(firsts[-1]), spark.sparkContext.defaultParallelism * 4))
-    return dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long")
+        for piece, x in _runs(batches):
+            yield links(int(piece), x.view(np.uint64))
+
+    dealt = side_table(distinct.select("fp").mapInArrow(deal, "shard int, fp long"), "near-shards")
+    # At most one row for each leaf of the trees.
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / piece_rows).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("long")
+    pieces = dealt.join(F.broadcast(sizes), "shard").select(
+        "shard", "fp", block.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"))
+    piece = F.shiftleft(F.col("shard").cast("long"), 40).bitwiseOR(F.shiftleft(F.least("i", "j"), 20)).bitwiseOR(F.greatest("i", "j"))
+    parts = max(1, spark.sparkContext.defaultParallelism * 4)
+    return pieces.select(piece.alias("piece"), "fp").repartition(parts, "piece").sortWithinPartitions("piece").mapInArrow(
+        search, "a long, b long")
 
 
 def _runs(batches):

@@ -15,6 +15,9 @@ both then lie below an internal node of that depth in the suffix tree of all tex
 
 Texts without open regions are finished when the flags reach them; the others are kept until the trees are done.
 
+Words are compared as they are in the trees. Regions are counted by 128 bits, the hashes of anchor and region, and rows are
+named by 96 bits of their text and columns.
+
 Null text has no words. Shorter texts than a window lose nothing. Windows repeated in the same text count, overlapping
 ones too, and so do repeated rows: both copies lose what they share. Extra columns are kept, those named like a new one
 replaced.

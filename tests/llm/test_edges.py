@@ -91,6 +91,25 @@ def test_vp_trees_find_every_component():
     assert linked and together == linked
 
 
+@pytest.mark.parametrize("shard_rows, piece_rows", [(1 << 13, 1 << 16), (50, 1 << 16), (1 << 13, 100)])
+def test_near_links_over_shards_and_pieces(spark, shard_rows, piece_rows):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    near = np.repeat(base[:3], 150)
+    for _ in range(5):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64))
+    x = np.unique(np.concatenate([base, near]))
+    links = simhash.near_links(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long"), 4, shard_rows=shard_rows, piece_rows=piece_rows)
+    got = {r.node: r.root for r in components.components(links).collect()}
+    wanted = list(range(len(x)))
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[i] ^ x) <= 4):
+            a, b = sorted((wanted[i], wanted[int(j)]))
+            wanted = [a if w == b else w for w in wanted]
+    root = lambda i: got.get(int(x[i].view(np.int64)), int(x[i].view(np.int64)))
+    assert len({(root(i), wanted[i]) for i in range(len(x))}) == len(set(wanted)) == len({root(i) for i in range(len(x))})
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 60)]
@@ -236,3 +255,16 @@ def test_licenses(spark, messy, nothing):
     docs = spark.createDataFrame([(1, mit.replace(". ", ".\n")), (2, mit.lower().replace("software", "program", 2)), (3, "all all")], "doc_id long, text string")
     rows = {(r.doc_id, r.line): (r.license, r.dice) for r in licenses.license_units(docs).collect()}
     assert rows[1, 0][0] == "mit" and rows[1, 0][1] == 1.0 and rows[2, 1][0] == "mit" and 0.8 <= rows[2, 1][1] < 1 and (3, 1) not in rows
+
+
+def test_pipeline_stages(spark, messy, nothing):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    assert corpus_pipeline.ORACLE_SQL is None
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES, start=1):
+        out, empty = stage(spark, messy, sf), stage(spark, nothing, sf)
+        assert empty.count() == 0 and out.count() <= len(ROWS), name
+        if number < len(corpus_pipeline.STAGES):
+            assert out.columns == messy.columns and dict(out.dtypes) == dict(messy.dtypes), name
+            assert {r.lang for r in out.select("lang").distinct().collect()} <= {"en"}, name
