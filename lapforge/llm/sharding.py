@@ -19,8 +19,11 @@ new ones are replaced.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from lapforge.llm.common import side_table, table
 from lapforge.llm.registry import register
@@ -81,7 +84,10 @@ def kd_shards(df: DataFrame, dimensions: list[Column], size: Column, group: Colu
 
 
 def _frame(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return like.sparkSession.createDataFrame(rows, schema)
+    """A short list of rows as a literal of the plan."""
+    kind = StructType.fromDDL(schema)
+    listed = json.dumps([dict(zip(kind.fieldNames(), row)) for row in rows])
+    return like.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), ArrayType(kind))))
 
 
 def _keyed(rows: DataFrame, cuts: DataFrame) -> DataFrame:
