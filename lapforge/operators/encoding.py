@@ -137,7 +137,7 @@ def leave_fold_out_encoding(
     rest = by_fold.join(F.broadcast(whole)).select(
         fold, F.try_divide(F.col("s_all") - F.col("s_f"), F.col("n_all") - F.col("n_f")).alias("_gm"))
     rest = written_table(rest, "other-folds")
-    table = written_table(cells.join(by_category, category).join(rest, fold).select(category, fold, value.alias(output)), "encodings")
+    table = cells.join(by_category, category).join(rest, fold).select(category, fold, value.alias(output))
     return (
         df.join(table, [category, fold], "left").join(rest, fold, "left")
         .withColumn(output, F.coalesce(F.col(output), F.col("_gm"))).select(*df.columns, output)

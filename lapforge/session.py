@@ -77,14 +77,14 @@ LIST_BYTES = 8 << 20
 
 
 def listed(df: DataFrame) -> DataFrame | None:
-    """A list of groups, computed once; None if it is empty. Starts a Spark job.
+    """A list of groups; None if it is empty. Starts Spark jobs: an empty list costs one, and is never written.
 
-    It is written to the shared folder, and marked for a broadcast if the written files are small; a longer list is joined
+    Otherwise it is written to the shared folder, and marked for a broadcast if the written files are small; a longer list is joined
     like any other table.
     """
-    kept = written_table(df, "groups")
-    if kept.isEmpty():
+    if df.isEmpty():
         return None
+    kept = written_table(df, "groups")
     return F.broadcast(kept) if written_bytes(kept) <= LIST_BYTES else kept
 
 
