@@ -1,17 +1,21 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Texts are lower-cased and cut into words of letters and digits (ASCII punctuation and space separate). A seed is a window
-of words under one of the fixed MASKS: positions with a 0 don't count, so a hash survives substituted words there. Hashes
-of benchmark items and of documents are joined, and every place where they meet is verified: along the alignment that the
-hit gives, some run of words must agree in at least ``similarity`` of its places over ``least`` words, or over the whole
-item if that is shorter.
+of words under a mask: positions with a 0 don't count, so a hash survives substituted words there. Hashes of benchmark
+items and of documents are joined, and every place where they meet is verified: along the alignment that the hit gives,
+some run of words must agree in at least ``similarity`` of its places over ``least`` words, or over the whole item if that
+is shorter.
+
+The masks leave no such run without a seed. A run of 26 words or more has a half of at least 13 that agrees as well, and
+runs of 14 to 25 words hold one of 13, 15, 20 or 25 with 2, 3, 4 or 5 replaced words; LONG and SHORT were chosen by
+enumerating all placements of these (the tests repeat that). Documents are hashed under the masks that the lengths of the
+benchmark's items ask for.
 
 A bit filter of a fixed size, FILTER_BITS, made from the hashes of the benchmark, is broadcast, and only document hashes
 that it lets pass are shuffled; the join decides. Should a benchmark outgrow the filter, more hashes are shuffled, and the
 result is the same. A hash that a large share of the documents has is spread by a salted join.
 
-Null text counts as empty. Items of fewer words than the widest mask are no evidence and are passed over, and null items
-too. Repeated rows are reported once each, repeated items too. Empty tables give an empty report.
+Null text counts as empty. Items of one word are no run of words and are passed over, and null items too. Repeated rows are reported once each, repeated items too. Empty tables give an empty report.
 """
 
 from __future__ import annotations
@@ -24,9 +28,15 @@ from pyspark.sql import functions as F
 from lapforge.llm.common import chunks, mixed, salted_join, side_table, span_hashes, table, texts_of, word_bounds
 from lapforge.llm.registry import register
 
-#: Fixed masks: 1 counts, 0 is ignored. Weight 6; together they find runs of words with every fifth one replaced.
-MASKS = ("1111011", "1110111", "1101111", "11011011")
-SPAN = max(map(len, MASKS))
+#: Masks for 13 words and 80 %: 1 counts, 0 is ignored. Weight 6; for items of 13 words or more, and of fewer by their length.
+LONG = ("11010111", "11100010011", "1001101011", "111111")
+SHORT = {
+    12: ("11101011", "101100111", "111111"),
+    11: ("1110111", "110100111", "1111101", "111111"),
+    10: ("1111011", "11001111", "110110011", "11110101", "10101111"),
+    9: ("1111011", "1101111"),
+    8: ("111111", "1111011", "1101111"),
+}
 FILTER_BITS = 1 << 26
 _SHIFTS = (0, 13, 26, 38)
 
@@ -43,11 +53,26 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(buf, starts, ends), np.searchsorted(starts, offsets)
 
 
-def seeds(words: np.ndarray, mask: int) -> np.ndarray:
-    """The hash of every window under MASKS[mask]."""
-    n = max(0, len(words) - len(MASKS[mask]) + 1)
-    total = np.full(n, mask + 1, np.uint64)
-    for i, c in enumerate(MASKS[mask]):
+def masks_for(length: int, least: int = 13, similarity: float = 0.8) -> tuple[str, ...]:
+    """Masks of which one at least hits any run of min(least, length) words or more that agrees in ``similarity``."""
+    if length >= 8 and (least, similarity) == (13, 0.8):
+        return SHORT.get(length, LONG)
+    runs = range(least, 2 * least) if length >= least else [length]
+    replaced = [int(n * (1 - similarity) + 1e-9) for n in runs]
+    if length < min(8, least) and replaced == [1]:
+        return tuple("1" * i + "0" + "1" * (length - i - 1) for i in range(length))
+    # Between m replaced words the longest of m + 1 gaps can't be shorter.
+    width = min(-(-(n - m) // (m + 1)) for n, m in zip(runs, replaced))
+    if width < 1:
+        raise ValueError(f"a similarity of {similarity} asks for no equal words")
+    return ("1" * width,)
+
+
+def seeds(words: np.ndarray, mask: str) -> np.ndarray:
+    """The hash of every window under the mask."""
+    n = max(0, len(words) - len(mask) + 1)
+    total = np.full(n, int("1" + mask, 2), np.uint64)
+    for i, c in enumerate(mask):
         if c == "1":
             total = mixed(total) + words[i:i + n]
     return mixed(total)
@@ -103,19 +128,23 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: s
 
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     item_type = items.schema["item"].dataType.simpleString()
-    items = side_table(items.mapInArrow(cut, f"item {item_type}, words array<bigint>").where(F.size("words") >= SPAN)
+    items = side_table(items.mapInArrow(cut, f"item {item_type}, words array<bigint>").where(F.size("words") > 1)
                        .withColumn("no", F.monotonically_increasing_id()), "benchmark-words")
+    # At most ``least`` lengths.
+    lengths = [r.n for r in items.select(F.least(F.size("words"), F.lit(least)).alias("n")).distinct().collect()]
+    masks = sorted({m for n in lengths for m in masks_for(n, least, similarity)})
 
     def item_seeds(batches):
         for batch in batches:
             for no, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 values = words.values.to_numpy().view(np.uint64)
-                for m in range(len(MASKS)):
+                for m in masks_for(min(least, len(values)), least, similarity):
                     h = seeds(values, m)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(np.full(len(h), no)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "no", "at"])
+                        [pa.array(h.view(np.int64)), pa.array(np.full(len(h), no)), pa.array(np.arange(len(h), dtype=np.int32)),
+                         pa.array(np.full(len(h), len(values), np.int32))], names=["h", "no", "at", "n"])
 
-    planted = side_table(items.select("no", "words").mapInArrow(item_seeds, "h long, no long, at int"), "benchmark-seeds")
+    planted = side_table(items.select("no", "words").mapInArrow(item_seeds, "h long, no long, at int, n int"), "benchmark-seeds")
     # The filter: at most FILTER_BITS / 64 rows come to the driver, whatever the size of the benchmark.
     bit = F.explode(F.array(*[F.expr(f"shiftrightunsigned(h, {s}) & {FILTER_BITS - 1}L") for s in _SHIFTS]))
     packed = planted.select(bit.alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(
@@ -133,12 +162,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: s
                 words, first = hashed_words(texts[i:j])
                 text_of = np.repeat(np.arange(j - i), np.diff([*first.tolist(), len(words)]))
                 hits = []
-                for m, mask in enumerate(MASKS):
-                    h = seeds(words, m)
+                for mask in masks:
+                    h = seeds(words, mask)
                     at = _passing(h, shared.value)
                     at = at[text_of[at] == text_of[at + len(mask) - 1]]
                     hits.append((text_of[at], at - first[text_of[at]], h[at]))
-                text_no, at, h = (np.concatenate(x) for x in zip(*hits))
+                text_no, at, h = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
                 order = np.argsort(text_no, kind="stable")
                 text_no, at, h = text_no[order], at[order], h[order]
                 found, where = np.unique(text_no, return_index=True)
@@ -152,8 +181,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: s
 
     suspect = side_table(rows.mapInArrow(suspects, f"id {id_type}, k long, l long, words array<long>, hs array<long>, ats array<int>"), "suspects")
     hits = suspect.select("k", "l", F.explode(F.arrays_zip("hs", "ats")).alias("hit")).select("k", "l", F.col("hit.hs").alias("h"), F.col("hit.ats").alias("place"))
-    aligned = salted_join(hits, planted, ["h"]).select("k", "l", "no", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    pairs = aligned.join(suspect.select("k", "l", "id", "words"), ["k", "l"])
+    aligned = salted_join(hits, planted, ["h"]).select("k", "l", "no", "n", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    # Only the words beside the item go on.
+    first = F.greatest("shift", F.lit(0))
+    pairs = aligned.join(suspect.select("k", "l", "id", "words"), ["k", "l"]).select(
+        "k", "l", "id", "no", "shift", F.slice("words", first + 1, F.col("n") + F.col("shift") - first).alias("words"))
     pairs = salted_join(pairs, items.select("no", "item", F.col("words").alias("theirs")), ["no"]).select("id", "k", "l", "item", "shift", "words", "theirs")
 
     def verify(batches):
@@ -162,8 +194,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: s
             ours, theirs, shifts = batch.column(5), batch.column(6), batch.column(4).to_numpy()
             for i in range(batch.num_rows):
                 x, y, shift = ours[i].values.to_numpy(), theirs[i].values.to_numpy(), int(shifts[i])
-                a, b = max(0, shift), min(len(x), shift + len(y))
-                run = best_run(x[a:b] == y[a - shift:b - shift], min(least, len(y)), similarity) if b > a else None
+                a = max(0, shift)
+                run = best_run(x == y[a - shift:a - shift + len(x)], min(least, len(y)), similarity)
                 if run:
                     keep.append(i)
                     found.append((a + run[0], run[1], run[2]))
