@@ -67,13 +67,34 @@ _LIVE_MEANS = {"speed_mean": "Speed", "throttle_mean": "Throttle", "rpm_mean": "
 _LIVE_SPREADS = {"speed_std": "Speed", "throttle_std": "Throttle"}
 
 
-def live_parts(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What the live aggregates of a part of the samples add up from; ``_change`` holds the change since the sample before."""
-    sums = [f for name, c in _LIVE_MEANS.items() for f in (F.sum(c).alias(f"s_{name}"), F.count(c).alias(f"n_{name}"))]
+def _live_part_columns(means: Mapping[str, str]) -> list[Column]:
+    sums = [f for name, c in means.items() for f in (F.sum(c).alias(f"s_{name}"), F.count(c).alias(f"n_{name}"))]
     spreads = [f for name, c in _LIVE_SPREADS.items() for f in (
         F.count(c).alias(f"n_{name}"), F.avg(c).alias(f"m_{name}"), (F.var_pop(c) * F.count(c)).alias(f"q_{name}"))]
     shares = [F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in (("c_brake", F.col("Brake") > 0), ("c_drs", F.col("DRS") > 0))]
-    return samples.groupBy(*keys).agg(*sums, *spreads, *shares, F.max("Speed").alias("speed_max"), F.count(F.lit(1)).alias("n_all"))
+    return [*sums, *spreads, *shares, F.max("Speed").alias("speed_max"), F.count(F.lit(1)).alias("n_all")]
+
+
+def live_pane_parts(order: Sequence[str]) -> list[Column]:
+    """What the live aggregates of a short stretch of one key add up from, and its first and last lap time in ``order``."""
+    laps = F.transform(F.sort_array(F.collect_list(F.struct(*order, "LapTime"))), lambda x: x["LapTime"])
+    pairs = F.zip_with(F.slice(laps, 1, F.size(laps) - 1), F.slice(laps, 2, F.size(laps) - 1), lambda a, b: b - a)
+    changes = F.filter(pairs, lambda c: c.isNotNull())
+    means = {n: c for n, c in _LIVE_MEANS.items() if n != "lap_time_delta"}
+    return [
+        *_live_part_columns(means), F.aggregate(changes, F.lit(0.0), lambda a, c: a + c).alias("s_lap_time_delta"),
+        F.size(changes).cast("bigint").alias("n_lap_time_delta"), F.element_at(laps, 1).alias("first_lap"), F.element_at(laps, -1).alias("last_lap"),
+    ]
+
+
+def join_live_panes(panes: DataFrame, keys: Sequence[str], pane: str, *, rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The live aggregates of all panes of a key, with the change from each pane to the next."""
+    s = open_segments(panes.withColumn("_at", F.unix_micros(pane)), keys, ["_at"], depth=1, rows=rows)
+    between = F.col("first_lap") - F.lag("last_lap", 1).over(s.ordered())
+    joined = s.close(s.frame.withColumn("_between", between))
+    return merge_live_parts(joined.withColumns({
+        "s_lap_time_delta": F.col("s_lap_time_delta") + F.coalesce(F.col("_between"), F.lit(0.0)),
+        "n_lap_time_delta": F.col("n_lap_time_delta") + F.col("_between").isNotNull().cast("bigint")}), keys)
 
 
 def merge_live_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,7 +13,12 @@ _LOCAL_SHARED: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", app: str = "lapforge", **conf: str) -> SparkSession:
-    """A session for tests and the bench. On a cluster the session comes from spark-submit."""
+    """A session for tests and the bench. On a cluster the session comes from spark-submit.
+
+    Python workers import this package from the path it was loaded from, wherever the driver was started.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", "8")

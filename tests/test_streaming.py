@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.operators import aggregates, history
-from lapforge.plans import training
+from lapforge.operators.splits import latest_per_key
+from lapforge.plans import stages, training
 from lapforge.sources import testdata
 from lapforge.streaming import history as stream_history
-from lapforge.streaming import ingest, live
+from lapforge.streaming import ingest, keyed, live
 from helpers import season, sorted_rows
 
 SF = "/root/testdata/sf0.001"
@@ -19,17 +20,105 @@ def split_files(df, path, column, cuts):
         df.where((F.col(column) >= low) & (F.col(column) < high)).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
-    events = testdata.table(spark, SF, "events")
-    day = F.dayofmonth("ts")
-    split_files(events.withColumn("day", day), str(tmp_path / "in"), "day", [0, 5, 12, 40])
-    stream = testdata.as_samples(live.event_stream(spark, str(tmp_path / "in"), maxFilesPerTrigger=1))
-    out = live.live_in_batches(stream, ["session", "driver"], str(tmp_path / "out"), str(tmp_path / "state"), rows=5)
-    batch = aggregates.live_features(testdata.telemetry_samples(spark, SF), ["session", "driver"], order=["ts", "event_id"])
-    a, b = (sorted_rows(d, "session", "driver") for d in (out, batch))
+KEYS = ["session", "driver"]
+ORDER = ["ts", "event_id"]
+
+
+def drained(spark, tmp_path, events, slots, *, delay="1000 days", pane="1 day", keys=KEYS):
+    """Drain the slots of a feed one after the other, each in a query of its own; the progress of all batches."""
+    progress = []
+    for slot in slots:
+        events.where(slot).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = testdata.as_samples(live.event_stream(spark, str(tmp_path / "in")))
+        query = live.drain_panes(stream, keys, str(tmp_path / "out"), str(tmp_path / "state"), delay=delay, pane=pane)
+        progress += query.recentProgress
+    return progress
+
+
+def check_live(got, expected, keys):
+    a, b = (sorted_rows(d, *keys) for d in (got, expected))
     assert len(a) == len(b) > 0 and set(a.columns) == set(b.columns) and a["lap_time_delta"].notna().any()
     for c in b.columns:
-        np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), atol=1e-9)
+        kind = float if a[c].dtype.kind != "M" else "int64"
+        np.testing.assert_allclose(a[c].astype(kind), b[c].astype(kind), atol=1e-9)
+
+
+@pytest.mark.parametrize("slots", [
+    ["dayofmonth(ts) < 5", "dayofmonth(ts) BETWEEN 5 AND 11", "dayofmonth(ts) > 11"],
+    ["event_id % 2 = 1", "event_id % 2 = 0"],  # late samples part neighbours of the first batch
+    [f"pmod(xxhash64(event_id), 3) = {i}" for i in (2, 0, 1)],
+])
+def test_stream_equals_batch_whatever_the_order(spark, tmp_path, slots):
+    drained(spark, tmp_path, testdata.table(spark, SF, "events"), slots)
+    out = live.features_of_panes(spark, str(tmp_path / "out"), KEYS, rows=5)
+    check_live(out, aggregates.live_features(testdata.telemetry_samples(spark, SF), KEYS, order=ORDER), KEYS)
+
+
+def test_late_sample_changes_its_neighbours(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:{i:02d}:00", 1, "view", float(16 * i * i % 77), f'{{"k": {5 * i}}}') for i in range(20)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    drained(spark, tmp_path, events, ["event_id % 2 = 1", "event_id % 2 = 0"], pane="5 minutes")
+    out = live.features_of_panes(spark, str(tmp_path / "out"), KEYS).first()
+    times = [80 + (16 * i * i % 77) // 1 / 16 for i in range(20)]
+    assert out.lap_time_delta == pytest.approx(np.diff(times).mean())
+
+
+def test_too_late_samples_are_dropped_and_state_stays_small(spark, tmp_path):
+    events = testdata.table(spark, SF, "events").where(F.dayofmonth("ts") <= 11)
+    day = F.dayofmonth("ts")
+    times = sorted(r.d for r in events.select(day.alias("d")).distinct().collect())
+    late = F.col("event_id") % 7 == 3
+    slots = [((day == d) & ~late) | ((day == d - 1) & late & (F.hour("ts") >= 12)) | ((day == d - 4) & late & (F.hour("ts") < 12)) for d in times]
+    progress = drained(spark, tmp_path, events, slots, delay="1 day", pane="1 hour", keys=["session"])
+    # a day's late samples of the afternoon come a day late and count, those of the morning come four days late
+    expected = events.where(~late | ((F.hour("ts") >= 12) & (day < max(times))))
+    got = live.features_of_panes(spark, str(tmp_path / "out"), ["session"])
+    check_live(got, aggregates.live_features(testdata.as_samples(expected.withColumn("ts", F.col("ts").cast("timestamp"))), ["session"], order=ORDER), ["session"])
+    held = [p.stateOperators[0].numRowsTotal for p in progress]
+    panes = spark.read.parquet(str(tmp_path / "out")).select("_pane", "session").distinct().count()
+    assert sum(p.stateOperators[0].numRowsDroppedByWatermark for p in progress) > 0
+    assert len(times) > 10 and max(held) <= 3 * 24 * 10 and max(held) < panes / 2
+
+
+def test_repeated_batch_and_restart_change_nothing(spark, tmp_path):
+    events = testdata.table(spark, SF, "events")
+    drained(spark, tmp_path, events, ["event_id % 2 = 1", "event_id % 2 = 0", "false"])
+    out = live.features_of_panes(spark, str(tmp_path / "out"), KEYS)
+    check_live(out, aggregates.live_features(testdata.telemetry_samples(spark, SF), KEYS, order=ORDER), KEYS)
+
+
+@pytest.mark.parametrize("width", [8, 20])
+def test_keyed_history_orders_late_laps(spark, tmp_path, width):
+    raw = season(4, ("A", "B"), (2024,), 40)
+    raw.loc[raw.index % 11 == 3, "LapTime"] = np.nan
+    df = spark.createDataFrame(raw).withColumn("LapTime", F.when(~F.isnan("LapTime"), F.col("LapTime")))
+    df = df.select(*K.LAP_GROUP, "LapNumber", "LapTime").withColumn("finished", F.timestamp_seconds(F.col("LapNumber") * 60))
+    slot = F.expr(f"(LapNumber - 1) div {width}") + F.pmod(F.xxhash64("DriverNumber", "gp", "LapNumber"), F.lit(2))
+    slots, held, dropped = 40 // width + 1, [], 0
+    end = df.limit(1).withColumns({"DriverNumber": F.lit(-1).cast("bigint"), "finished": F.lit("2100-01-01").cast("timestamp")})
+    for i in range(slots):
+        part = df.where(slot == i)
+        (part.unionByName(end) if i == slots - 1 else part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        query = keyed.drain_history(stream, K.LAP_GROUP, str(tmp_path / "out"), str(tmp_path / "state"), time="finished",
+                                    delay=f"{width} minutes", forget_ms=1 << 50)
+        operators = [p.stateOperators[0] for p in query.recentProgress]
+        dropped += sum(o.numRowsDroppedByWatermark for o in operators)
+        pending = spark.read.format("statestore").options(path=str(tmp_path / "state"), stateVarName="pending").load()
+        held.append(pending.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+    check_history(spark.read.parquet(str(tmp_path / "out")).where("DriverNumber >= 0"), df)
+    # a lap is at most one slot late, so two slots of laps wait, however long the race
+    assert dropped == 0 and max(held) <= 2 * width
+
+
+def test_history_columns_of_values():
+    values = np.array([1.0, np.nan, 4.0, 2.0, 8.0, np.nan, 5.0])
+    got = keyed.history_columns(values, 2)
+    np.testing.assert_allclose(got["lap_time_prev"], [np.nan, 4, 2, 8, np.nan])
+    np.testing.assert_allclose(got["lap_time_mean_3_prev"], [1, 2.5, 3, 14 / 3, 5])
+    np.testing.assert_allclose(got["lap_time_delta_prev"], [np.nan, np.nan, -2, 6, np.nan])
+    np.testing.assert_allclose(got["lap_time_std_5_prev"][1:4], [np.std([1, 4], ddof=1), np.std([1, 4, 2], ddof=1), np.std([1, 4, 2, 8], ddof=1)])
 
 
 def lap_files(spark, tmp_path):
@@ -65,15 +154,23 @@ def test_batchwise_history_with_stored_laps(spark, tmp_path):
     check_history(out, df)
 
 
-def test_live_scores_with_a_fitted_model(spark, tmp_path):
-    features = aggregates.live_features(testdata.telemetry_samples(spark, SF), ["session", "driver"], order=["ts", "event_id"])
-    names = ["speed_mean", "throttle_mean", "brake_mean", "rpm_mean"]
-    ready = training.doubles(features.withColumn("y", F.col("lap_time_mean_3")), [*names, "y"], fill_zero=True)
-    model = training.regression(names, training.booster({"n_estimators": 2, "max_depth": 2}, label="y"), fill_zero=True).fit(ready)
-    stream = testdata.as_samples(live.event_stream(spark, SF, pathGlobFilter="events*.parquet"))
-    out = live.live_in_batches(stream, ["session", "driver"], str(tmp_path / "out"), str(tmp_path / "state"))
-    scored = model.transform(training.doubles(out, names, fill_zero=True)).select("session", "driver", "prediction")
-    assert scored.count() == features.count() and scored.where("prediction is null").count() == 0
+@pytest.mark.parametrize("estimator", ["linear", "booster"])
+def test_live_scores_with_a_saved_pipeline(spark, tmp_path, estimator):
+    features = aggregates.live_features(testdata.telemetry_samples(spark, SF), KEYS, order=ORDER).where("lap_time_mean_3 IS NOT NULL")
+    model = None if estimator == "linear" else training.booster({"n_estimators": 2, "max_depth": 2}, label="lap_time_mean_3")
+    pipeline = stages.encoded_regression(["speed_mean", "rpm_mean"], ["session"], target="lap_time_mean_3", estimator=model)
+    fitted = pipeline.fit(features)
+    fitted.write().overwrite().save(str(tmp_path / "model"))
+    loaded = stages.load_pipeline(spark, str(tmp_path / "model"))
+    for part in ("event_id % 3 = 0", "event_id % 3 > 0"):
+        testdata.table(spark, SF, "events").where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = testdata.as_samples(live.event_stream(spark, str(tmp_path / "in")))
+        live.drain_scores(stream, KEYS, loaded, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted_rows(latest_per_key(spark.read.parquet(str(tmp_path / "out")), KEYS, ["_batch"]).select(*KEYS, "prediction"), *KEYS)
+    everything = aggregates.live_features(testdata.telemetry_samples(spark, SF), KEYS, order=ORDER)
+    expected = sorted_rows(fitted.transform(everything).select(*KEYS, "prediction"), *KEYS)
+    assert len(got) == len(expected) > 0
+    np.testing.assert_allclose(got["prediction"], expected["prediction"], atol=1e-9)
 
 
 def test_ingest_resumes_where_it_stopped(spark, tmp_path):
