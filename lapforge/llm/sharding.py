@@ -6,10 +6,11 @@ then its group, then its id) is read as digits of 16 bits, and one aggregate for
 cut lies, for all nodes of a level at once. The histograms stay in Spark; per node one row comes to the driver and goes
 back as a broadcast, so both are bounded by the number of shards, which is at most MAX_SHARDS.
 
-Groups (equal texts) stay together: a cut never goes through a group unless the group alone is larger than a shard. A
-group that is in the way of an even cut is put on one side as a whole, and the cut is found again among the others. The
-dimensions must be equal for equal texts, as those of ``documents_by_bytes`` are: bytes, share of multi-byte characters,
-and lines per byte.
+Groups (equal texts) stay together: a cut never goes through a group unless the group alone is larger than a shard. Groups
+heavy enough to spoil an even cut are found first, and each node deals its own to its two sides, groups of like weight in
+the order of the cut dimension, so that both sides lack in proportion; the cut, found among the light rows, fills up what
+the left lacks. There are at most ``shards / tolerance`` heavy groups, and only their weights come to the driver. The dimensions must be equal for equal
+texts, as those of ``documents_by_bytes`` are: bytes, share of multi-byte characters, and lines per byte.
 
 Null text has no bytes and a size of 1. Null and not-a-number dimensions count as the smallest value; one that doesn't
 vary is never cut. Ties are decided by group and id, so repeated rows go together like a group, or are split by a
@@ -28,11 +29,10 @@ from pyspark.sql.types import ArrayType, StructType
 from lapforge.llm.common import side_table, table
 from lapforge.llm.registry import register
 
-MAX_SHARDS = 1 << 16
+MAX_SHARDS = 1 << 20
 DIGITS = 6  # two of the dimension, two of the group, two of the row
 GROUP_DIGITS = 4
-#: Groups that a node moves out of the way of its cut; the next one decides the cut by its nearer side.
-MOVED_GROUPS = 3
+EVERYTHING = [1 << 16]  # above all digits
 NODE = "node long, dim int, upto array<int>, whole boolean, left array<long>, right array<long>"
 
 
@@ -41,8 +41,8 @@ def kd_shards(df: DataFrame, dimensions: list[Column], size: Column, group: Colu
     """``df`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in every shard).
 
     ``size`` is a row's weight, ``group`` a whole number below 2^32 that groups rows. Either the number of ``shards`` is
-    given or ``target_bytes``, from which it follows. A group heavier than ``tolerance`` of a shard's share counts as in
-    the way of an even cut.
+    given or ``target_bytes``, from which it follows. A group heavier than ``tolerance`` of a shard's share is dealt as a
+    whole before the cut; lighter ones go to the nearer side of it.
     """
     kept = [c for c in df.columns if c not in ("shard", "slot")]
     raw = side_table(df.select(
@@ -63,18 +63,21 @@ def kd_shards(df: DataFrame, dimensions: list[Column], size: Column, group: Colu
         ordinals.append(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at)) * top).cast("long"))
     rows = raw.select("row", "w", "g", "t", F.array(*ordinals).alias("o"), F.lit(1).cast("long").alias("node"))
     share = (whole["w"] or 0) / shards
+    weights = rows.groupBy("o", "g").agg(F.sum("w").alias("w")).where((F.col("w") > tolerance * share) & (F.col("w") <= share))
+    heavy = {1: [(tuple(r["o"]), r["g"], r["w"]) for r in weights.collect()]}
     open_nodes, leaves = {1: (0, shards)}, {}
     while open_nodes:
         leaves |= {node: first for node, (first, k) in open_nodes.items() if k == 1}
         open_nodes = {node: x for node, x in open_nodes.items() if x[1] > 1}
         if open_nodes:
-            cuts = _cuts(rows, open_nodes, len(dimensions), share, tolerance)
+            cuts = _cuts(rows, open_nodes, len(dimensions), share, heavy)
+            heavy = _descended(heavy, cuts)
             rows = side_table(_beside(rows, cuts), "kd-level")
             open_nodes = {child: x for node, (first, k) in open_nodes.items()
                           for child, x in ((2 * node, (first, k // 2)), (2 * node + 1, (first + k // 2, k - k // 2)))}
     number = _frame(rows, [(node, first) for node, first in leaves.items()], "node long, shard int")
     chunks = max(16, (whole["n"] or 0) // (shards * 50_000))
-    placed = rows.join(F.broadcast(number), "node").select("row", "w", "g", "t", "shard", F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk"))
+    placed = rows.join(F.broadcast(number), "node").select("row", "w", "g", "t", "shard", F.pmod(F.xxhash64("t"), F.lit(chunks)).alias("chunk"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     counts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -110,7 +113,51 @@ def _beside(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
     return moved.unionByName(stay.select(moved.columns))
 
 
-def _cuts(rows: DataFrame, nodes: dict, dimensions: int, share: float, tolerance: float) -> list[tuple]:
+def _atom(o: tuple, g: int, dim: int) -> int:
+    """A group's name in a dimension, as the long that ``_keyed`` gives its rows."""
+    atom = o[dim] << 32 | g
+    return atom - (1 << 64) if atom >= 1 << 63 else atom
+
+
+def _descended(heavy: dict, cuts: list[tuple]) -> dict:
+    """The heavy groups of every child."""
+    out = {}
+    for node, dim, _, _, left, _ in cuts:
+        aside = set(left)
+        for o, g, w in heavy.get(node, ()):
+            out.setdefault(2 * node + (_atom(o, g, dim) not in aside), []).append((o, g, w))
+    return out
+
+
+def _dealt(groups: list[tuple], dim: int, goal: float, light: float) -> tuple[list[int], list[int], float]:
+    """Heavy groups for the left and for the right, and the weight of light rows that the left then lacks.
+
+    Groups of like weight (within a factor of two) are dealt together, the heaviest first, so that the children can be cut
+    evenly too: the first of them in the order of the dimension go left, as many as leave both sides lacking in proportion.
+    """
+    weights: dict[tuple, int] = {}
+    for o, g, w in groups:
+        key = (o[dim], g, _atom(o, g, dim))
+        weights[key] = weights.get(key, 0) + w
+    classes: dict[int, list] = {}
+    for key, w in weights.items():
+        classes.setdefault(w.bit_length(), []).append(key)
+    rest = light + sum(weights.values())
+    part, lacking, left = goal / rest if rest else 0, goal, []
+    for _, members in sorted(classes.items(), reverse=True):
+        members.sort()
+        rest -= sum(weights[k] for k in members)
+        sums = [0]
+        for key in members:
+            sums.append(sums[-1] + weights[key])
+        count = min(range(len(sums)), key=lambda i: abs(lacking - sums[i] - part * rest))
+        left += members[:count]
+        lacking -= sums[count]
+    aside = set(left)
+    return [k[2] for k in left], [k[2] for k in weights if k not in aside], lacking
+
+
+def _cuts(rows: DataFrame, nodes: dict, dimensions: int, share: float, heavy: dict) -> list[tuple]:
     """For each node (node, dimension, key, whether the key itself goes left, groups that go left, that go right)."""
     widths = [(F.max(F.col("o")[i]) - F.min(F.col("o")[i])).alias(f"d{i}") for i in range(dimensions)]
     listed = _frame(rows, [(n,) for n in nodes], "node long")
@@ -120,8 +167,14 @@ def _cuts(rows: DataFrame, nodes: dict, dimensions: int, share: float, tolerance
         if node not in found:
             done.append((node, 0, [0], False, [], []))
             continue
-        r = found[node]
-        todo[node] = {"dim": max(range(dimensions), key=lambda i: (r[f"d{i}"], -i)), "goal": r["w"] * (k // 2) / k, "left": [], "right": [], "upto": []}
+        r, groups = found[node], heavy.get(node, [])
+        dim = max(range(dimensions), key=lambda i: (r[f"d{i}"], -i))
+        light = r["w"] - sum(w for _, _, w in groups)
+        left, right, lacking = _dealt(groups, dim, r["w"] * (k // 2) / k, light)
+        if 0 < lacking < light:
+            todo[node] = {"dim": dim, "goal": lacking, "left": left, "right": right, "upto": []}
+        else:
+            done.append((node, dim, [0] if lacking <= 0 else EVERYTHING, False, left, right))
     while todo:
         params = _frame(rows, [(n, x["dim"], x["upto"], True, x["left"], x["right"]) for n, x in todo.items()], NODE)
         goals = _frame(rows, [(n, float(x["goal"])) for n, x in todo.items()], "node long, goal double")
@@ -133,29 +186,14 @@ def _cuts(rows: DataFrame, nodes: dict, dimensions: int, share: float, tolerance
         total = F.sum("w").over(Window.partitionBy("node"))
         bins = bins.withColumn("upto", upto).withColumn("total", total).join(F.broadcast(goals), "node")
         first = bins.where("upto >= least(goal, total)").groupBy("node").agg(F.min(F.struct("digit", "upto", "w")).alias("b"))
-        picked = {r["node"]: r["b"] for r in first.collect()}
-        for node, x in list(todo.items()):
-            b = picked.get(node)
-            if b is None:  # all that is left went to one side as whole groups
-                done.append((node, x["dim"], [0], False, x["left"], x["right"]))
-                del todo[node]
-                continue
+        for r in first.collect():
+            node, b = r["node"], r["b"]
+            x = todo[node]
             x["goal"] -= b["upto"] - b["w"]
             x["upto"] = [*x["upto"], b["digit"]]
-            left = x["goal"] >= b["w"] / 2
-            moved = len(x["left"]) + len(x["right"])
-            if len(x["upto"]) == GROUP_DIGITS and tolerance * share < b["w"] <= share and moved < MOVED_GROUPS:
-                # A group in the way: it goes to one side, and the cut is sought again among the others.
-                d = x["upto"]
-                atom = (d[0] << 48 | d[1] << 32 | d[2] << 16 | d[3])
-                x["left" if left else "right"].append(atom - (1 << 64) if atom >= 1 << 63 else atom)
-                x["goal"] += x.get("passed", 0) + b["upto"] - b["w"] - (b["w"] if left else 0)
-                x["upto"], x["passed"] = [], 0
-            elif len(x["upto"]) == DIGITS or (len(x["upto"]) == GROUP_DIGITS and b["w"] <= share):
-                done.append((node, x["dim"], x["upto"], left, x["left"], x["right"]))
+            if len(x["upto"]) == DIGITS or (len(x["upto"]) == GROUP_DIGITS and b["w"] <= share):
+                done.append((node, x["dim"], x["upto"], x["goal"] >= b["w"] / 2, x["left"], x["right"]))
                 del todo[node]
-            else:
-                x["passed"] = x.get("passed", 0) + b["upto"] - b["w"]
     return done
 
 
