@@ -15,8 +15,9 @@ both then lie below an internal node of that depth in the suffix tree of all tex
 
 Texts without open regions are finished when the flags reach them; the others are kept until the trees are done.
 
-Words are compared as they are in the trees. Regions are counted by 128 bits, the hashes of anchor and region, and rows are
-named by 96 bits of their text and columns.
+Words are compared as they are in the trees. Regions are counted by the hash of their anchor and 64 bits of a BLAKE2 digest
+of their words, windows by 128 bits of their words, and rows are named by 96 bits of their text and columns. Hashes of words
+only choose anchors; words of equal hash share an anchor and are then told apart.
 
 Null text has no words. Shorter texts than a window lose nothing. Windows repeated in the same text count, overlapping
 ones too, and so do repeated rows: both copies lose what they share. Extra columns are kept, those named like a new one
@@ -25,7 +26,7 @@ replaced.
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import blake2b, sha256
 from itertools import compress
 
 import numpy as np
@@ -35,19 +36,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lapforge.llm.common import ASCII_SPACE, chunks, drop_side_table, mixed, salted_join, side_table, span_hashes, table, texts_of, word_bounds
+from lapforge.llm.common import ASCII_SPACE, chunks, drop_side_table, salted_join, side_table, span_hashes, table, texts_of, word_bounds
 from lapforge.llm.registry import register
 from lapforge.session import written_table
 
 PREFIX = 8
 GROUP = 4096
-_PREFIX_BASE, _REGION_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+_PREFIX_BASE = 0xD1342543DE82EF95
 _INDEX = np.uint64((1 << 28) - 1)
 
 
 def regions(texts: list[bytes], length: int, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
-    """Text number, first and last window start, hash of the anchor and of the whole region, for every region."""
+    """Text number, first and last window start, hash of the anchor and digest of the whole region's words, for every region.
+
+    The digest is taken from the words themselves, not from their hashes: two regions are one only if their words are.
+    """
     prefix = min(prefix, length)
+    texts = [b" ".join(t.split()) for t in texts]
     buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
     starts, ends = word_bounds(buf, ASCII_SPACE)
     n = len(starts) - length + 1
@@ -72,9 +77,10 @@ def regions(texts: list[bytes], length: int, prefix: int = PREFIX) -> tuple[np.n
     turn = np.flatnonzero(np.diff(anchor)) + 1
     first, last = begin[np.concatenate([[0], turn])], begin[np.concatenate([turn - 1, [len(begin) - 1]])]
     text = text_of[first]
-    whole = span_hashes(mixed(words + np.uint64(1)), first, last + length, _REGION_BASE)
+    data, spans = buf.tobytes(), zip(starts[first].tolist(), ends[last + length - 1].tolist())
+    whole = np.frombuffer(b"".join(blake2b(data[a:b], digest_size=8).digest() for a, b in spans), np.int64)
     anchors = grams[anchor[np.concatenate([[0], turn])]]
-    return text, first - first_word[text], last - first_word[text], anchors.view(np.int64), whole.view(np.int64)
+    return text, first - first_word[text], last - first_word[text], anchors.view(np.int64), whole
 
 
 def repeated_suffixes(suffixes: list[tuple[list[bytes], int]], depth: int) -> list[int]:
