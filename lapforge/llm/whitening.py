@@ -23,6 +23,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,11 +77,6 @@ def _tree(parts: DataFrame, count: int, schema: str, join: Callable[[pa.Table],
             return parts
 
 
-def _dealt(fit: DataFrame, parts: int) -> DataFrame:
-    """Even parts, numbered; the hash of a distinct vector is as good as a draw."""
-    return fit.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int"))
-
-
 SPECTRUM = "part int, n bigint, mean binary, d binary, q binary"
 
 
@@ -88,13 +84,14 @@ def fitted_spectrum(fit: DataFrame, dims: int, parts: int) -> Scatter:
     """The spectrum of the distinct vectors ``fit``: one for each part, then joined."""
     names = [c.split()[0] for c in SPECTRUM.split(", ")]
 
-    def learn(key, rows):
+    def learn(batches):
         out = Scatter(dims)
-        for block in _blocks(rows.select(["x"]).to_batches(), dims):
+        for block in _blocks(batches, dims):
             for x in block.astype(float):
                 out.add(x)
         types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array([v], t) for v, t in zip((key[0].as_py(), *out.packed()), types, strict=True)], names=names)
+        values = (TaskContext.get().partitionId(), *out.packed())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
     def join(rows: pa.Table) -> list:
         first, *others = (Scatter.unpacked(*(r[c] for c in names[1:])) for r in rows.to_pylist())
@@ -102,7 +99,7 @@ def fitted_spectrum(fit: DataFrame, dims: int, parts: int) -> Scatter:
             first.join(other)
         return list(first.packed())
 
-    learned = side_table(_dealt(fit, parts).groupBy("part").applyInArrow(learn, SPECTRUM), "spectra")
+    learned = side_table(fit.select("x").repartition(parts).mapInArrow(learn, SPECTRUM), "spectra")
     row = _tree(learned, parts, SPECTRUM, join).first()
     return Scatter.unpacked(row.n, *(bytes(row[c]) for c in names[2:]))
 
@@ -125,8 +122,6 @@ def projected_moments(fit: DataFrame, dims: int, parts: int, centre: np.ndarray,
     def join(rows: pa.Table) -> list:
         return [sum(np.frombuffer(r.as_py(), float) for r in rows.column(c)).tobytes() for c in ("sums", "products")]
 
-    from pyspark import TaskContext
-
     found = side_table(fit.select("x").repartition(parts).mapInArrow(learn, MOMENTS), "moments")
     row = _tree(found, parts, MOMENTS, join).first()
     size = basis.shape[1]
