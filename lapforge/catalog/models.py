@@ -1,8 +1,9 @@
-"""Model runs. Linear ones are checked value by value; of boosted ones, whose numbers depend on the trainer, the SQL checks
-all that doesn't: keys, targets, folds, row counts, feature names, and that everything is scored.
+"""Model runs. Linear ones are checked value by value. Boosted ones return their metrics, predictions and importances, which
+depend on the trainer and so have no SQL; ``FACTS`` has SQL for those of their columns that don't (keys, targets, folds, row
+counts, feature names, the trivial baseline), which the tests hold against them.
 
-The number of trees, their depth and the trials are arguments of the plans; the queries pass the short settings below, so
-that a run over the given tables takes seconds. ``constants.BOOSTER`` and the search ranges hold the full ones.
+The number of trees, their depth and the trials are arguments of the plans, whose defaults are the full settings of
+``constants.BOOSTER`` and the search ranges. The queries pass the shorter ones below.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from lapforge.catalog.registry import KEY, TEST_YEAR, TRACKS, TRAIN_YEARS, WEIGH
 from lapforge.functions import scalars as S
 from lapforge.operators import aggregates, history, splits
 from lapforge.plans import features as feature_plan
-from lapforge.plans import reports, training
+from lapforge.plans import reports, stages, training
 from lapforge.session import fresh_path, written_table
 from lapforge.sources import testdata as data
 
-SHORT = {"n_estimators": 8, "max_depth": 4, "learning_rate": 0.2}
+SHORT = {"n_estimators": 20, "max_depth": 5, "learning_rate": 0.1}
+SHORT_SEARCH = {"n_estimators": (5, 15), "max_depth": (3, 6)}
+SHORT_TRIALS = 4
 WALK = {"train_years": TRAIN_YEARS, "test_year": TEST_YEAR, "weights": WEIGHTS}
 FINAL_WEIGHTS = {1999: 1.0, 2000: 2.0, 2001: 3.0}
 
@@ -32,9 +35,13 @@ def _inputs(spark, sf_dir):
     return written_table(training.prepare(race_features(spark, sf_dir)), "model-inputs")
 
 
-def _checked(report, *names):
-    """A report with the metrics replaced by whether they are there."""
-    return report.select(*names, (F.col("rmse") > 0).alias("has_metrics"))
+#: Name of a query -> SQL for the columns that don't depend on the trainer.
+FACTS: dict[str, str] = {}
+
+
+def _trained(name: str, facts: str):
+    FACTS[name] = facts
+    return register(name)
 
 
 _GREEDY = """
@@ -52,7 +59,7 @@ _NAMES = ", ".join(f"'{c}'" for c in [
 _RATED = "rated AS (SELECT *, LapTimeResidual AS y FROM features)"
 _OWN = "rows_in AS (SELECT *, CAST(dense_rank() OVER (ORDER BY gp) AS INTEGER) AS fold FROM rated)"
 _COUNTS = """
-SELECT fold, min(gp) AS test_gp, (SELECT count(*) FROM rows_in) - count(*) AS train_rows, count(*) AS test_rows, true AS has_metrics
+SELECT fold, min(gp) AS test_gp, (SELECT count(*) FROM rows_in) - count(*) AS train_rows, count(*) AS test_rows
 FROM rows_in GROUP BY fold"""
 
 
@@ -60,61 +67,58 @@ def _recursive(sql: str) -> str:
     return "WITH RECURSIVE" + sql.removeprefix("WITH")
 
 
-@register("model_walk_forward", kept_sql("""
+@_trained("model_walk_forward", kept_sql("""
 SELECT count(*) FILTER (WHERE year IN (1999, 2000)) AS train_rows, count(*) FILTER (WHERE year = 2001) AS test_rows,
-  round(stddev_samp(y) FILTER (WHERE year = 2001), 6) AS baseline_trivial_rmse, true AS has_metrics FROM rated""", *RACE_FEATURES_SQL, _RATED))
+  round(stddev_samp(y) FILTER (WHERE year = 2001), 6) AS baseline_trivial_rmse FROM rated""", *RACE_FEATURES_SQL, _RATED))
 def model_walk_forward(spark, sf_dir):
     df = _inputs(spark, sf_dir)
     report = training.evaluate_walk_forward(df, training.available(df, K.GLOBAL_CANDIDATES), SHORT, **WALK)
-    return _checked(report, "train_rows", "test_rows", F.round("baseline_trivial_rmse", 6).alias("baseline_trivial_rmse"))
+    return report.withColumn("baseline_trivial_rmse", F.round("baseline_trivial_rmse", 6))
 
 
-@register("model_group_kfold", _recursive(kept_sql(_COUNTS, *RACE_FEATURES_SQL, _RATED, _GREEDY)))
+@_trained("model_group_kfold", _recursive(kept_sql(_COUNTS, *RACE_FEATURES_SQL, _RATED, _GREEDY)))
 def model_group_kfold(spark, sf_dir):
     df = splits.with_year_weight(splits.group_kfold(_inputs(spark, sf_dir)), WEIGHTS)
     features = training.available(df, K.GLOBAL_CANDIDATES)
-    report = training.evaluate_folds(
-        df, features, lambda: training.booster({**SHORT, "n_estimators": 4}, weight="weight"), range(K.GROUP_FOLDS),
+    return training.evaluate_folds(
+        df, features, lambda: training.booster({**SHORT, "n_estimators": 10}, weight="weight"), range(K.GROUP_FOLDS),
         categories=K.ENCODED_CATEGORIES)
-    return _checked(report, "fold", "test_gp", "train_rows", "test_rows")
 
 
-@register("model_leave_one_group_out", kept_sql(_COUNTS, *RACE_FEATURES_SQL, _RATED, _OWN))
+@_trained("model_leave_one_group_out", kept_sql(_COUNTS, *RACE_FEATURES_SQL, _RATED, _OWN))
 def model_leave_one_group_out(spark, sf_dir):
     df = training.prepare_leave_one_out(_inputs(spark, sf_dir))
     folds = splits.leave_one_group_out(df, "gp")
     n = df.agg(F.count_distinct("gp")).first()[0]
     tree = lambda: DecisionTreeRegressor(labelCol=K.TARGET, featuresCol="features", maxDepth=4, seed=K.SPLIT_SEED)
-    report = training.evaluate_folds(
+    return training.evaluate_folds(
         folds, training.available(df, K.LEAVE_ONE_OUT_CANDIDATES), tree, range(1, n + 1), fill_zero=True, parallelism=4)
-    return _checked(report, "fold", "test_gp", "train_rows", "test_rows")
 
 
-@register("model_search", kept_sql("""
-SELECT CAST(trial AS INTEGER) AS trial, count(*) FILTER (WHERE year = 2001) > 0 AS has_metrics FROM rated, range(3) t(trial) GROUP BY trial""",
-                                   *RACE_FEATURES_SQL, _RATED))
+@_trained("model_search", kept_sql("""
+SELECT CAST(trial AS INTEGER) AS trial FROM rated, range(4) t(trial) GROUP BY trial""", *RACE_FEATURES_SQL, _RATED))
 def model_search(spark, sf_dir):
     df = _inputs(spark, sf_dir)
     features = training.available(df, K.GLOBAL_CANDIDATES)
-    space = {**K.GLOBAL_SEARCH, "n_estimators": (2, 6), "max_depth": (3, 5)}
+    space = {**K.GLOBAL_SEARCH, **SHORT_SEARCH}
 
     def loss(params):
         return training.evaluate_walk_forward(df, features, params, **WALK).first()["rmse"]
 
-    return _checked(training.search(spark, training.draw_params(space, trials=3), loss), "trial")
+    return training.search(spark, training.draw_params(space, trials=SHORT_TRIALS), loss)
 
 
-@register("model_feature_importance", kept_sql(f"""
-SELECT column_name AS feature, true AS known FROM (SELECT unnest([{_NAMES}]) AS column_name) n
+@_trained("model_feature_importance", kept_sql(f"""
+SELECT column_name AS feature FROM (SELECT unnest([{_NAMES}]) AS column_name) n
 WHERE (SELECT count(*) FROM features) > 0""", *RACE_FEATURES_SQL))
 def model_feature_importance(spark, sf_dir):
     df = _inputs(spark, sf_dir)
     model, _, inputs = training.final_fit(
         df, training.available(df, K.GLOBAL_CANDIDATES), SHORT, weights=FINAL_WEIGHTS)
-    return training.feature_importance(spark, model, inputs).select("feature", (F.col("importance") >= 0).alias("known"))
+    return training.feature_importance(spark, model, inputs)
 
 
-@register("model_scored_laps", kept_sql(f"SELECT {KEY}, y AS LapTimeResidual, true AS scored FROM rated", *RACE_FEATURES_SQL, _RATED))
+@_trained("model_scored_laps", kept_sql(f"SELECT {KEY}, y AS LapTimeResidual FROM rated", *RACE_FEATURES_SQL, _RATED))
 def model_scored_laps(spark, sf_dir):
     """Fit on everything, save, load, score."""
     df, path = _inputs(spark, sf_dir), fresh_path(spark, "global-model")
@@ -123,28 +127,27 @@ def model_scored_laps(spark, sf_dir):
     training.save_model(model, encoder, path)
     loaded, tables = training.load_model(spark, path)
     scored = training.score(df, loaded, tables, features)
-    return scored.select(*K.LAP_GROUP, F.col(K.LAP_ORDER).cast("int").alias(K.LAP_ORDER), K.TARGET, F.col("prediction").isNotNull().alias("scored"))
+    return scored.select(*K.LAP_GROUP, F.col(K.LAP_ORDER).cast("int").alias(K.LAP_ORDER), K.TARGET, "prediction")
 
 
-@register("model_pit_classifier", laps_sql(f"""
-SELECT CAST(TyreLife * 4 > {K.PIT_TYRE_LIFE} AS INTEGER) AS pit_label, count(*) AS n, avg(TyreLife * 4) AS mean_tyre_life, true AS scored FROM laps GROUP BY 1"""))
+@_trained("model_pit_classifier", laps_sql(f"""
+SELECT CAST(TyreLife * 4 > {K.PIT_TYRE_LIFE} AS INTEGER) AS pit_label, count(*) AS n, avg(TyreLife * 4) AS mean_tyre_life FROM laps GROUP BY 1"""))
 def model_pit_classifier(spark, sf_dir):
     laps = history.current_history(data.laps(spark, sf_dir)).withColumn("TyreLife", F.col("TyreLife") * 4)
-    model = training.pit_classifier(laps, trees=10)
+    model = training.pit_classifier(laps, trees=20)
     scored = model.transform(training.doubles(laps, K.PIT_FEATURES, fill_zero=True))
     return scored.groupBy(S.pit_label().alias("pit_label")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("TyreLife").alias("mean_tyre_life"), F.min(F.col("prediction").isNotNull()).alias("scored"))
+        F.count(F.lit(1)).alias("n"), F.avg("TyreLife").alias("mean_tyre_life"), F.avg("prediction").alias("predicted_share"))
 
 
-@register("model_local_tracks", kept_sql(f"""
-SELECT gp, count(*) AS rows, true AS has_metrics FROM rated WHERE gp IN ({", ".join(f"'{t}'" for t in TRACKS)}) GROUP BY gp
+@_trained("model_local_tracks", kept_sql(f"""
+SELECT gp, count(*) AS rows FROM rated WHERE gp IN ({", ".join(f"'{t}'" for t in TRACKS)}) GROUP BY gp
 HAVING count(*) >= {K.MIN_TRACK_ROWS}""", *RACE_FEATURES_SQL, _RATED))
 def model_local_tracks(spark, sf_dir):
     df = _inputs(spark, sf_dir)
-    space = {**K.LOCAL_SEARCH, "n_estimators": (2, 4), "max_depth": (3, 4)}
-    report = training.evaluate_tracks(
-        df, TRACKS, training.available(df, K.LOCAL_CANDIDATES), key=[*K.LAP_GROUP, K.LAP_ORDER], space=space, trials=2)
-    return report.select("gp", "rows", (F.col("rmse_local_optuna") > 0).alias("has_metrics"))
+    return training.evaluate_tracks(
+        df, TRACKS, training.available(df, K.LOCAL_CANDIDATES), key=[*K.LAP_GROUP, K.LAP_ORDER],
+        space={**K.LOCAL_SEARCH, **SHORT_SEARCH}, trials=2)
 
 
 # --- linear models of every fold, checked value by value --------------------------------------------------------------
@@ -190,6 +193,76 @@ def model_linear_best_fold(spark, sf_dir):
     return best.select("fold", "test_gp", F.round("rmse", 6).alias("rmse"), F.round(c[0], 6).alias("intercept"), F.round(c[1], 6).alias("slope"))
 
 
+# --- leak-free encodings inside a cross-validated pipeline, and a search without refits ---------------------------------
+_ENCODED = """
+rated AS (SELECT gp, Driver, Team, LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS y FROM kept)"""
+_CODES = f"""
+means AS (SELECT f, avg(y) AS gm FROM (SELECT DISTINCT fold AS f FROM rows_in) k JOIN rows_in r ON r.fold <> f GROUP BY f),
+{{codes}},
+coded AS (
+  SELECT m.f, r.fold = m.f AS is_test, y, coalesce(d.e, gm) AS a, coalesce(t.e, gm) AS b, coalesce(g.e, gm) AS c
+  FROM means m CROSS JOIN rows_in r LEFT JOIN code_Driver d ON d.f = m.f AND d.k = r.Driver
+    LEFT JOIN code_Team t ON t.f = m.f AND t.k = r.Team LEFT JOIN code_gp g ON g.f = m.f AND g.k = r.gp),
+moments AS (
+  SELECT f, avg(y) AS y0, avg(a) AS a0, avg(b) AS b0, avg(c) AS c0, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc,
+    covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb, covar_pop(y, c) AS yc
+  FROM coded WHERE NOT is_test GROUP BY f),
+solved AS (
+  SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det,
+    ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc) AS da,
+    aa * (yb * cc - yc * bc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac) AS db,
+    aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac) AS dc
+  FROM moments),
+fold_errors AS (
+  SELECT f, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1 - sum(e * e) / nullif(var_pop(y) * count(y), 0) AS r2, count(*) AS test_rows
+  FROM (SELECT c.f, y, y - (y0 + da / det * (a - a0) + db / det * (b - b0) + dc / det * (c - c0)) AS e FROM coded c JOIN solved USING (f) WHERE is_test) t
+  GROUP BY f)""".format(codes=",\n".join(f"""code_{c} AS (
+  SELECT m.f, {c} AS k, (sum(y) + {K.ENCODING_SMOOTHING} * gm) / (count(y) + {K.ENCODING_SMOOTHING}) AS e
+  FROM means m JOIN rows_in r ON r.fold <> m.f GROUP BY m.f, gm, {c})""" for c in K.ENCODED_CATEGORIES))
+
+
+def _encoded(spark, sf_dir):
+    laps = feature_plan.surviving_laps(base_laps(spark, sf_dir))
+    return splits.group_kfold(laps.select("gp", "Driver", "Team", K.TARGET))
+
+
+@register("model_encoded_group_kfold", _recursive(kept_sql("""
+SELECT f AS fold, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2, test_rows FROM fold_errors""", _ENCODED, _GREEDY, _CODES)))
+def model_encoded_group_kfold(spark, sf_dir):
+    """Driver, Team and gp as target means, fitted with the regression on the other folds only."""
+    pipeline = stages.encoded_regression([], K.ENCODED_CATEGORIES)
+    return _six(stages.cross_validated(_encoded(spark, sf_dir), pipeline, K.GROUP_FOLDS))
+
+
+@register("model_encoded_cross_validator", _recursive(kept_sql("""
+SELECT round(avg(rmse), 6) AS rmse FROM fold_errors""", _ENCODED, _GREEDY, _CODES)))
+def model_encoded_cross_validator(spark, sf_dir):
+    """The same pipeline as the estimator of Spark's CrossValidator over the fold column."""
+    validator = stages.cross_validator(stages.encoded_regression([], K.ENCODED_CATEGORIES), K.GROUP_FOLDS)
+    fitted = validator.fit(written_table(_encoded(spark, sf_dir), "folds"))
+    return spark.createDataFrame([(round(float(fitted.avgMetrics[0]), 6),)], "rmse double")
+
+
+_PENALTIES = ", ".join(f"({i}, {p!r}::DOUBLE)" for i, p in enumerate(training.draw_penalties()))
+
+
+@register("model_ridge_search", kept_sql(f"""
+SELECT CAST(trial AS INTEGER) AS trial, penalty,
+  round(sqrt((syy - 2 * slope * sxy + slope * slope * sxx) / n + (y1 - y0 - slope * (x1 - x0)) * (y1 - y0 - slope * (x1 - x0))), 6) AS rmse
+FROM (SELECT trial, penalty, sxy0 / (sxx0 + penalty) AS slope, x0, y0 FROM fitted, (VALUES {_PENALTIES}) v(trial, penalty)) c,
+  (SELECT avg(x) AS x1, avg(y) AS y1, count(*) AS n, var_pop(x) * count(*) AS sxx, var_pop(y) * count(*) AS syy, covar_pop(x, y) * count(*) AS sxy
+   FROM rated WHERE year = 2001) t""", _LAPS_RATED, """
+weighted AS (SELECT *, CASE year WHEN 1999 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM rated WHERE year IN (1999, 2000)),
+fitted AS (
+  SELECT any_value(x0) AS x0, any_value(y0) AS y0, sum(w * (x - x0) * (y - y0)) AS sxy0, sum(w * (x - x0) * (x - x0)) AS sxx0
+  FROM weighted, (SELECT sum(w * x) / sum(w) AS x0, sum(w * y) / sum(w) AS y0 FROM weighted) m)"""))
+def model_ridge_search(spark, sf_dir):
+    """Sixty penalties on the walk-forward split, season weights in the fit, from one pass over the rows."""
+    marked = splits.with_year_weight(splits.walk_forward(_rated(spark, sf_dir), TRAIN_YEARS, TEST_YEAR), WEIGHTS)
+    losses = training.ridge_losses(marked, ["LapNumber"], training.draw_penalties(), weight="weight")
+    return losses.withColumn("rmse", F.round("rmse", 6))
+
+
 _PHASES = " ".join(f"WHEN pct <= {high}::DOUBLE THEN '{label}'" for high, label in zip(K.PHASE_EDGES[1:], K.PHASE_LABELS))
 
 

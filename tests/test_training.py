@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.operators import splits
-from lapforge.plans import training
+from lapforge.plans import stages, training
 from lapforge.plans.features import build_features
 from helpers import season
 
@@ -85,3 +85,81 @@ def test_older_preparation_adds_codes(spark):
     out = {r.LapTime: r for r in training.prepare_leave_one_out(df).collect()}
     assert set(out) == {80.0, 81.0}
     assert (out[80.0].CompoundEncoded, out[80.0].team_encoded, out[81.0].team_encoded, out[80.0].session_code_encoded) == (0, 1, -1, 1)
+
+
+@pytest.fixture(scope="module")
+def encoded(spark):
+    """Rows whose target depends on the driver and on x, with drivers that appear in one fold only."""
+    rng = np.random.default_rng(3)
+    n = 600
+    driver, x = rng.integers(0, 12, n), rng.normal(size=n)
+    y = driver * 0.5 + 0.8 * x + rng.normal(scale=0.3, size=n)
+    fold = np.where(driver == 11, 2, rng.integers(0, 3, n))
+    rows = [(f"D{d}" if d else None, f"T{d // 3}", float(a), float(b), int(f), float(s)) for d, a, b, f, s in zip(driver, x, y, fold, rng.permutation(y))]
+    return spark.createDataFrame(rows, "Driver string, Team string, x double, y double, fold int, shuffled double")
+
+
+def plain_fold_errors(rows, target="y", smoothing=5.0):
+    out = []
+    for k in range(3):
+        train, test = rows[rows.fold != k], rows[rows.fold == k]
+        overall = train[target].mean()
+        columns = []
+        for c in ("Driver", "Team"):
+            stats = train.groupby(c)[target].agg(["sum", "count"])
+            codes = (stats["sum"] + smoothing * overall) / (stats["count"] + smoothing)
+            columns.append([part[c].map(codes).fillna(overall).to_numpy(float) for part in (train, test)])
+        design = [np.c_[np.ones(len(part)), part.x, columns[0][i], columns[1][i]] for i, part in enumerate((train, test))]
+        b = np.linalg.lstsq(design[0], train[target].to_numpy(), rcond=None)[0]
+        out.append(np.sqrt(np.mean((test[target].to_numpy() - design[1] @ b) ** 2)))
+    return out
+
+
+def test_encoder_inside_cross_validation_sees_its_training_fold_only(encoded):
+    pipeline = stages.encoded_regression(["x"], ["Driver", "Team"], target="y", smoothing=5.0)
+    expected = plain_fold_errors(encoded.toPandas())
+    got = stages.cross_validated(encoded, pipeline, 3, target="y").orderBy("fold").collect()
+    np.testing.assert_allclose([r.rmse for r in got], expected, atol=1e-8)
+    validated = stages.cross_validator(pipeline, 3, target="y").fit(encoded)
+    assert validated.avgMetrics[0] == pytest.approx(np.mean(expected), abs=1e-8)
+    poisoned = encoded.withColumn("y", F.when(F.col("fold") == 1, 1000.0).otherwise(F.col("y")))
+    clean, spoiled = (pipeline.fit(d.where("fold <> 1")).transform(encoded.where("fold = 1")).agg(F.sum("prediction")).first()[0] for d in (encoded, poisoned))
+    assert clean == spoiled
+
+
+def test_models_beat_the_trivial_baseline_and_shuffled_targets_do_not(encoded):
+    spread = encoded.agg(F.stddev_samp("y")).first()[0]
+    makers = [None, training.booster({"n_estimators": 20, "max_depth": 3, "learning_rate": 0.2}, label="y")]
+    for estimator in makers:
+        found = stages.cross_validated(encoded.where("Driver <> 'D11'"), stages.encoded_regression(["x"], ["Driver", "Team"], target="y", estimator=estimator), 3, target="y")
+        assert all(r.rmse < 0.5 * spread for r in found.collect())
+    noise = stages.encoded_regression(["x"], ["Driver", "Team"], target="shuffled")
+    assert all(r.rmse > 0.9 * spread for r in stages.cross_validated(encoded.where("Driver <> 'D11'"), noise, 3, target="shuffled").collect())
+
+
+def test_encoder_model_survives_a_round_trip(encoded, tmp_path):
+    fitted = stages.TargetEncoder(inputCols=["Driver", "Team"], outputCols=["d", "t"], labelCol="y", smoothing=3.0).fit(encoded)
+    fitted.write().overwrite().save(str(tmp_path / "encoder"))
+    loaded = stages.TargetEncoderModel.load(str(tmp_path / "encoder"))
+    assert loaded.getOutputCols() == ["d", "t"] and loaded.getOrDefault("smoothing") == 3.0 and loaded.uid == fitted.uid
+    a, b = (m.transform(encoded).orderBy("y").toPandas() for m in (fitted, loaded))
+    assert a.equals(b) and list(a.columns[-2:]) == ["d", "t"]
+
+
+def test_ridge_losses_equal_refits(spark):
+    rng = np.random.default_rng(4)
+    x, part = rng.normal(size=(500, 3)) * [1, 50, 0.1] + [0, 2000, 5], np.where(rng.random(500) < 0.7, "train", "test")
+    y, w = x @ [0.5, -0.02, 3.0] + rng.normal(size=500), rng.integers(1, 4, 500).astype(float)
+    rows = [(*map(float, r), float(t), p, float(v)) for r, t, p, v in zip(x, y, part, w)] + [(1.0, 1.0, 1.0, None, "train", 1.0), (1.0, 1.0, 1.0, 9.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, part string, w double")
+    penalties = [0.0, 1.0, 100.0, 1e6]
+    got = {r.penalty: r.rmse for r in training.ridge_losses(df, ["a", "b", "c"], penalties, target="y", weight="w").collect()}
+    train, test = part == "train", part == "test"
+    mean_x, mean_y = np.average(x[train], axis=0, weights=w[train]), np.average(y[train], weights=w[train])
+    for penalty in penalties:
+        xc, wt = x[train] - mean_x, w[train][:, None]
+        b = np.linalg.solve(xc.T @ (wt * xc) + penalty * np.eye(3), xc.T @ (w[train] * (y[train] - mean_y)))
+        assert got[penalty] == pytest.approx(np.sqrt(np.mean((y[test] - mean_y - (x[test] - mean_x) @ b) ** 2)), rel=1e-7)
+    assert list(got.values()) == sorted(got.values())
+    with pytest.raises(ValueError, match="training and test"):
+        training.ridge_losses(df.where("part = 'train'"), ["a"], penalties, target="y")
