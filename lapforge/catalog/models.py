@@ -17,7 +17,7 @@ from lapforge.catalog.features import RACE_FEATURES_SQL, race_features
 from lapforge.catalog.filters import base_laps
 from lapforge.catalog.registry import KEY, TEST_YEAR, TRACKS, TRAIN_YEARS, WEIGHTS, kept_sql, laps_sql, register
 from lapforge.functions import scalars as S
-from lapforge.operators import aggregates, history, splits
+from lapforge.operators import aggregates, history, split_search, splits
 from lapforge.plans import features as feature_plan
 from lapforge.plans import reports, stages, training
 from lapforge.session import fresh_path, written_table
@@ -263,6 +263,54 @@ def model_ridge_search(spark, sf_dir):
     return losses.withColumn("rmse", F.round("rmse", 6))
 
 
+# --- exact splits -------------------------------------------------------------------------------------------------------
+SPLIT_FEATURES = ["LapNumber", "TyreLife", "Position", "speed_mean"]
+
+
+def _thresholds_sql(rows: str, factor: str) -> str:
+    """Every split of the rows (grp, feature, value, y) and the best of each feature."""
+    return f"""
+counts AS (SELECT grp, feature, value, count(*) AS n, sum(y) AS s FROM ({rows}) r WHERE value IS NOT NULL GROUP BY ALL),
+along AS (
+  SELECT grp, feature, value, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER g AS na, sum(s) OVER g AS sa
+  FROM counts WINDOW w AS (PARTITION BY grp, feature ORDER BY value), g AS (PARTITION BY grp, feature)),
+judged AS (
+  SELECT *, (sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) - sa * sa / na) / na * {factor}::DOUBLE AS gain FROM along WHERE na > nl),
+best AS (
+  SELECT grp, feature, value AS threshold, gain, CAST(nl AS BIGINT) AS n_left, CAST(na - nl AS BIGINT) AS n_right, sl / nl AS left_mean, (sa - sl) / (na - nl) AS right_mean
+  FROM judged QUALIFY row_number() OVER (PARTITION BY grp, feature ORDER BY gain DESC, value) = 1)"""
+
+
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("gain", "left_mean", "right_mean"))
+
+
+def _six_of(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("gain", "left_mean", "right_mean")})
+
+
+def _features_sql(table: str, y: str, group: str = "0") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {group} AS grp, '{f}' AS feature, CAST({'TyreLife * 4' if f == 'TyreLife' else f} AS DOUBLE) AS value, {y} AS y FROM {table}" for f in SPLIT_FEATURES)
+
+
+@register("model_pit_stump", laps_sql(f"SELECT feature, threshold, {_ROUNDED}, n_left, n_right FROM best", _thresholds_sql(
+    _features_sql("laps", f"CAST(coalesce(CAST(TyreLife * 4 > {K.PIT_TYRE_LIFE} AS INTEGER), 0) AS DOUBLE)"), "2")))
+def model_pit_stump(spark, sf_dir):
+    """The pit rule found again from its labels: the best Gini split of every feature, exactly."""
+    laps = data.laps(spark, sf_dir).withColumn("TyreLife", F.col("TyreLife") * 4)
+    return _six_of(split_search.best_thresholds(laps.withColumn("pit_label", S.pit_label()), SPLIT_FEATURES, "pit_label", gini=True))
+
+
+@register("model_track_splits", kept_sql(f"""
+SELECT grp AS gp, feature, threshold, {_ROUNDED}, n_left, n_right FROM best QUALIFY row_number() OVER (PARTITION BY grp ORDER BY gain DESC, feature) = 1""",
+    "rated AS (SELECT *, LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS y FROM kept)",
+    _thresholds_sql(_features_sql("rated", "y", "gp"), "1")))
+def model_track_splits(spark, sf_dir):
+    """The best first split of the residual for every track."""
+    laps = feature_plan.surviving_laps(base_laps(spark, sf_dir)).withColumn("TyreLife", F.col("TyreLife") * 4)
+    return _six_of(split_search.best_split(split_search.best_thresholds(laps, SPLIT_FEATURES, K.TARGET, group="gp"), "gp"))
+
+
 _PHASES = " ".join(f"WHEN pct <= {high}::DOUBLE THEN '{label}'" for high, label in zip(K.PHASE_EDGES[1:], K.PHASE_LABELS))
 
 
