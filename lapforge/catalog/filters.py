@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.catalog.registry import EXCLUDED, KEY, SPLIT_ROWS, TRACKS, base_sql, kept_sql, laps_sql, register, samples_sql
-from lapforge.operators import aggregates, filters
+from lapforge.operators import aggregates, filters, segments, sketches
 from lapforge.plans import features
+from lapforge.session import fresh_path
 from lapforge.sources import testdata as data
 
 KEYS = [*K.LAP_GROUP, K.LAP_ORDER]
@@ -38,6 +41,58 @@ def filter_iqr_split(spark, sf_dir):
     return filters.iqr_filter(base_laps(spark, sf_dir), rows=SPLIT_ROWS).select(*KEYS, "LapTime")
 
 
+#: SQL of the sketch: the bins of every session, and the middle of the bin in which a rank lies.
+_BASE_OF_BINS = (1 + sketches.ERROR) / (1 - sketches.ERROR)
+_SKETCH_SQL = f"""
+bins AS (SELECT year, gp, session_code, CAST(ceil(ln(LapTime) / {math.log(_BASE_OF_BINS)!r}::DOUBLE) AS BIGINT) AS b, count(*) AS n FROM base GROUP BY ALL),
+along AS (
+  SELECT *, sum(n) OVER (PARTITION BY year, gp, session_code ORDER BY b) AS upto, sum(n) OVER (PARTITION BY year, gp, session_code) AS total FROM bins)"""
+
+
+def _sketched_sql(**probs: float) -> str:
+    picked = ", ".join(
+        f"2 * pow({_BASE_OF_BINS!r}::DOUBLE, min(b) FILTER (WHERE upto > floor({p}::DOUBLE * (total - 1)))) / {_BASE_OF_BINS + 1!r}::DOUBLE AS {n}" for n, p in probs.items())
+    return f"sketched AS (SELECT year, gp, session_code, {picked} FROM along GROUP BY ALL)"
+
+
+def _stored_sketch(spark, laps):
+    """The sessions' sketch from three batches stored one after the other, one of them twice."""
+    path = fresh_path(spark, "sketches")
+    for i in (0, 1, 1, 2):
+        sketches.store(sketches.sketch(laps.where(F.col("LapNumber") % 3 == i), K.SESSION, "LapTime"), path, str(i))
+    return sketches.merged(spark, path, K.SESSION)
+
+
+@register("filter_iqr_sketched", base_sql(f"""
+SELECT {KEY}, LapTime FROM base JOIN sketched USING (year, gp, session_code)
+WHERE LapTime BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""", _SKETCH_SQL, _sketched_sql(q1=0.25, q3=0.75)))
+def filter_iqr_sketched(spark, sf_dir):
+    """Fences from sketches that were stored batch by batch; the rows are not read again for them."""
+    laps = base_laps(spark, sf_dir)
+    quartiles = sketches.sketched_quantiles(_stored_sketch(spark, laps), K.SESSION, filters.QUARTILES)
+    return filters.iqr_filter(laps, quartiles=quartiles).select(*KEYS, "LapTime")
+
+
+@register("agg_sketch_quantiles", base_sql(f"""
+SELECT year, gp, session_code, round(p1, 6) AS p1, round(p50, 6) AS p50, round(p99, 6) AS p99,
+  abs(p1 - e1) <= {sketches.ERROR}::DOUBLE * e1 AND abs(p50 - e50) <= {sketches.ERROR}::DOUBLE * e50 AND abs(p99 - e99) <= {sketches.ERROR}::DOUBLE * e99 AS in_bound
+FROM sketched JOIN (
+  SELECT year, gp, session_code, l[1 + CAST(floor(0.01::DOUBLE * (len(l) - 1)) AS BIGINT)] AS e1, l[1 + CAST(floor(0.5::DOUBLE * (len(l) - 1)) AS BIGINT)] AS e50,
+    l[1 + CAST(floor(0.99::DOUBLE * (len(l) - 1)) AS BIGINT)] AS e99
+  FROM (SELECT year, gp, session_code, list_sort(list(LapTime)) AS l FROM base GROUP BY ALL) s) e USING (year, gp, session_code)""",
+    _SKETCH_SQL, _sketched_sql(p1=0.01, p50=0.5, p99=0.99)))
+def agg_sketch_quantiles(spark, sf_dir):
+    """Quantiles from stored sketches beside the exact values of their ranks: whether each is within the stated error."""
+    laps, probs = base_laps(spark, sf_dir), {"p1": 0.01, "p50": 0.5, "p99": 0.99}
+    got = sketches.sketched_quantiles(_stored_sketch(spark, laps), K.SESSION, probs)
+    counted = laps.groupBy(*K.SESSION).agg(F.count("LapTime").alias("_n"))
+    ranked = segments.group_position(laps.select(*KEYS, "LapTime"), K.SESSION, ["LapTime"], "_at").withColumn("_at", F.col("_at") - 1).join(counted, K.SESSION)
+    of_rank = ranked.groupBy(*K.SESSION).agg(*[
+        F.max(F.when(F.col("_at") == F.floor(F.lit(p) * (F.col("_n") - 1)), F.col("LapTime"))).alias(f"_{n}") for n, p in probs.items()])
+    near = [F.abs(F.col(n) - F.col(f"_{n}")) <= sketches.ERROR * F.col(f"_{n}") for n in probs]
+    return got.join(of_rank, K.SESSION).select(*K.SESSION, *[F.round(n, 6).alias(n) for n in probs], (near[0] & near[1] & near[2]).alias("in_bound"))
+
+
 @register("filter_residual", kept_sql(f"""
 SELECT {KEY}, LapTimeResidual FROM (
   SELECT *, LapTime - median(LapTime) OVER (PARTITION BY year, gp, session_code) AS LapTimeResidual FROM kept) r

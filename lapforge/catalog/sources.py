@@ -9,9 +9,9 @@ from lapforge import schemas
 from lapforge.catalog.registry import KEY, laps_sql, messages_sql, quali_sql, register
 from lapforge.functions import scalars as S
 from lapforge.operators import aggregates
-from lapforge.plans import ingest
-from lapforge.session import fresh_path
-from lapforge.sources import tables
+from lapforge.plans import ingest, training
+from lapforge.session import fresh_path, written_table
+from lapforge.sources import batches, tables
 from lapforge.sources import testdata as data
 
 KEYS = [*K.LAP_GROUP, K.LAP_ORDER]
@@ -62,21 +62,27 @@ def source_checkpoint_state(spark, sf_dir):
     return tables.read_checkpoint(spark, path, multi_line=False)
 
 
-_LISTED = ", ".join(f"'{c}'" for c in ["LapNumber", "Stint", "TyreLife", "Position", "Driver_te", "Team_te"])
 
 
-@register("source_feature_list", laps_sql(f"""
-SELECT CAST(i - 1 AS INTEGER) AS position, [{_LISTED}][i] AS feature, true AS in_text FROM range(1, 7) r(i) WHERE (SELECT count(*) FROM laps) > 0"""))
+_CANDIDATES = ["LapNumber", "Stint", "TyreLife", "Position", "LapTime", "PitInTime", "speed_mean", "Rainfall", "Driver", "Team"]
+_ENCODED = ["Driver", "Team"]
+
+
+@register("source_feature_list", laps_sql("""
+SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS position, feature, non_null FROM counted WHERE non_null >= 0.9 * n""", "counted AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS i, '{c}{'_te' if c in _ENCODED else ''}' AS feature, count({c}) AS non_null, count(*) AS n FROM laps" for i, c in enumerate(_CANDIDATES)) + ")"))
 def source_feature_list(spark, sf_dir):
-    """The model's features in order, written as JSON and as text and read back."""
-    laps = data.laps(spark, sf_dir)
-    numeric = [c for c in ("LapNumber", "Stint", "TyreLife", "Position", "absent") if c in laps.columns]
+    """The features that nine laps in ten have, in order, written as JSON and as text, read back, with their coverage."""
+    laps, kept = data.laps(spark, sf_dir), _CANDIDATES
+    counts = written_table(aggregates.coverage(laps, kept), "coverage")
+    found = training.covered(counts, kept, 90.0)
+    numeric, encoded = [c for c in found if c not in _ENCODED], [c for c in found if c in _ENCODED]
     as_json, as_text = fresh_path(spark, "features-json"), fresh_path(spark, "features-text")
-    tables.write_feature_list(spark, as_json, numeric, ["Driver", "Team"])
-    listed = tables.read_feature_list(spark, as_json)
-    tables.write_feature_text(spark, as_text, [*numeric, "Driver_te", "Team_te"])
-    text = tables.read_feature_text(spark, as_text).withColumn("in_text", F.lit(True))
-    return listed.join(text, "feature", "left").select("position", "feature", F.coalesce("in_text", F.lit(False)).alias("in_text"))
+    tables.write_feature_list(spark, as_json, numeric, encoded)
+    tables.write_feature_text(spark, as_text, [*numeric, *(f"{c}_te" for c in encoded)])
+    listed = tables.read_feature_list(spark, as_json).join(tables.read_feature_text(spark, as_text), "feature")
+    name = F.regexp_replace("feature", "_te$", "").alias("column_name")
+    return listed.select("position", "feature", name).join(counts, "column_name").select("position", "feature", "non_null")
 
 
 _SCHEDULE = """
@@ -121,6 +127,30 @@ def ingest_resume(spark, sf_dir):
     return pending.select("key", "year", "gp", "round", "session_code")
 
 
+@register("ingest_exactly_once", laps_sql("""
+SELECT year || '|' || gp || '|' || session_code AS key, CASE WHEN gp = 'NATION_0' THEN 'failed' ELSE 'completed' END AS status,
+  CAST(CASE WHEN gp = 'NATION_0' THEN 0 ELSE count(*) END AS BIGINT) AS n_rows, CAST(CASE WHEN gp = 'NATION_0' THEN 0 ELSE count(*) END AS BIGINT) AS stored
+FROM laps GROUP BY gp, 1"""))
+def ingest_exactly_once(spark, sf_dir):
+    """A run that crashes between data and manifest and is run again, and a batch that is run twice: every lap is there once."""
+    path, laps = fresh_path(spark, "committed"), data.laps(spark, sf_dir)
+    sessions = laps.select("year", "gp", "session_code").distinct().withColumn("key", S.session_key())
+
+    def load(todo):
+        return laps.where(F.col("gp") != "NATION_0").join(todo.select(*K.SESSION), K.SESSION, "left_semi")
+
+    def crash():
+        raise InterruptedError("between data and manifest")
+
+    for code, before_commit in (("R", None), ("Q", crash), ("Q", None), ("R", None), ("T", None)):
+        try:
+            ingest.run_batch(spark, path, code, sessions.where(F.col("session_code") == code), load, before_commit)
+        except InterruptedError:
+            pass
+    stored = batches.committed_rows(spark, path, laps.schema).groupBy(S.session_key().alias("key")).agg(F.count(F.lit(1)).alias("stored"))
+    return batches.committed_outcomes(spark, path).join(stored, "key", "left").select("key", "status", "n_rows", F.coalesce("stored", F.lit(0)).cast("bigint").alias("stored"))
+
+
 @register("ingest_append", laps_sql(f"""
 SELECT {KEY}, LapTime, CASE WHEN year >= 1999 THEN AirTemp END AS AirTemp FROM laps"""))
 def ingest_append(spark, sf_dir):

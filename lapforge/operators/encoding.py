@@ -38,14 +38,17 @@ def ordinal_encode(df: DataFrame, column: str, output: str) -> DataFrame:
     return df.join(codes, column, "left").withColumn(output, F.coalesce(F.col(output), F.lit(-1)))
 
 
-def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], *, most: int = 1_000) -> DataFrame:
     """A 0/1 column per value (``column_value``) and one for missing (``column_nan``); the source column goes.
 
-    The plan gets a column for every value; for a dictionary that grows with the data use :func:`one_hot_long`.
+    The plan gets a column for every value, so a column with more than ``most`` values is refused: :func:`one_hot_long` takes
+    any number.
     """
     out = df
     for column in columns:
-        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect()]
+        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{column!r} has more than {most} values; use one_hot_long")
         out = out.withColumns({
             **{f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in sorted(values)},
             f"{column}_nan": F.col(column).isNull().cast("int"),

@@ -63,13 +63,21 @@ def iqr_fences(quartiles: DataFrame, factor: float = IQR_FACTOR) -> DataFrame:
     )
 
 
+#: The quantiles that fences are made of, by the names that they are expected under.
+QUARTILES = {"_q1": 0.25, "_q3": 0.75}
+
+
 def iqr_filter(
     df: DataFrame, *, keys: Sequence[str] = SESSION, value: str = "LapTime", factor: float = IQR_FACTOR,
-    approximate: bool = False, rows: int = SMALL_GROUP,
+    approximate: bool = False, quartiles: DataFrame | None = None, rows: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Keep values inside the quartile fences of their group. The fences, one row per group, are written out first."""
-    probs = {"_q1": 0.25, "_q3": 0.75}
-    quartiles = approximate_quantiles(df, keys, value, probs) if approximate else group_quantiles(df, keys, value, probs, rows=rows)
+    """Keep values inside the quartile fences of their group. The fences, one row per group, are written out first.
+
+    ``quartiles`` (keys, ``_q1``, ``_q3``) may come from stored sketches; else they are computed from ``df``, exactly unless
+    ``approximate``.
+    """
+    if quartiles is None:
+        quartiles = approximate_quantiles(df, keys, value, QUARTILES) if approximate else group_quantiles(df, keys, value, QUARTILES, rows=rows)
     fences = written_table(iqr_fences(quartiles, factor), "fences")
     return (
         df.join(fences, list(keys))

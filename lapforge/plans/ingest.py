@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from lapforge.functions import scalars as S
 from lapforge.operators import aggregates, joins
 from lapforge.operators.segments import SEGMENT_ROWS
 from lapforge.operators.splits import latest_per_key
+from lapforge.session import written_table
+from lapforge.sources import batches
 
 
 def load_schedule(raw: DataFrame, year: str = "year") -> DataFrame:
@@ -51,6 +53,20 @@ def latest_outcomes(log: DataFrame) -> DataFrame:
     return latest_per_key(log, ["key"], ["seq"])
 
 
+def run_batch(
+    spark: SparkSession, path: str, batch: str, sessions: DataFrame, load: Callable[[DataFrame], DataFrame],
+    before_commit: Callable[[], None] | None = None,
+) -> None:
+    """Load the batch's ``sessions`` that no other batch has completed, and commit laps and outcomes together.
+
+    After a crash the same call does what is left to do; after a commit it replaces the batch by its newest laps.
+    """
+    todo = written_table(pending(sessions, batches.committed_outcomes(spark, path, but=batch)), "todo")
+    laps = written_table(load(todo), "loaded")
+    logged = outcome(todo, laps).withColumn("seq", F.lit(0).cast("bigint"))
+    batches.commit(spark, path, batch, laps, logged.select("key", "status", "n_rows", "seq"), before_commit)
+
+
 def lap_rows(laps: DataFrame) -> DataFrame:
     """Types and defaults of raw laps: -1 for unknown numbers, False for unknown flags, seconds for durations."""
     duration = dict(laps.dtypes)["LapTime"].startswith("interval")

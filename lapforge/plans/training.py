@@ -38,6 +38,12 @@ def available(df: DataFrame, candidates: Sequence[str]) -> list[str]:
     return [c for c in candidates if c in df.columns]
 
 
+def covered(coverage: DataFrame, candidates: Sequence[str], pct: float) -> list[str]:
+    """The candidates, in order, that at least ``pct`` per cent of the rows have; one row a column comes to the driver."""
+    shares = {r.column_name: r.pct for r in coverage.where(F.col("column_name").isin(list(candidates))).collect()}
+    return [c for c in candidates if (shares.get(c) or 0.0) >= pct]
+
+
 def all_except(df: DataFrame, excluded: Sequence[str] = K.PER_TRACK_EXCLUDED) -> list[str]:
     return [c for c in df.columns if c not in excluded]
 

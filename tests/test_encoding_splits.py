@@ -67,6 +67,13 @@ def test_codes_follow_sorted_order(spark):
     assert got == {**want, None: -1}
 
 
+def test_one_hot_refuses_large_dictionaries(spark):
+    df = spark.range(5).select(F.col("id").cast("string").alias("c"))
+    assert len(encoding.one_hot(df, ["c"], most=5).columns) == 6
+    with pytest.raises(ValueError, match="one_hot_long"):
+        encoding.one_hot(df, ["c"], most=4)
+
+
 def test_one_hot_marks_missing(spark):
     out = encoding.one_hot(spark.createDataFrame([("a",), (None,), ("b",)], "c string"), ["c"])
     assert out.columns == ["c_a", "c_b", "c_nan"]
