@@ -12,7 +12,8 @@ from lapforge.catalog.windows import _STATE
 from lapforge.catalog.filters import base_laps
 from lapforge.functions import scalars as S
 from lapforge.operators import aggregates, encoding, filters, joins
-from lapforge.plans import ingest
+from lapforge.plans import ingest, training
+from lapforge.session import written_table
 from lapforge.sources import testdata as data
 
 KEYS = [*K.LAP_GROUP, K.LAP_ORDER]
@@ -89,14 +90,22 @@ def join_encoding_lookup(spark, sf_dir):
 
 
 @register("join_route_predictions", base_sql(f"""
-SELECT {KEY}, lower(gp) AS slug, CASE WHEN gp IN ('NATION_3', 'NATION_7', 'NATION_11', 'NATION_15', 'NATION_19') THEN LapTime - 1 ELSE LapTime + 1 END AS prediction,
-  CASE WHEN gp IN ('NATION_3', 'NATION_7', 'NATION_11', 'NATION_15', 'NATION_19') THEN 'local' ELSE 'global' END AS model_used FROM base"""))
+SELECT {KEY}, lower(gp) AS slug, round(coalesce(l.c + l.m * LapNumber, g.c + g.m * LapNumber), 6) AS prediction,
+  CASE WHEN l.m IS NULL THEN 'global' ELSE 'local' END AS model_used
+FROM base LEFT JOIN (SELECT gp AS track, regr_intercept(LapTime, LapNumber) AS c, regr_slope(LapTime, LapNumber) AS m FROM base
+    WHERE gp IN ('NATION_3', 'NATION_7', 'NATION_11', 'NATION_15', 'NATION_19') GROUP BY gp) l ON gp = track,
+  (SELECT regr_intercept(LapTime, LapNumber) AS c, regr_slope(LapTime, LapNumber) AS m FROM base) g"""))
 def join_route_predictions(spark, sf_dir):
-    laps = base_laps(spark, sf_dir).select(*KEYS, "LapTime")
-    scored = laps.select(*KEYS, (F.col("LapTime") + 1).alias("pred_global"))
-    local = filters.in_tracks(laps, TRACKS).select(*KEYS, S.slug("gp").alias("slug"), (F.col("LapTime") - 1).alias("pred_local"))
-    routed = joins.route_predictions(scored, local, row_id=KEYS)
-    return routed.select(*KEYS, "slug", "prediction", "model_used")
+    """Lines fitted to five tracks and to all laps; each lap gets its track's prediction, or else the global one."""
+    laps = written_table(base_laps(spark, sf_dir).select(*KEYS, "LapTime").withColumn("_all", F.lit(1)), "routed-laps")
+
+    def predicted(rows, group, output):
+        fits = training.local_fits(rows, group=group, x="LapNumber", y="LapTime")
+        return rows.join(fits, group).select(*KEYS, (F.col("intercept") + F.col("slope") * F.col("LapNumber")).alias(output))
+
+    local = predicted(filters.in_tracks(laps, TRACKS), "gp", "pred_local").withColumn("slug", S.slug("gp"))
+    routed = joins.route_predictions(predicted(laps, "_all", "pred_global"), local, row_id=KEYS)
+    return routed.select(*KEYS, "slug", F.round("prediction", 6).alias("prediction"), "model_used")
 
 
 @register("join_fastest_lap_trace", samples_sql("""
