@@ -38,7 +38,7 @@ def ordinal_encode(df: DataFrame, column: str, output: str) -> DataFrame:
     return df.join(codes, column, "left").withColumn(output, F.coalesce(F.col(output), F.lit(-1)))
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], *, most: int = 1_000) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], *, most: int = 10_000) -> DataFrame:
     """A 0/1 column per value (``column_value``) and one for missing (``column_nan``); the source column goes.
 
     The plan gets a column for every value, so a column with more than ``most`` values is refused: :func:`one_hot_long` takes
