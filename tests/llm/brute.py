@@ -69,6 +69,36 @@ def near(rows, bits=4):
     return [(rows[i][0], f"{int(fp[i]):016x}", least.get(find(i))) for i in range(len(rows))]
 
 
+def similar(rows, least=0.8, k=5):
+    """The ids that stay of (id, text) rows: one of each component of pairs with Jaccard similarity ``least``."""
+    sets = []
+    for _, text in rows:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    holders, shared = collections.defaultdict(list), collections.Counter()
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    for held in holders.values():
+        shared.update((a, b) for n, a in enumerate(held) for b in held[n + 1:])
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    blank = [i for i, s in enumerate(sets) if not s]
+    near_pairs = [(a, b) for (a, b), n in shared.items() if n >= least * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in near_pairs + [(blank[0], i) for i in blank[1:]]:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    groups = collections.defaultdict(list)
+    for i, (key, _) in enumerate(rows):
+        groups[find(i)].append((key is None, key or 0))
+    return sorted((min(g) for g in groups.values()))
+
+
 def shared_runs(docs, items, least=13):
     """(document, item) pairs with ``least`` equal words in a row."""
     norm = lambda s: re.findall(r"[^\W_]+", (s or "").lower())

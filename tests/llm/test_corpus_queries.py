@@ -25,7 +25,7 @@ def docs(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in QUERIES and set(QUERIES) <= set(check_queries.contract.queries())
 
 
@@ -121,7 +121,7 @@ def test_pipeline(spark, docs):
     rows = [(r.doc_id, r.text) for r in good.collect()]
     single = {keep for _, keep, _, _ in brute.exact(rows)}
     rows = [r for r in rows if r[0] in single]
-    first = {c for _, _, c in brute.near(rows)}
+    first = {key for _, key in brute.similar(rows)}
     rows = [r for r in rows if r[0] in first]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = {d for d, _ in brute.shared_runs(rows, items)}
