@@ -2,8 +2,12 @@
 
 Every stage works on all documents that the one before kept. All but the last return the columns of ``documents``: the
 quality classifier keeps what it scores at 0.5 or more, exact dedup one document of each group of equal texts, SimHash
-near-dedup one of each group of near copies, and decontamination what overlaps no benchmark item. The last stage encodes
-and decodes the texts that are left and returns their digests.
+near-dedup one of each group of near copies (five-word shingles, Jaccard 0.8 or more), and decontamination what overlaps no
+benchmark item. The last stage encodes and decodes the texts that are left and returns their digests.
+
+Null and empty texts are documents like any other: scored, one kept of all equal ones, encoded to no tokens. Very long texts are
+read whole; of ties and repeated rows the smallest id stays, null ids last. Empty tables give empty results. Columns beyond those
+of ``documents`` are carried through all stages but the last, which returns its own.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ from lapforge.llm.bpe import multilingual_digests
 from lapforge.llm.common import side_table, table
 from lapforge.llm.decontaminate import decontaminate
 from lapforge.llm.exact_dedup import exact_dedup
+from lapforge.llm.near_copies import drop_near_copies
 from lapforge.llm.quality import keep_good
-from lapforge.llm.simhash import near_dedup
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup(docs)
+    return drop_near_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
