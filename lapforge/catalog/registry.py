@@ -155,6 +155,11 @@ def kept_sql(body: str, *views: str) -> str:
     return with_views(body, _LAPS, _BASE, _KEPT, *views)
 
 
+def copies_sql(body: str, copies: str, *views: str) -> str:
+    """The filters over ``copies``, which makes the view ``laps`` from the laps as they are, named ``raw``."""
+    return with_views(body, _LAPS.replace("laps AS", "raw AS", 1), copies, _BASE, _KEPT, *views)
+
+
 def quali_sql(body: str, *views: str) -> str:
     return with_views(body, _LAPS, QUALI_SQL, *views)
 
