@@ -5,12 +5,17 @@ Values are quantised to binary fractions so that sums and means are exact in any
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.operators.segments import group_position
 from lapforge.session import fresh_path
 
+#: Rows of lineitem to a task of the joins and windows that make the laps, so that a task sorts them in memory.
+TASK_ROWS = 1_000_000
+
 _WRITTEN: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
@@ -28,12 +33,18 @@ def derive_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    joined = (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    # Orders find their nation first, so that the rows of lineitem move once for all three joins.
+    placed_orders = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", "o_orderdate", "n_name", "n_nationkey")
     )
     c = F.col
+    tasks = math.ceil(li.count() / TASK_ROWS)
+    spread = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spread:
+        li, placed_orders = li.repartition(tasks, "l_orderkey"), placed_orders.repartition(tasks, "o_orderkey")
+    joined = li.join(placed_orders, c("l_orderkey") == c("o_orderkey"))
     number = (c("l_suppkey") % 10).cast("int")
     tax, discount = F.round(c("l_tax") * 100), F.round(c("l_discount") * 100)
     keyed = joined.select(
@@ -44,9 +55,13 @@ def derive_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
         number.alias("DriverNumber"),
         *li.columns,
     )
+    # The session code leads, so that the rows leave the window in the order in which they are written.
+    keys = ["session_code", "year", "gp", "DriverNumber"]
+    if spread:
+        keyed = keyed.repartition(tasks, *keys)
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
              "l_quantity", "l_discount", "l_tax", "l_linestatus"]
-    placed = group_position(keyed, ["year", "gp", "session_code", "DriverNumber"], order, "lap")
+    placed = group_position(keyed, keys, order, "lap")
     lap = c("lap").cast("int")
     compounds = ["SOFT", "medium", "HARD", "INTERMEDIATE", "WET", "TEST"]
     compound = F.coalesce(*[F.when(c("l_linenumber") == i, n) for i, n in enumerate(compounds, start=1)])

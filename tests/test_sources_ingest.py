@@ -96,3 +96,36 @@ def test_lap_view_is_complete(spark):
     lines = testdata.table(spark, "/root/testdata/sf0.001", "lineitem").count()
     assert laps.count() == lines == laps.select("year", "gp", "session_code", "DriverNumber", "LapNumber").distinct().count()
     assert joins.WEATHER_VALUES[0] in laps.columns
+
+
+def _shop(spark, path):
+    """A small shop: orders without a customer, customers without a nation, null keys, repeated orders, repeated line items."""
+    when = "cast('1999-03-04' as timestamp)"
+    spark.range(40).selectExpr("id as c_custkey", "cast(if(id % 9 = 0, 99, id % 4) as int) as c_nationkey").write.parquet(f"{path}/customer.parquet")
+    orders = spark.range(300).selectExpr("if(id % 50 = 0, null, id) as o_orderkey", "id % 45 as o_custkey", f"{when} + make_interval(0, 0, 0, cast(id * 3 as int)) as o_orderdate")
+    orders.unionByName(orders.where("o_orderkey < 20")).write.parquet(f"{path}/orders.parquet")
+    spark.range(4).selectExpr("cast(id as int) as n_nationkey", "concat('NATION_', id % 3) as n_name").write.parquet(f"{path}/nation.parquet")
+    items = spark.range(2000).selectExpr(
+        "if(id % 70 = 0, null, id % 310) as l_orderkey", "id * 7 % 400 as l_partkey", "id * 3 % 90 as l_suppkey", "cast(id % 7 + 1 as int) as l_linenumber",
+        "cast(id % 50 + 1 as double) as l_quantity", "id * 3.25 as l_extendedprice", "id % 11 / 100 as l_discount", "id % 9 / 100 as l_tax",
+        "substr('RAN', cast(id % 3 + 1 as int), 1) as l_returnflag", "if(id % 2 = 0, 'F', 'O') as l_linestatus", f"{when} as l_shipdate")
+    items.selectExpr(*[f"cast({c} as double) {c}" if c in ("l_extendedprice", "l_discount", "l_tax") else c for c in items.columns]).unionByName(
+        items.where("l_partkey < 30").selectExpr(*[f"cast({c} as double) {c}" if c in ("l_extendedprice", "l_discount", "l_tax") else c for c in items.columns])
+    ).write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_line_items_move_once_for_their_joins(spark, tmp_path, monkeypatch):
+    from lapforge.sources import testdata
+
+    _shop(spark, str(tmp_path))
+    laps = testdata.derive_laps(spark, str(tmp_path))
+    lines = [(len(x) - len(x.lstrip(" +-:")), x) for x in laps._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    at = next(i for i, (_, x) in enumerate(lines) if "Relation" in x and "l_extendedprice" in x)
+    above, depth = [], lines[at][0]
+    for indent, x in reversed(lines[:at]):
+        if indent < depth:
+            above, depth = [*above, x], indent
+    assert sum("Join" in x for x in above) == 1
+    monkeypatch.setattr(testdata, "TASK_ROWS", 100)
+    spread = testdata.derive_laps(spark, str(tmp_path))
+    assert laps.count() > 1000 and laps.exceptAll(spread).isEmpty() and spread.exceptAll(laps).isEmpty()
