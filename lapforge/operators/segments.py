@@ -10,7 +10,8 @@ to know about the rows before (or after) it arrives as a few extra rows that rid
 Groups within the bound stay whole in segment 0 and add no extra rows. Which groups are hot is found out first,
 by one narrow aggregate over the keys. When there are none, the plan is the plain window over one shuffle. Otherwise the
 list of cuts (see :func:`lapforge.session.listed`) is broadcast after a check of its size, so the rows of a hot group are
-spread before they are shuffled for the first time.
+spread before they are shuffled for the first time. A bound of fewer than PIECE_ROWS rows makes too many cuts for a list: then
+the rows of a group are numbered, piece by piece, and written with their positions, and a segment is every ``rows`` positions.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lapforge.session import listed
+from lapforge.session import listed, written_table
 
 SEGMENT_ROWS = 4_000_000
 SAMPLES = 64
+#: Segments of fewer rows are made of positions, in pieces of this size.
+PIECE_ROWS = 4_000_000
 
 SEG, EXTRA, BEFORE = "_seg", "_extra", "_before"
 _WITHIN_BEFORE, _WITHIN_TOTAL = "_within_before", "_within_total"
@@ -97,22 +100,23 @@ def _segment(key: Column) -> Column:
     return F.when(run < 0, 0).otherwise(run * F.col("_run") + inside)
 
 
-def _hot_groups(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame | None:
-    """Groups with more than ``rows`` rows and where to cut them; None if there are none.
+def _hot_groups(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
+    """Groups with more than ``rows`` rows, and their sizes (``_seg_rows``); None if there are none."""
+    return listed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seg_rows")).where(F.col("_seg_rows") > rows))
+
+
+def _cut_list(df: DataFrame, hot: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame | None:
+    """Where to cut the groups in ``hot`` into segments of about ``rows`` rows; None if the sample is empty.
 
     The cuts of a group are evenly spaced members of a sample of its order keys, about ``SAMPLES`` to a segment, drawn by
     a hash of the row. So neither outliers nor clusters nor ties make a segment much larger than ``rows``. Over all
     groups there are at most ``all rows / rows`` cuts.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
-    hot = listed(sizes)
-    if hot is None:
-        return None
     key = _order_key(df.columns, order)
     drawn = F.pmod(F.xxhash64(F.lit(17), *[F.col(c) for c in df.columns]), F.lit(rows)) < SAMPLES
-    sample = df.where(drawn).join(hot, keys).select(*keys, "_rows", key.alias("_key"))
+    sample = df.where(drawn).join(hot, keys).select(*keys, "_seg_rows", key.alias("_key"))
     group = Window.partitionBy(*keys)
-    at = (F.row_number().over(group.orderBy("_key")) - 1) * F.ceil(F.col("_rows") / rows)
+    at = (F.row_number().over(group.orderBy("_key")) - 1) * F.ceil(F.col("_seg_rows") / rows)
     slot = F.floor(at / F.count(F.lit(1)).over(group))
     first = F.coalesce(slot > F.lag("_slot").over(group.orderBy("_key")), F.lit(False))
     cuts = (
@@ -125,6 +129,34 @@ def _hot_groups(df: DataFrame, keys: list[str], order: list[str], rows: int) ->
     return listed(cuts.select(*keys, "_run", runs.alias("_cuts")))
 
 
+def _numbered(
+    df: DataFrame, census: DataFrame, hot: DataFrame, keys: list[str], order: list[str], by: list[str], rows: int
+) -> DataFrame:
+    """``df`` with its SEG and, in the groups in ``hot``, ``_seg_rows`` and the position ``_seg_at`` from 0; written once.
+
+    Segments of few rows are too many for a list of cuts. So groups are cut into pieces that a task can order, a piece's rows
+    are numbered, and a segment is every ``rows`` positions.
+    """
+    large = listed(hot.where(F.col("_seg_rows") > PIECE_ROWS))
+    cuts = _cut_list(census, large, keys, order, PIECE_ROWS) if large is not None else None
+    marked, piece = df.join(hot, keys, "left"), F.lit(0)
+    if cuts is not None:
+        marked = marked.join(cuts, keys, "left")
+        piece = F.coalesce(_segment(_order_key(by, order)), F.lit(0))
+    tie = F.xxhash64(*[F.col(c) for c in by])
+    marked = marked.select(*df.columns, "_seg_rows", piece.cast("bigint").alias("_seg_piece"), tie.alias("_seg_tie"))
+    here = Window.partitionBy(*keys, "_seg_piece").orderBy(*order, "_seg_tie")
+    at = F.when(F.col("_seg_rows").isNotNull(), F.row_number().over(here).cast("bigint") - 1)
+    placed = written_table(marked.withColumn("_seg_at", at).drop("_seg_tie"), "positions")
+    if cuts is not None:
+        sizes = placed.join(large.select(*keys), keys).groupBy(*keys, "_seg_piece").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy(*keys).orderBy("_seg_piece").rowsBetween(Window.unboundedPreceding, -1)
+        starts = listed(sizes.select(*keys, "_seg_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")))
+        placed = placed.join(starts, [*keys, "_seg_piece"], "left").withColumn("_seg_at", F.col("_seg_at") + F.coalesce("_start", F.lit(0)))
+    seg = F.coalesce(F.floor(F.col("_seg_at") / rows), F.lit(0)).cast("bigint").alias(SEG)
+    return placed.select(*df.columns, "_seg_rows", "_seg_at", seg)
+
+
 def open_segments(
     df: DataFrame,
     keys: Sequence[str],
@@ -153,14 +185,21 @@ def open_segments(
     keys, order = list(keys), list(order)
     columns = df.columns
 
-    hot = _hot_groups(df if census is None else census, keys, order, rows)
-    if hot is None:
+    source = df if census is None else census
+    exact = rows < PIECE_ROWS
+    hot = _hot_groups(source, keys, rows)
+    cuts = _cut_list(source, hot, keys, order, rows) if hot is not None and not exact else None
+    if hot is None or (cuts is None and not exact):
         frame = df.withColumns({SEG: F.lit(0).cast("bigint"), EXTRA: F.lit(False)})
         return Segments(frame, tuple(keys), tuple(order), within, (SEG, EXTRA))
     by = df.columns if census is None else [c for c in census.columns if c in columns]
-    seg = F.coalesce(_segment(_order_key(by, order)), F.lit(0)).cast("bigint").alias(SEG)
-    cut = df.join(hot, keys, "left").select(*columns, seg)
-    big = df.join(hot, keys, "inner").select(*columns, seg)
+    if exact:
+        cut = _numbered(df, source, hot, keys, order, by, rows)
+        big = cut.drop("_seg_rows").join(hot, keys)
+    else:
+        seg = F.coalesce(_segment(_order_key(by, order)), F.lit(0)).cast("bigint").alias(SEG)
+        cut = df.join(cuts, keys, "left").select(*columns, seg)
+        big = df.join(cuts, keys, "inner").select(*columns, seg)
 
     carry_types = {BEFORE: "bigint"}
     if within:
@@ -174,7 +213,8 @@ def open_segments(
     per_segment += [F.max(c).alias(f"_x_{c}") for c in maxima]
 
     here = Window.partitionBy(*keys, SEG).orderBy(*order)
-    numbered = big.withColumn("_local", F.row_number().over(here)) if marks else big
+    local = F.col("_seg_at") - F.col(SEG) * rows + 1 if exact else F.row_number().over(here)
+    numbered = big.withColumn("_local", local) if marks else big
     earlier = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
@@ -220,7 +260,15 @@ def open_segments(
             {**key_cols, within: F.col(within), SEG: F.col(SEG), EXTRA: F.lit(True),
              _WITHIN_BEFORE: F.col("_b"), _WITHIN_TOTAL: F.col("_t")},
         ))
-    if depth:
+    if depth and exact:
+        # A row rides along into the segments that begin within ``depth`` positions after it.
+        upto = F.least(F.floor((F.col("_seg_at") + depth) / rows), F.floor((F.col("_seg_rows") - 1) / rows))
+        tails = big.withColumn("_upto", upto).where(F.col("_upto") > F.col(SEG)).select(
+            *columns, F.explode(F.sequence(F.col(SEG) + 1, F.col("_upto"))).alias("_next"))
+        extras.append(padded(tails, {
+            **{c: F.col(c) for c in columns}, SEG: F.col("_next"), EXTRA: F.lit(True),
+        }))
+    elif depth:
         back = Window.partitionBy(*keys, SEG).orderBy(*[F.col(c).desc() for c in order])
         along = Window.partitionBy(*keys).orderBy(SEG, *order)
         tails = (

@@ -143,3 +143,25 @@ def test_missing_order_values_come_first(spark, rows):
     placed = group_position(df, ["k"], ["o", "v"], "at", rows=rows)
     assert {r["at"] for r in placed.where("o is null").collect()} == {1, 2, 3}
     assert {r["at"] for r in placed.collect()} == set(range(1, 44))
+
+
+@pytest.mark.parametrize("pieces", [4_000_000, 60])
+def test_small_segments_need_no_list_of_cuts(spark, frame, laps, monkeypatch, pieces):
+    """Segments of few rows follow from positions, numbered piece by piece: every one is exactly full, no row carries a list."""
+    monkeypatch.setattr("lapforge.operators.segments.PIECE_ROWS", pieces)
+    s = open_segments(frame, KEYS, ["LapNumber"], rows=7, depth=5)
+    assert "_cuts" not in s.frame._jdf.queryExecution().optimizedPlan().toString()
+    sizes = [r["count"] for r in s.frame.where("NOT _extra AND DriverNumber = 4").groupBy("_seg").count().orderBy("_seg").collect()]
+    assert sizes == [7] * 57 + [1]
+    out = sorted_rows(history.lap_time_history(frame, rows=7), "DriverNumber", "LapNumber")
+    want = reference(laps)
+    np.testing.assert_allclose(out["lap_time_mean_3_prev"], want["mean3"], rtol=1e-9, atol=1e-7)
+    np.testing.assert_allclose(out["lap_time_std_5_prev"], want["std5"], rtol=1e-9, atol=1e-7)
+
+
+@pytest.mark.parametrize("pieces", [4_000_000, 60])
+def test_small_segments_keep_columns_of_any_name(spark, monkeypatch, pieces):
+    monkeypatch.setattr("lapforge.operators.segments.PIECE_ROWS", pieces)
+    df = spark.createDataFrame([(k, i // 3, -i, i) for k in range(2) for i in range(200)], "k int, _at int, _rows int, v int")
+    placed = sorted_rows(group_position(df, ["k"], ["_at", "v"], "at", rows=4), "k", "v")
+    assert placed["at"].tolist() == list(range(1, 201)) * 2 and (placed["_rows"] == -placed["v"]).all()
