@@ -82,7 +82,8 @@ scored AS (
 
 def scored_laps(spark, sf_dir):
     kept = features.surviving_laps(base_laps(spark, sf_dir))
-    longest = kept.groupBy(*K.SESSION).agg(F.max("LapNumber").alias("_laps"))
+    # Written, so that its size is known and the laps meet it where they are.
+    longest = written_table(kept.groupBy(*K.SESSION).agg(F.max("LapNumber").alias("_laps")), "race-lengths")
     scored = kept.join(longest, K.SESSION).select(
         *KEYS, "Driver", F.col("LapTimeResidual").alias("y"), (F.col("TyreLife") / 8 - F.col("brake_ratio")).alias("pred"),
         (F.col("LapNumber") / F.col("_laps")).alias("LapNumber_pct"))

@@ -100,7 +100,8 @@ def join_route_predictions(spark, sf_dir):
     laps = written_table(base_laps(spark, sf_dir).select(*KEYS, "LapTime").withColumn("_all", F.lit(1)), "routed-laps")
 
     def predicted(rows, group, output):
-        fits = training.local_fits(rows, group=group, x="LapNumber", y="LapTime")
+        # One row a track, or one in all: joined by a shuffle, all laps would meet in one task.
+        fits = F.broadcast(training.local_fits(rows, group=group, x="LapNumber", y="LapTime"))
         return rows.join(fits, group).select(*KEYS, (F.col("intercept") + F.col("slope") * F.col("LapNumber")).alias(output))
 
     local = predicted(filters.in_tracks(laps, TRACKS), "gp", "pred_local").withColumn("slug", S.slug("gp"))

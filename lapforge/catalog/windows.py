@@ -13,6 +13,7 @@ from lapforge.catalog.scalars import COMPOUND_SQL
 from lapforge.functions import scalars as S
 from lapforge.operators import aggregates, filters, history, joins
 from lapforge.plans import features
+from lapforge.session import written_table
 from lapforge.sources import testdata as data
 
 KEYS = [*K.LAP_GROUP, K.LAP_ORDER]
@@ -145,7 +146,8 @@ SELECT {KEY}, round(avg_residual_last_3_races, 9) AS avg_residual_last_3_races F
   SELECT Driver, year, gp, {_FORM.format('gp')} AS avg_residual_last_3_races FROM races) f USING (Driver, year, gp)""", _RESIDUALS))
 def join_recent_form(spark, sf_dir):
     laps = _race_residuals(spark, sf_dir)
-    form = aggregates.recent_form(aggregates.race_residuals(laps)).drop("mean_residual")
+    # Written, so that its size is known and the laps meet it where they are.
+    form = written_table(aggregates.recent_form(aggregates.race_residuals(laps)).drop("mean_residual"), "form")
     return laps.join(form, ["Driver", "year", "gp"], "left").select(
         *KEYS, F.round("avg_residual_last_3_races", 9).alias("avg_residual_last_3_races"))
 

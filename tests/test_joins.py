@@ -83,3 +83,29 @@ def test_fastest_lap_trace(spark):
     laps = spark.createDataFrame([(1, 1, 80.0), (1, 2, 79.0), (1, 3, None)], "session int, lap int, LapTime double")
     samples = spark.createDataFrame(pd.DataFrame({"session": 1, "lap": [1, 2, 2, 3], "ts": range(4), "X": 1.0, "Y": 2.0}))
     assert {r.lap for r in joins.fastest_lap_trace(laps, samples, session=["session"], lap_key=["lap"]).collect()} == {2}
+
+
+def test_small_tables_meet_the_laps_without_a_shuffle_of_the_laps(spark, tmp_path, monkeypatch):
+    """One global line for all laps is a constant key: joined by a shuffle, every lap would meet in one task."""
+    from lapforge.catalog import joins as catalog
+    from lapforge.catalog import windows
+
+    rows = spark.range(500).selectExpr(
+        "2000 as year", "concat('NATION_', id % 5) as gp", "'R' as session_code", "id % 4 as DriverNumber", "concat('D', id % 4) as Driver", "cast(id as int) as LapNumber",
+        "80 + id % 13 as LapTime", "id % 3 * 1.0D as LapTimeResidual", "1.0D as TyreLife", "0.5D as brake_ratio")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        monkeypatch.setattr(catalog, "base_laps", lambda *_: rows)
+        monkeypatch.setattr(windows, "_race_residuals", lambda *_: rows)
+        spark.conf.set(limit, "-1")
+        routed = catalog.join_route_predictions(spark, "")
+        assert "SortMergeJoin [_all" not in routed._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set(limit, "20000")
+        formed = windows.join_recent_form(spark, "")
+        assert "SortMergeJoin" not in formed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set(limit, before)
+    assert routed.count() == formed.count() == 500
