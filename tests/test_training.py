@@ -163,3 +163,20 @@ def test_ridge_losses_equal_refits(spark):
     assert list(got.values()) == sorted(got.values())
     with pytest.raises(ValueError, match="training and test"):
         training.ridge_losses(df.where("part = 'train'"), ["a"], penalties, target="y")
+
+
+def test_models_are_fitted_on_parts_of_bounded_size(spark, monkeypatch):
+    """However many rows a partition of files holds; the parts hold the columns of the last stage only."""
+    seen = []
+
+    class Watched(LinearRegression):
+        def fit(self, dataset, params=None):
+            seen.append((dataset.columns, dataset.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]))
+            return super().fit(dataset, params)
+
+    df = spark.range(2000).selectExpr("id * 1.0D as a", "if(id % 9 = 0, null, id % 7 * 1.0D) as b", "id * 2.0D + id % 7 as y", "'x' as other").coalesce(1)
+    pipeline = training.regression(["a", "b"], Watched(labelCol="y", featuresCol="features"))
+    whole = pipeline.fit(df).transform(df).agg(F.sum("prediction")).first()[0]
+    monkeypatch.setattr(training, "FIT_ROWS", 100)
+    parts = training.fitted(pipeline, df).transform(df).agg(F.sum("prediction")).first()[0]
+    assert seen[-1][0] == ["features", "y"] and seen[-1][1] <= 150 and abs(whole - parts) < 1e-6 * abs(whole)
