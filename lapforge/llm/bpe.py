@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lapforge.llm.common import table, with_text_columns
 from lapforge.llm.registry import register
 
-#: Entries in each of a memo's two generations.
-REMEMBERED = 1 << 18
+#: Entries in each of a memo's two generations. A worker keeps them from one stage to the next, some 200 bytes each.
+REMEMBERED = 1 << 17
 
 
 def read_ranks(path: str) -> list[bytes]:

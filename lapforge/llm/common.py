@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from lapforge.session import written_table
 SALTS = 16
 #: Bytes of text that a task looks at together; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of a batch whose texts are taken out of Arrow at once.
+SLICE_ROWS = 256
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -79,6 +82,12 @@ def _bytes_of(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Short slices of a batch: the texts of a whole batch as Python objects would take as much memory again."""
+    for start in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(start, SLICE_ROWS)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes in all."""
     start, held = 0, 0
@@ -161,8 +170,8 @@ def with_text_columns(df: DataFrame, text: str | tuple[str, str], new: str, make
 
     def run(batches):
         compute = make()
-        for batch in batches:
-            texts = _bytes_of(batch.column(at) if field is None else batch.column(at).field(field))
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts = _bytes_of(batch.column(at) if field is None else pc.struct_field(batch.column(at), field))
             for a, b in chunks(texts):
                 part = batch.slice(a, b - a)
                 columns = [part.column(i) for i in range(len(kept))] + compute(texts[a:b])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.llm import vp_trees
-from lapforge.llm.common import bounded_sample, chunks, drop_side_table, mixed, salted_join, side_table, texts_of, with_text_columns
+from lapforge.llm.common import bounded_sample, chunks, drop_side_table, mixed, salted_join, side_table, slices, texts_of, with_text_columns
 from lapforge.llm.components import components
 
 SHINGLE = 5
@@ -213,7 +213,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = salted_join(marked, side, [end], hot="hot").drop("hot")
 
     def check(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             left, right = texts_of(batch, "text_a"), texts_of(batch, "text_b")
             near = np.zeros(len(left), bool)
             for start, stop in chunks([x + y for x, y in zip(left, right)]):

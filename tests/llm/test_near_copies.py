@@ -114,3 +114,15 @@ def test_hot_ends_are_spread(spark, monkeypatch):
     texts = frame(spark, [(i, " ".join(VOCABULARY[:60])) for i in range(20)]).withColumnRenamed("doc_id", "seq")
     pairs = spark.createDataFrame([(0, i) for i in range(1, 20)], "a long, b long")
     assert near_copies.similar(pairs, texts).count() == 19
+
+
+def test_texts_leave_arrow_in_short_slices(spark):
+    """A batch of ten thousand long texts is not turned into Python objects at once."""
+    import pyarrow as pa
+
+    from lapforge.llm.common import SLICE_ROWS, slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([f"text {i}" for i in range(1000)])], names=["i", "text"])
+    parts = list(slices(batch))
+    assert max(p.num_rows for p in parts) == SLICE_ROWS and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert not list(slices(batch.slice(0, 0)))
