@@ -25,7 +25,9 @@ from lapforge.streaming.history import FEATURES
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LAP = "at bigint, lap bigint, value double"
+#: The state holds laps in blocks, one for each batch of rows that Python gets: an element for every lap would cross to the JVM alone.
+BLOCK = "laps binary"
+LAP = np.dtype([("at", "<i8"), ("lap", "<i8"), ("value", "<f8")])
 #: Rows reach Python as named tuples, which take no name that begins with an underscore.
 AT = "event_ms"
 
@@ -44,45 +46,55 @@ def history_columns(values: np.ndarray, known: int) -> dict[str, np.ndarray]:
             before[:, -1] - before[:, -2], np.where(n5 > 1, spread, np.nan)), strict=True))
 
 
+def _laps(state) -> np.ndarray:
+    blocks = [np.frombuffer(block, LAP) for (block,) in state.get()] if state.exists() else []
+    return np.concatenate([np.empty(0, LAP), *blocks])
+
+
 class LapHistory(StatefulProcessor):
-    """List states of pending and recent laps; event-time timers that release laps and forget drivers."""
+    """List states of pending and recent laps, in blocks; event-time timers that release laps and forget drivers."""
 
     def __init__(self, keys: Sequence[str], order: str, value: str, forget_ms: int):
         self.keys, self.order, self.value, self.forget_ms = list(keys), order, value, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", LAP)
-        self.recent = handle.getListState("recent", LAP)
+        self.pending = handle.getListState("pending", BLOCK)
+        self.recent = handle.getListState("recent", BLOCK)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        laps = pd.concat(list(rows))
-        values = laps[self.value].astype(object).where(laps[self.value].notna(), None)
-        self.pending.appendList(list(zip(laps[AT].tolist(), laps[self.order].tolist(), values.tolist(), strict=True)))
-        self.handle.registerTimer(int(laps[AT].min()))
+        first = None
+        for batch in rows:
+            laps = np.empty(len(batch), LAP)
+            laps["at"], laps["lap"], laps["value"] = batch[AT], batch[self.order], batch[self.value]
+            if len(laps):
+                self.pending.appendValue((laps.tobytes(),))
+                first = min(int(laps["at"].min()), first if first is not None else 1 << 62)
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        pending = list(self.pending.get()) if self.pending.exists() else []
-        recent = list(self.recent.get()) if self.recent.exists() else []
-        due = sorted({lap[1]: lap for lap in pending if lap[0] <= now}.values())
-        rest = [lap for lap in pending if lap[0] > now]
-        if not due:
-            if not rest and recent and recent[-1][0] + self.forget_ms <= now:
+        pending, recent = _laps(self.pending), _laps(self.recent)
+        passed = pending["at"] <= now
+        due, rest = pending[passed][::-1], pending[~passed]
+        due = due[np.unique(due["lap"], return_index=True)[1]]  # of equal laps the one that came last
+        due = due[np.lexsort((due["lap"], due["at"]))]
+        if not len(due):
+            if not len(rest) and len(recent) and int(recent["at"][-1]) + self.forget_ms <= now:
                 self.recent.clear()
             return
-        chain = [*recent, *due]
-        self.recent.put(chain[-LOOKBACK:])
-        if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer(min(lap[0] for lap in rest))
+        chain = np.concatenate([recent, due])
+        self.recent.put([(chain[-LOOKBACK:].tobytes(),)])
+        if len(rest):
+            self.pending.put([(rest.tobytes(),)])
+            self.handle.registerTimer(int(rest["at"].min()))
         else:
             self.pending.clear()
-            self.handle.registerTimer(chain[-1][0] + self.forget_ms)
-        values = np.array([lap[2] for lap in chain], float)
-        out = pd.DataFrame({**{k: [v] * len(due) for k, v in zip(self.keys, key, strict=True)}, self.order: [lap[1] for lap in due],
-                            self.value: values[len(recent):], **history_columns(values, len(recent))})
+            self.handle.registerTimer(int(chain["at"][-1]) + self.forget_ms)
+        out = pd.DataFrame({**{k: [v] * len(due) for k, v in zip(self.keys, key, strict=True)}, self.order: due["lap"],
+                            self.value: due["value"], **history_columns(chain["value"], len(recent))})
         yield out
 
     def close(self) -> None:
