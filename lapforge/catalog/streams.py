@@ -124,7 +124,8 @@ def stream_live_scores(spark, sf_dir):
 
 
 def _history(spark, sf_dir, slot):
-    laps, feed, out, state = data.laps(spark, sf_dir), *(fresh_path(spark, n) for n in ("lap-feed", "history-out", "history-state"))
+    laps = data.laps(spark, sf_dir).select(*KEYS, "LapTime")
+    feed, out, state = (fresh_path(spark, n) for n in ("lap-feed", "history-out", "history-state"))
 
     def drain():
         return stream_history.history_in_batches(spark.readStream.schema(laps.schema).parquet(feed), K.LAP_GROUP, out, state)

@@ -48,20 +48,28 @@ def history_in_batches(
             late = written_table(firsts.join(last, keys).where(F.col("_first") < F.col("_last")).select(*keys, "_first"), "late")
             known = tails.join(late, keys, "left_anti").withColumn("_new", F.lit(False))
             if not late.isEmpty():
-                again = latest_per_key(stored_laps(number).join(late, keys), [*keys, order], ["_batch"])
-                again = again.join(batch.select(*keys, order), [*keys, order], "left_anti")
+                # Stored laps of late drivers, one row each; those that came again in this batch are not among them.
+                versions = stored_laps(number).select(*columns, "_batch").unionByName(
+                    batch.select(*columns).withColumn("_batch", F.lit(number).cast("bigint"))).join(late, keys)
+                newest_version = versions.groupBy(*keys, "_first", order).agg(F.max_by(value, "_batch").alias(value), F.max("_batch").alias("_batch"))
+                again = written_table(newest_version.where(F.col("_batch") < number).drop("_batch"), "again")
                 # Laps behind the first late one are computed anew; LOOKBACK laps before it are all they need.
+                behind = F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
                 before = Window.partitionBy(*keys, F.col(order) < F.col("_first")).orderBy(F.col(order).desc())
-                again = again.withColumn("_rn", F.row_number().over(before)).withColumn("_new", F.col(order) > F.col("_first"))
-                known = known.unionByName(again.where(F.col("_new") | (F.col("_rn") <= LOOKBACK)).select(*columns, "_new"))
+                near = again.where(~behind).withColumn("_rn", F.row_number().over(before)).where(F.col("_rn") <= LOOKBACK)
+                known = known.unionByName(again.where(behind).select(*columns, F.lit(True).alias("_new")))
+                known = known.unionByName(near.select(*columns, F.lit(False).alias("_new")))
             arrived = arrived.unionByName(known)
         s = open_segments(arrived, keys, [order], depth=LOOKBACK, rows=rows)
         done = s.close(s.frame.withColumns(lap_time_columns(s, value)))
         done.where("_new").drop("_new").write.mode("overwrite").parquet(f"{path}/_batch={number}")
-        everything = arrived.select(*columns)
         if number:
-            everything = everything.unionByName(tails.join(batch.select(*keys, order), [*keys, order], "left_anti")).dropDuplicates([*keys, order])
-        last_laps = everything.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= LOOKBACK)
+            # Few rows are left when equal laps are told apart: the newest orders of a driver, wherever they come from.
+            ranked = arrived.unionByName(tails.withColumn("_new", F.lit(None).cast("boolean"))).withColumn("_rn", F.dense_rank().over(newest))
+            known_as = F.coalesce(F.col("_new").cast("int"), F.lit(-1))
+            last_laps = ranked.where(F.col("_rn") <= LOOKBACK).groupBy(*keys, order).agg(F.max_by(value, known_as).alias(value))
+        else:
+            last_laps = arrived.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= LOOKBACK)
         last_laps.select(*columns).write.mode("overwrite").parquet(f"{state}/tails/{number}")
         remove(spark, f"{state}/tails/{number - 2}")
 

@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +191,71 @@ def test_ingest_resumes_where_it_stopped(spark, tmp_path):
     ingest.ingest_new_files(spark, source, df.schema, target, log, state, plan)
     failed = spark.read.parquet(log).where("status = 'failed'").collect()
     assert [(r.key, r.n_rows) for r in failed] == [("2024|D|R", 0)]
+
+
+class OneDriver:
+    """The state handle of one driver, in memory."""
+
+    def __init__(self):
+        self.lists, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.lists.setdefault(name, ListOfOne())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class ListOfOne:
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+def test_keyed_state_holds_blocks_of_laps():
+    handle, processor = OneDriver(), keyed.LapHistory(["driver"], "LapNumber", "LapTime", 1000)
+    processor.init(handle)
+    laps = pd.DataFrame({"driver": 1, keyed.AT: range(40, 0, -1), "LapNumber": range(40, 0, -1), "LapTime": np.arange(40.0)})
+    laps.loc[5, "LapTime"] = np.nan
+    again = laps[laps.LapNumber == 7].assign(LapTime=99.0)
+    processor.handleInputRows((1,), iter([laps, again]), None)
+    assert len(handle.lists["pending"].rows) == 2 and min(handle.timers) == 1
+    out = []
+    for now in (30, 100):
+        out += processor.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None)
+    assert [len(o) for o in out] == [30, 10] and not handle.lists["pending"].exists() and len(handle.lists["recent"].rows) == 1
+    found, values = pd.concat(out), np.where(np.arange(40) == 6, 99.0, laps["LapTime"].to_numpy()[::-1])
+    assert found["LapNumber"].tolist() == list(range(1, 41)) and np.array_equal(found["LapTime"], values, equal_nan=True)
+    for name, expected in keyed.history_columns(values, 0).items():
+        assert np.allclose(found[name], expected, equal_nan=True)
+    assert not list(processor.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 1040), None))
+    assert not handle.lists["recent"].exists()
+
+
+def test_last_laps_of_a_driver_are_those_that_came_last(spark, tmp_path):
+    """A lap that comes again replaces the stored one, in the answer and in what later batches see of it."""
+    df = spark.createDataFrame(season(1, ("A",), (2023,), 9)).select(*K.LAP_GROUP, K.LAP_ORDER, "LapTime")
+    feed, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in (df.where("LapNumber <= 6"), df.where("LapNumber = 6").withColumn("LapTime", F.lit(500.0)), df.where("LapNumber > 6")):
+        part.coalesce(1).write.mode("append").parquet(feed)
+        got = stream_history.history_in_batches(spark.readStream.schema(df.schema).parquet(feed), K.LAP_GROUP, out, state)
+    tails = spark.read.parquet(f"{state}/tails/1")
+    assert {r.LapTime for r in tails.where("LapNumber = 6").collect()} == {500.0} and tails.count() == 5
+    assert got.where("LapNumber = 7").first().lap_time_prev == 500.0
