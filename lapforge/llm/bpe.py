@@ -14,6 +14,7 @@ of the given file, which doesn't grow with the data. Extra columns are kept, tho
 from __future__ import annotations
 
 import base64
+import gc
 from itertools import chain
 
 import ahocorasick
@@ -112,13 +113,17 @@ class Encoder:
 
     def merged(self, data: bytes) -> list[int]:
         """Merging by rank, step by step; for the few bytes of two tokens."""
+        rank_of, none = self.ranks.get, len(self.tokens)
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(parts[i] + parts[i + 1], len(self.tokens)), i) for i in range(len(parts) - 1)]
-            rank, i = min(ranked)
-            if rank == len(self.tokens):
-                break
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        pairs = [rank_of(data[i:i + 2], none) for i in range(len(data) - 1)]  # what each part and the next would give
+        while pairs and (rank := min(pairs)) < none:
+            i = pairs.index(rank)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank_of(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = rank_of(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
 
@@ -131,6 +136,7 @@ def _encoder(shared) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(*shared.value)
+        gc.freeze()  # vocabulary and modules stay as long as the worker: collections needn't go through them again and again
     return _ENCODERS[key]
 
 

@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import gc
 import hashlib
 import os
 import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -150,6 +152,25 @@ def test_round_trip(messy, nothing):
         assert encoder.decode(encoder.encode(text)) == text.encode()
 
 
+def test_lasting_objects_are_left_out_of_collections():
+    shared = SimpleNamespace(value=(tuple([bytes([b]) for b in range(256)] + [b"%05d" % i for i in range(20_000)]), r"\S+"))
+    before = gc.get_freeze_count()
+    try:
+        assert bpe._encoder(shared).encode("00017x") == [256 + 17, ord("x")]
+        assert gc.get_freeze_count() > before
+    finally:
+        bpe._ENCODERS.clear()
+        gc.unfreeze()
+
+
+def test_longest_matches_step_back():
+    tokens = tuple([bytes([b]) for b in range(256)] + [b"bc", b"ab", b"abc", b"cd"])
+    encoder = bpe.Encoder(tokens, r"\S+")
+    for text in ("abcd", "abc", "ab", "abcabcd", "xbcd", "é", ""):
+        assert encoder.encode(text) == (encoder.merged(text.encode()) if text else []), text
+        assert encoder.decode(encoder.encode(text)) == text.encode()
+
+
 def test_memo_stays_bounded():
     calls = []
     memo = bpe.Bounded(lambda x: calls.append(x) or x, limit=3)
