@@ -156,7 +156,7 @@ def test_lasting_objects_are_left_out_of_collections():
     shared = SimpleNamespace(value=(tuple([bytes([b]) for b in range(256)] + [b"%05d" % i for i in range(20_000)]), r"\S+"))
     before = gc.get_freeze_count()
     try:
-        assert bpe._encoder(shared).encode("00017x") == [256 + 17, ord("x")]
+        assert bpe._encoder(shared).encode("00017") == [256 + 17]
         assert gc.get_freeze_count() > before
     finally:
         bpe._ENCODERS.clear()
