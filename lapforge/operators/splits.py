@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.operators.encoding import category_codes
+from lapforge.session import written_table
 
 def leave_one_group_out(df: DataFrame, group: str = "gp", output: str = "fold") -> DataFrame:
     """Fold number = sorted position of the group, from 1."""
@@ -43,7 +44,8 @@ def greedy_folds(sizes: DataFrame, group: str, k: int) -> DataFrame:
 def group_kfold(df: DataFrame, group: str = "gp", k: int = K.GROUP_FOLDS, output: str = "fold", method: str = "greedy") -> DataFrame:
     """k folds that never split a group; rows without a group are left out.
 
-    ``greedy`` balances the folds over the group sizes, whatever their number; ``hash`` needs no pass over the groups.
+    ``greedy`` balances the folds over the group sizes, whatever their number, and starts Spark jobs: the folds of the groups
+    are written first, so that the rows meet a table of known size and don't move by group. ``hash`` needs no pass over the groups.
     """
     known = df.where(F.col(group).isNotNull())
     if method == "hash":
@@ -51,7 +53,7 @@ def group_kfold(df: DataFrame, group: str = "gp", k: int = K.GROUP_FOLDS, output
     if method != "greedy":
         raise ValueError(f"unknown method {method!r}")
     sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    folds = greedy_folds(sizes, group, k).withColumnRenamed("fold", output)
+    folds = written_table(greedy_folds(sizes, group, k), "group-folds").withColumnRenamed("fold", output)
     return known.join(folds, group)
 
 

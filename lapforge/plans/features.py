@@ -26,11 +26,14 @@ from lapforge.session import written_table
 
 
 def session_statistics(laps: DataFrame, factor: float = K.IQR_FACTOR, *, rows: int = SMALL_GROUP) -> DataFrame:
-    """Per session: outlier fences, and the median of the lap times inside them."""
+    """Per session: outlier fences, and the median of the lap times inside them. Starts Spark jobs.
+
+    The fences are written first, so that the lap times meet a table of known size and only their counts move by session.
+    """
     large = large_groups(laps, K.SESSION, "LapTime", rows)
     narrow = laps.select(*K.SESSION, "LapTime")
     quartiles = quantiles(narrow, K.SESSION, "LapTime", {"_q1": 0.25, "_q3": 0.75}, large)
-    fences = filters.iqr_fences(quartiles, factor)
+    fences = written_table(filters.iqr_fences(quartiles, factor), "fences")
     inside = narrow.join(fences, K.SESSION).where(F.col("LapTime").between(F.col("_low"), F.col("_high")))
     if large is None:
         return inside.groupBy(*K.SESSION).agg(

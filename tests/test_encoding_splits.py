@@ -109,6 +109,14 @@ def test_group_kfold_keeps_groups_whole_and_balances(spark):
     assert loads == [40, 45, 50]
 
 
+def test_rows_do_not_move_for_their_fold(spark):
+    df = spark.range(1_500_000).select((F.col("id") % 7).cast("string").alias("gp"), "id")
+    out = splits.group_kfold(df, "gp", 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert out.count() == 1_500_000 and out.select("gp", "fold").distinct().count() == 7
+
+
 def test_leave_one_group_out_and_walk_forward(spark):
     df = spark.createDataFrame(season(2, ("B", "A", "C"), (2022, 2023, 2024, 2025), 3))
     folds = {r.gp: r.fold for r in splits.leave_one_group_out(df).select("gp", "fold").distinct().collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as K
 from lapforge.operators import history, quality
-from lapforge.plans.features import build_features
+from lapforge.plans.features import build_features, session_statistics
 from helpers import season, sorted_rows, stint
 
 KEYS = [*K.LAP_GROUP, "LapNumber"]
@@ -22,6 +22,21 @@ def laps(spark):
     return spark.createDataFrame(stint(30))
 
 
+def test_lap_times_meet_the_fences_of_their_session_by_broadcast(spark):
+    i = F.col("id")
+    times = spark.range(600_000).select(
+        F.lit(2024).alias("year"), (i % 3).cast("string").alias("gp"), F.lit("R").alias("session_code"),
+        F.when(i % 50 == 0, 500.0).otherwise(80 + i % 1000 / 8 + i % 3).alias("LapTime"))
+    out = session_statistics(times)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got = {r.gp: (r._low, r._high, r.session_baseline) for r in out.collect()}
+    for gp, values in times.toPandas().groupby("gp").LapTime:
+        q1, q3 = np.quantile(values, [0.25, 0.75])
+        low, high = q1 - K.IQR_FACTOR * (q3 - q1), q3 + K.IQR_FACTOR * (q3 - q1)
+        assert got[gp] == pytest.approx((low, high, np.median(values[values.between(low, high)])))
+
+
 def test_future_laps_do_not_move_earlier_features(laps):
     moved = quality.future_leaks(laps, build, from_lap=15, change=["LapTime", *K.TELEMETRY_COLUMNS])
     assert moved.count() > 20 and moved.agg(F.sum("changed")).first()[0] == 0
