@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from lapforge import constants as K
 from lapforge.catalog import models
 from lapforge.plans import boosting, training
 
@@ -60,6 +61,20 @@ def test_leaves_hold_their_least_weight_and_more_trees_fit_better(rows):
         boosting.SearchBooster(PARAMS, label="y").fit(rows.limit(0))
 
 
+def test_the_global_search_runs_every_trial_of_the_full_ranges(spark, monkeypatch):
+    tried = []
+
+    def watched(df, features, params=None, *, estimator=None, **_):
+        tried.append(estimator.settings if estimator is not None else params)
+        return spark.createDataFrame([(float(len(tried)),)], "rmse double")
+
+    monkeypatch.setattr(models, "_inputs", lambda *_: spark.createDataFrame([(1, 2.0)], "year int, LapNumber double"))
+    monkeypatch.setattr(training, "evaluate_walk_forward", watched)
+    assert models.model_search(spark, "").count() == len(tried) == 60
+    assert {d["n_estimators"] for d in training.draw_params(K.GLOBAL_SEARCH)} == {d["n_estimators"] for d in tried}
+    assert min(d["n_estimators"] for d in tried) >= 200 and max(d["max_depth"] for d in tried) > 6
+
+
 def test_every_track_gets_every_trial_of_the_full_ranges(spark, monkeypatch):
     tried = []
 
