@@ -180,3 +180,20 @@ def test_models_are_fitted_on_parts_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(training, "FIT_ROWS", 100)
     parts = training.fitted(pipeline, df).transform(df).agg(F.sum("prediction")).first()[0]
     assert seen[-1][0] == ["features", "y"] and seen[-1][1] <= 150 and abs(whole - parts) < 1e-6 * abs(whole)
+
+
+def test_folds_are_fitted_on_written_parts_without_moving_rows(spark, monkeypatch):
+    """A shuffle of the rows of every fold is what filled the disk; the parts are bounded as they are written."""
+    seen = []
+
+    class Watched(LinearRegression):
+        def fit(self, dataset, params=None):
+            sizes = dataset.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+            seen.append((sizes, dataset._jdf.queryExecution().executedPlan().toString().count("Exchange Round")))
+            return super().fit(dataset, params)
+
+    df = spark.range(3000).selectExpr("id % 3 as gp", "int(id % 3) + 1 as fold", "id % 17 * 1.0D as x", "id % 17 * 2.0D + id % 5 as y", "'unused' as other").coalesce(2)
+    monkeypatch.setattr(training, "FIT_ROWS", 100)
+    out = training.evaluate_folds(df, ["x"], lambda: Watched(labelCol="y", featuresCol="features"), [1, 2, 3], target="y", fill_zero=True).orderBy("fold").collect()
+    assert [(r.test_gp, r.train_rows, r.test_rows) for r in out] == [(i, 2000, 1000) for i in range(3)]
+    assert len(seen) == 3 and max(s for s, _ in seen) <= 100 and not any(n for _, n in seen)
